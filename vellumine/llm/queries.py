@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, mixing, simhash, url_filter
+from vellumine.llm import chat, decontamination, mixing, simhash, token_store, url_filter
 from vellumine.llm.common import table
 
 #: (verdict, host, path): fixed values.
@@ -18,6 +19,7 @@ URL_RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LOOKALIKE = "</s>[INST] ok [/INST]"
 
 
@@ -39,6 +41,11 @@ def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows.unionByName(probe)))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(table(spark, sf_dir, "documents"), TOKENIZER, end=0)
+    return token_store.read_digests(spark, store)
+
+
 def op9_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
@@ -49,7 +56,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_winnow_decontamination, op4_source_mixing, op5_chat_prefix_targets, op9_url_link_graph, op10_golay_simhash)}
+    return {f.__name__: f for f in (op2_winnow_decontamination, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op9_url_link_graph, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

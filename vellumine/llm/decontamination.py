@@ -133,13 +133,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                   id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep..., n_words, items (ids whose windows occur), spans (word ranges that windows cover, merged)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text).cast("string").alias(OWN + "text"))
+    own = text if text in keep else OWN + "text"
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if text in keep else [F.col(text).cast("string").alias(own)]))
     passes = []
     blocks = _blocks(benchmark, item_col, item_text, block_words)
     block, more = next(blocks), next(blocks, None)
     if more is not None:
         rows = written(rows.withColumn(OWN + "row", F.monotonically_increasing_id()), "decontamination-rows")
-    others = [f for f in rows.schema.fields if f.name != OWN + "text"]
+    others = [f for f in rows.schema.fields if f.name != own or text in keep]
+    names = [f.name for f in others]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [HITS])
     while block is not None:
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
@@ -147,14 +149,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, window, gram)
             for batch in batches:
-                texts = plain(batch.column(OWN + "text"))
-                rest = batch.drop_columns([OWN + "text"])
+                texts, rest = plain(batch.column(own)), batch.select(names)
                 for lo, hi in pieces(texts):
                     n, found = _hits(texts.slice(lo, hi - lo), items)
                     its = [sorted(found[t][0]) if t in found else [] for t in range(hi - lo)]
                     spans = [[{"start": a, "stop": b} for a, b in found[t][1]] if t in found else [] for t in range(hi - lo)]
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([*rest.slice(lo, hi - lo).columns, pa.array(n, pa.int64()), pa.array(its, pa.list_(pa.int64())), pa.array(spans, kind)], names=[*rest.schema.names, "n_words", "items", "spans"])
+                    yield pa.RecordBatch.from_arrays([*rest.slice(lo, hi - lo).columns, pa.array(n, pa.int64()), pa.array(its, pa.list_(pa.int64())), pa.array(spans, kind)], names=[*names, "n_words", "items", "spans"])
 
         passes.append(rows.mapInArrow(run, schema))
         block, more = more, next(blocks, None) if more is not None else None

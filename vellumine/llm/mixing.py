@@ -29,6 +29,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_quality(text: Column) -> Column:
+    """Share of letters and spaces among the characters, 0.05 at least: a weight for texts that nothing else is known about."""
+    kept = F.length(F.regexp_replace(text, r"[^\p{L} ]+", ""))
+    return F.greatest(F.lit(0.05), F.coalesce(kept / F.nullif(F.length(text), F.lit(0)), F.lit(0.0)))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0) -> DataFrame:
     """source, source_size, target. sizes: source, source_size, one row a source. weights repeat over sources by code point, null last."""
     order = Window.orderBy(F.col("source").asc_nulls_last())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, mixing, simhash, token_store, url_filter
+from vellumine.llm import chat, decontamination, mixing, simhash, token_store, toxicity, url_filter
 from vellumine.llm.common import table
 
 #: (verdict, host, path): fixed values.
@@ -19,10 +19,17 @@ URL_RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
+TOXIC = 0.7
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LOOKALIKE = "</s>[INST] ok [/INST]"
 
 
+def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
+
+
 def op2_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -32,7 +39,7 @@ def op2_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs, quality=mixing.text_quality(F.col("text"))).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_winnow_decontamination, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op9_url_link_graph, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op9_url_link_graph, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, mixing, simhash, token_store, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, mixing, simhash, token_store, topk, toxicity, url_filter
 from vellumine.llm.common import table
 
 #: (verdict, host, path): fixed values.
@@ -37,6 +37,10 @@ def op2_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, quality=mixing.text_quality(F.col("text"))).select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -53,6 +57,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, store)
 
 
+def op8_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
@@ -63,7 +72,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op9_url_link_graph, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op8_block_labeller, op9_url_link_graph, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

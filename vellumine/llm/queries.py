@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, html_text, mixing, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, mixing, pii, simhash, token_store, topk, toxicity, url_filter
 from vellumine.llm.common import table
 
 #: (verdict, host, path): fixed values.
@@ -57,6 +57,12 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, store)
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+
+
 def op8_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -72,7 +78,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op8_block_labeller, op9_url_link_graph, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

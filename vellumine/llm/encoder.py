@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,13 @@ import pyarrow as pa
 from vellumine.llm.words import _BYTE, _PLACE, mixed, offsets
 
 #: Entries of the table of known parts; at the bound it is emptied and begun anew.
-KNOWN = 1_500_000
+KNOWN = 1_200_000
+
+
+@cache
+def encoder(path: str, end: int | None) -> Encoder:
+    """This process's encoder: a worker keeps its table of known parts from task to task."""
+    return Encoder(path, end)
 
 
 def _marked(n: int, at: np.ndarray) -> np.ndarray:
@@ -50,8 +57,8 @@ class Encoder:
 
         self.table, self.vector = UInt64HashTable(1 << 16), UInt64Vector
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.at = np.zeros(1 << 14, dtype=np.int64)  # of part i: ids[at[i]:at[i + 1]]
-        self.count = 0
+        self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)  # of part i: ids[at[i]:at[i] + n[i]]
+        self.count = self.filled = 0
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -116,7 +123,7 @@ class Encoder:
             label = self._labels(h, data, start, size)
         else:
             label = np.zeros(0, dtype=np.int64)
-        n = self.at[label + 1] - self.at[label]
+        n = self.n[label]
         if self.end is not None:
             label, n = np.insert(label, first[1:], -1), np.insert(n, first[1:], 1)
             first = first + np.arange(len(first))
@@ -146,27 +153,28 @@ class Encoder:
         """Encodes new parts: those that begin with white space as one text, the others each for itself."""
         last = data[start + size - 1]
         joins = ((data[start] == 32) | (data[start] == 10)) & (last != 32) & (last != 10)
-        n = np.zeros(len(start), dtype=np.int64)
-        lists: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(start)
+        lo = self.count - len(start)
+        while len(self.at) < self.count:
+            self.at, self.n = np.append(self.at, np.zeros_like(self.at)), np.append(self.n, np.zeros_like(self.n))
         at = np.flatnonzero(joins)
         if len(at):
-            body = b"".join(data[a : a + k].tobytes() for a, k in zip(start[at].tolist(), size[at].tolist(), strict=True))
+            upto = np.cumsum(size[at])
+            body = data[np.arange(upto[-1]) + np.repeat(start[at] - upto + size[at], size[at])].tobytes()
             ids = np.array(self._whole(body.decode()), dtype=np.uint32)
             ends = np.cumsum(self.bytes_of[ids])
-            cut = np.searchsorted(ends, np.cumsum(size[at])) + 1
-            assert ends[-1] == len(body) and (ends[cut - 1] == np.cumsum(size[at])).all(), "a piece of the tokenizer crosses white space"
-            for i, x in zip(at.tolist(), np.split(ids, cut[:-1]), strict=True):
-                lists[i] = x
-        other = np.flatnonzero(~joins).tolist()
-        if other:
-            texts = [data[start[i] : start[i] + size[i]].tobytes().decode() for i in other]
-            for i, e in zip(other, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                lists[i] = np.array(e.ids, dtype=np.uint32)
-        n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        lo = self.count - len(start)
-        while len(self.at) < self.count + 1:
-            self.at = np.append(self.at, np.zeros_like(self.at))
-        self.at[lo + 1 : self.count + 1] = self.at[lo] + np.cumsum(n)
-        while len(self.ids) < self.at[self.count]:
+            cut = np.searchsorted(ends, upto) + 1
+            if ends[-1] != len(body) or (ends[cut - 1] != upto).any():
+                raise AssertionError("a piece of the tokenizer crosses white space")
+            self._keep(lo + at, ids, np.diff(cut, prepend=0))
+        other = np.flatnonzero(~joins)
+        if len(other):
+            texts = [data[a : a + k].tobytes().decode() for a, k in zip(start[other].tolist(), size[other].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            self._keep(lo + other, np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found]))
+
+    def _keep(self, label: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        while len(self.ids) < self.filled + len(ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[self.at[lo] : self.at[self.count]] = np.concatenate(lists)
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.at[label], self.n[label] = self.filled + np.cumsum(n) - n, n
+        self.filled += len(ids)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import fresh_dir
-from vellumine.llm.encoder import Encoder
+from vellumine.llm.encoder import encoder
 from vellumine.llm.words import mixed, pieces, plain
 
 ROLL, CUT_BITS, LONGEST = 4, 9, 4096
@@ -90,12 +90,12 @@ def _encoded(docs: DataFrame, tokenizer: str, end: int | None, width: int) -> Da
     """Rows of two kinds from one pass over the texts: chunks that are new to the task, and recipes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sent = Encoder(tokenizer, end), set()
+        own, sent = encoder(tokenizer, end), set()
         for batch in batches:
             texts, doc_ids = plain(batch.column("text")), batch.column("doc_id")
             for lo, hi in pieces(texts):
                 at = lo
-                for n, ids, each in encoder.encode(texts.slice(lo, hi - lo)):
+                for n, ids, each in own.encode(texts.slice(lo, hi - lo)):
                     yield _rows(doc_ids.slice(at, n), ids, each, sent)
                     at += n
 

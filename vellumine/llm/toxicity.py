@@ -197,7 +197,7 @@ class Machine:
 class Scorer:
     """Scores Arrow texts; keeps the margins of known units, in a table of bounded size."""
 
-    def __init__(self, machine: Machine, known: int = 1_500_000):
+    def __init__(self, machine: Machine, known: int = 1_000_000):
         self.machine, self.known = machine, known
         self._clear()
 
@@ -239,6 +239,17 @@ class Scorer:
         return np.maximum(out, LOWEST)
 
 
+_SCORERS: dict[int, Scorer] = {}
+
+
+def _scorer(sent) -> Scorer:
+    """This process's scorer of a broadcast machine: a worker keeps its table of known units from task to task."""
+    if id(sent.value) not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[id(sent.value)] = Scorer(sent.value)
+    return _SCORERS[id(sent.value)]
+
+
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 
@@ -254,6 +265,27 @@ def _unit_texts(texts: list[str]) -> list[list[bytes]]:
     return out
 
 
+def _neighbours(sentences: list[str], vocabulary: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """(words, counts): the number of different neighbours of a word, of the side that has fewer. Adds to the vocabulary."""
+    sides: list[list[np.ndarray]] = [[], []]
+    for lo in range(0, len(sentences), 5000):
+        ids = []
+        for u in _unit_texts(sentences[lo : lo + 5000]):
+            ids.append(0)
+            ids += [vocabulary.setdefault(x[:64], len(vocabulary) + 1) for x in u]
+        row = np.array([*ids, 0], dtype=np.int64)
+        for side, other in zip(sides, (np.roll(row, 1), np.roll(row, -1)), strict=True):
+            side.append(np.unique(row << 32 | other))
+    least = None
+    for side in sides:
+        pair = np.unique(np.concatenate(side)) if side else np.zeros(0, dtype=np.int64)
+        n = np.bincount(pair >> 32, minlength=len(vocabulary) + 1)
+        least = n if least is None else np.minimum(least, n)
+    single = np.fromiter((len(x) > 1 for x in vocabulary), dtype=bool, count=len(vocabulary))
+    at = np.flatnonzero((least[1:] > 0) & single)
+    return at.tolist(), least[1:][at].tolist()
+
+
 def _flat(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), dtype=np.uint8).astype(np.int64), np.array([len(x) for x in found], dtype=np.int64)
 
@@ -273,27 +305,21 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) ->
     return w
 
 
-def fit(toxic: list[str], clean: list[str], landmarks: int = 300, most_units: int = 3000, seed: int = 5) -> Machine | None:
+def fit(toxic: list[str], clean: list[str], landmarks: int = 240, most_units: int = 3000, seed: int = 5) -> Machine | None:
     """A machine from texts of both labels, or None without both."""
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
-    counts: list[Counter] = []
-    number = []
+    vocabulary: dict[bytes, int] = {}
+    counts, number = [], []
     for texts in (toxic, clean):
         sentences = list(dict.fromkeys(s for t in texts for s in _SENTENCE.split(t) if s))
-        around: dict[bytes, tuple[set[bytes], set[bytes]]] = {}
-        for u in _unit_texts(sentences):
-            for left, x, right in zip([b"", *u], u, [*u[1:], b""], strict=False):
-                if len(x) > 1:
-                    seen = around.setdefault(x[:64], (set(), set()))
-                    seen[0].add(left)
-                    seen[1].add(right)
-        counts.append(Counter({x: min(len(a), len(b)) for x, (a, b) in around.items()}))
+        counts.append(_neighbours(sentences, vocabulary))
         number.append(max(1, len(sentences)))
-    pos, neg = counts
+    names = list(vocabulary)
+    pos, neg = ({names[i]: n for i, n in zip(*x, strict=True)} for x in counts)
     # How much more often toxic sentences have a word than others, smoothed.
-    odds = {u: math.log((n + 0.1) / number[0]) - math.log((neg[u] + 0.5) / number[1]) for u, n in pos.items()}
+    odds = {u: math.log((n + 0.1) / number[0]) - math.log((neg.get(u, 0) + 0.5) / number[1]) for u, n in pos.items()}
     support = 3 if len(toxic) >= 100 else 1
     seeds = [u for u, n in pos.items() if n >= support and odds[u] > math.log(8)]
     strength = {u: (pos[u] * odds[u]) for u in seeds}
@@ -320,31 +346,39 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = 300, most_units: in
         for t in f:
             cells.setdefault(t, len(cells))
 
-    def dense(fs: list[Counter]) -> np.ndarray:
-        out = np.zeros((len(fs), len(cells)), dtype=np.float32)
-        for i, f in enumerate(fs):
-            for t, v in f.items():
-                if (k := cells.get(t)) is not None:
-                    out[i, k] = v
+    land = np.zeros((len(cells), len(marks)), dtype=np.float32)
+    for i, f in enumerate(mark_features):
+        for t, v in f.items():
+            land[cells[t], i] = v
+
+    def kernel(found: list[bytes]) -> np.ndarray:
+        """Kernel values with the landmarks: only the cells that a unit has are looked at."""
+        out = np.zeros((len(found), len(marks)))
+        for lo in range(0, len(found), 500):
+            for i, f in enumerate(features(*_flat(found[lo : lo + 500]))):
+                known = [(cells[t], v) for t, v in f.items() if t in cells]
+                if known:
+                    at, v = zip(*known, strict=True)
+                    out[lo + i] = np.array(v) @ land[list(at)]
         return out
 
-    land = dense(mark_features)
-    value, vector = np.linalg.eigh((land @ land.T).astype(np.float64))
+    value, vector = np.linalg.eigh(kernel(marks))
     good = value > 1e-8 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # K^(-1/2), in its eigenvectors
-    names = np.array(list(cells))
-    orders = [np.flatnonzero(names[:, 0] == k) for k in range(len(ORDERS))]
+    cell_names = np.array(list(cells))
+    orders = [np.flatnonzero(cell_names[:, 0] == k) for k in range(len(ORDERS))]
 
-    def trained(plus: list[bytes], minus: list[bytes]) -> Machine:
-        x = np.concatenate([dense(features(*_flat(part))) @ land.T @ root for lo in range(0, len(plus) + len(minus), 500) if (part := (plus + minus)[lo : lo + 500])])
+    def trained(plus: np.ndarray, minus: np.ndarray) -> Machine:
+        x = np.concatenate([plus, minus]) @ root
         x = np.column_stack([x, np.ones(len(x))])
         y = np.array([1.0] * len(plus) + [-1.0] * len(minus))
         cost = np.where(y > 0, 0.5 * len(y) / len(plus), 0.5 * len(y) / len(minus))
         w = _svm(x, y, cost)
-        folded = land.T @ (root @ w[:-1])
-        return Machine([(names[k, 1], folded[k]) for k in orders], float(w[-1]), 1.0, 0.0)
+        folded = land @ (root @ w[:-1])
+        return Machine([(cell_names[k, 1], folded[k]) for k in orders], float(w[-1]), 1.0, 0.0)
 
-    machine = trained(positive, negative)
+    plus, minus = kernel(positive), kernel(negative)
+    machine = trained(plus, minus)
     every = [u for u in neg if u not in chosen]
     for _ in range(5):
         got = np.concatenate([machine.margins(*_flat(every[lo : lo + 20_000])) for lo in range(0, len(every), 20_000)])
@@ -353,7 +387,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = 300, most_units: in
         if not hard:
             break
         negative += hard
-        machine = trained(positive, negative)
+        minus = np.concatenate([minus, kernel(hard)])
+        machine = trained(plus, minus)
     scorer = Scorer(machine)
     margin = np.concatenate([scorer.text_margins(pa.array(t, pa.string())) for t in (toxic, clean)])
     machine.slope, machine.shift = _platt(margin, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
@@ -380,7 +415,7 @@ def is_held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
     """Fits on at most `sample` documents of each label, none of them held out."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(~is_held_out(F.col("id")) & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     # The lowest hashes of each label that have a document: ids first, then the texts of those ids alone.
@@ -404,7 +439,7 @@ def score(docs: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ("do
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep], f"`{out}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(sent)
         for batch in batches:
             p = sent.value.probability(scorer.text_margins(plain(batch.column(own))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p)], names=[*keep, out])

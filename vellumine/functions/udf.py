@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache, wraps
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def arrow(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
@@ -23,3 +26,19 @@ def arrow(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return decorate
+
+
+def add_column(df: DataFrame, name: str, ddl: str, f: Callable[..., list], *inputs: str) -> DataFrame:
+    """df with a column that f makes of lists of Python values, an Arrow batch at a time. A step of its own in the plan:
+    what is computed from it later is not computed again inside its arguments."""
+    kind = T._parse_datatype_string(ddl)
+    schema = T.StructType([*[x for x in df.schema.fields if x.name != name], T.StructField(name, kind)])
+    others = [x.name for x in schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow_type = to_arrow_type(kind)
+        for batch in batches:
+            made = f(*[batch.column(c).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(made, arrow_type)], names=[*others, name])
+
+    return df.mapInArrow(run, schema)

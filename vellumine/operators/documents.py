@@ -5,12 +5,11 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
-from vellumine.functions.udf import arrow
+from vellumine.functions.udf import add_column
 from vellumine.operators import captions as C
 from vellumine.operators import sections as S
 from vellumine.schema import SCHEMA_URL
@@ -23,8 +22,7 @@ def _told(content: object) -> str:
     return " ".join(map(str, content)) if isinstance(content, list) else content if isinstance(content, str) else ""
 
 
-@arrow(_PARTS)
-def document_parts(documents: pd.Series) -> pd.DataFrame:
+def document_parts(documents: list[str | None]) -> list[dict]:
     """Sections with content as text (lists joined by spaces, else empty), and captions of any shape as JSON text."""
     rows = []
     for d in documents:
@@ -33,8 +31,8 @@ def document_parts(documents: pd.Series) -> pd.DataFrame:
         listed = content.get("sections", []) if isinstance(content, dict) else None
         some = [{"sectionTitle": _told(s.get("sectionTitle", "")), "sectionContent": _told(s.get("sectionContent", ""))} for s in listed if isinstance(s, dict)] if isinstance(listed, list) else []
         shapes = [json.dumps(doc[k], ensure_ascii=False) if doc.get(k) else None for k in ("imageCaptions", "tableCaptions", "imageCaption", "tableCaption")]
-        rows.append((isinstance(listed, list), some, *shapes))
-    return pd.DataFrame(rows, columns=["is_list", "sections", "image", "table", "image_old", "table_old"])
+        rows.append(dict(zip(("is_list", "sections", "image", "table", "image_old", "table_old"), (isinstance(listed, list), some, *shapes), strict=True)))
+    return rows
 
 
 def postprocess(df: DataFrame, sections: str = "sections", image: str = "imageCaptions", table: str = "tableCaptions") -> DataFrame:
@@ -51,28 +49,27 @@ def postprocess(df: DataFrame, sections: str = "sections", image: str = "imageCa
     return staged.withColumn(sections, S.remove_caption_text(F.col("__once"), F.col(table))).drop("__rest", "__figures", "__tables", "__kept", "__once")
 
 
-@arrow("string")
-def _assembled(documents: pd.Series, parts: pd.DataFrame) -> pd.Series:
+def _assembled(documents: list[str | None], parts: list[dict]) -> list[str]:
     """The document with its new parts, the schema stamp and cleaned names."""
     out = []
-    for d, listed, sections, image, table in zip(documents, parts["is_list"], parts["sections"], parts["image"], parts["table"], strict=True):
+    for d, p in zip(documents, parts, strict=True):
         doc = json.loads(d) if d else {}
         doc.setdefault("$schema", SCHEMA_URL)
         for key in ("imageCaption", "tableCaption"):
             doc.pop(key, None)
-        doc["imageCaptions"], doc["tableCaptions"] = json.loads(image), json.loads(table)
+        doc["imageCaptions"], doc["tableCaptions"] = json.loads(p["image"]), json.loads(p["table"])
         content = doc.get("posterContent")
         for holder, key in ((doc, "posterTitle"), (doc, "domain"), (content, "posterTitle")):
             if isinstance(holder, dict) and isinstance(holder.get(key), str):
                 holder[key] = cleaned_text(holder[key])
-        if listed and isinstance(content, dict):
-            content["sections"] = json.loads(sections)
+        if p["is_list"] and isinstance(content, dict):
+            content["sections"] = json.loads(p["sections"])
         for key, field in (("creators", "name"), ("titles", "title")):
             for item in doc[key] if isinstance(doc.get(key), list) else ():
                 if isinstance(item, dict) and isinstance(item.get(field), str):
                     item[field] = cleaned_text(item[field])
         out.append(json.dumps(doc, ensure_ascii=False))
-    return pd.Series(out)
+    return out
 
 
 def cleaned_text(s: str) -> str:
@@ -82,10 +79,10 @@ def cleaned_text(s: str) -> str:
 
 def postprocess_json(df: DataFrame, column: str = "document") -> DataFrame:
     """JSON form, any shape of captions and contents: the column's documents in their final form. Error objects get their stamp and captions too."""
-    parts = df.withColumn("__p", document_parts(F.col(column)))
+    parts = add_column(df, "__p", _PARTS, document_parts, column)
     joined = lambda new, old: F.concat(C.from_shapes(F.coalesce(F.col(f"__p.{new}"), F.lit("[]"))), C.from_shapes(F.coalesce(F.col(f"__p.{old}"), F.lit("[]"))))
     typed = parts.withColumns({"__s": F.col("__p.sections"), "__i0": joined("image", "image_old"), "__t0": joined("table", "table_old")}).withColumns({"__i": F.col("__i0"), "__t": F.col("__t0")})
     done = postprocess(typed, "__s", "__i", "__t")
     listed = F.col("__p.is_list")
     new = F.struct(listed.alias("is_list"), F.to_json("__s").alias("sections"), F.to_json(F.when(listed, F.col("__i")).otherwise(F.col("__i0"))).alias("image"), F.to_json(F.when(listed, F.col("__t")).otherwise(F.col("__t0"))).alias("table"))
-    return done.withColumn(column, _assembled(F.col(column), new)).drop("__p", "__s", "__i", "__t", "__i0", "__t0")
+    return add_column(done.select(*df.columns, new.alias("__new")), column, "string", _assembled, column, "__new").select(*df.columns)

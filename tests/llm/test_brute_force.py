@@ -1,0 +1,411 @@
+"""Each operator against a plain version, an exact round trip or held-out documents."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from vellumine.llm import chat, decontamination, html_text, mixing, pii, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm.encoder import Encoder
+from vellumine.llm.html_blocks import blocks
+from vellumine.llm.html_samples import sample_pages
+from vellumine.llm.queries import TOKENIZER
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+
+
+# Near duplicates
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints():
+    r = random.Random(2)
+    texts = ["", "One", "two WORDS", "É é\tx y z\r\n a  b", *[" ".join(r.choices("aä b C dd e".split(), k=r.randint(1, 60))) for _ in range(60)]]
+    got = simhash.fingerprints(pa.array(texts))
+    assert got.tolist() == [plain_fingerprint(t) for t in texts]
+
+
+def test_golay_keys_meet_for_all_close_pairs():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for far in range(1, 5):
+        y = x.copy()
+        for i in range(len(y)):
+            for b in rng.choice(64, far, replace=False):
+                y[i] ^= np.uint64(1) << np.uint64(b)
+        px, kx, rx = simhash.keys(x)
+        py, ky, ry = simhash.keys(y)
+        for i in range(len(x)):
+            a, b = dict(zip(kx[px == i].tolist(), rx[px == i].tolist(), strict=True)), dict(zip(ky[py == i].tolist(), ry[py == i].tolist(), strict=True))
+            assert any((a[k] | b[k]) == 3 and a[k] and b[k] for k in a.keys() & b.keys()), (far, i)
+
+
+def plain_components(prints, far=4):
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= far:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {p: find(p) for p in prints}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_groups_of_clusters_and_chains(spark, block):
+    """Also with keys that are cut into blocks, as very large ones are."""
+    r = random.Random(4)
+    prints = {r.getrandbits(64) for _ in range(100)}
+    for _ in range(6):  # clusters
+        c = r.getrandbits(64)
+        prints |= {c ^ sum(1 << b for b in r.sample(range(12), r.randint(0, 3))) for _ in range(60)}
+    p = r.getrandbits(64)
+    for _ in range(40):  # a chain
+        p ^= sum(1 << b for b in r.sample(range(64), 4))
+        prints.add(p)
+    want = plain_components(sorted(prints))
+    rows = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp bigint")
+    got = {x.node: x.root for x in simhash.components(simhash.linked(rows, block=block)).collect()}
+    sign = lambda v: int(np.uint64(v).view(np.int64))
+    classes = {}
+    for p in prints:
+        classes.setdefault(want[p], set()).add(sign(p))
+    for members in classes.values():
+        assert {got.get(m, m) for m in members} == {min(members)}
+
+
+# Decontamination
+
+
+def plain_overlaps(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = words(text), set(), set()
+    for item, body in items:
+        v = words(body)
+        k = min(10, len(v))
+        windows = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if k else set()
+        for i in range(len(w) - k + 1) if k else ():
+            if tuple(w[i : i + k]) in windows:
+                hit |= set(range(i, i + k))
+                found.add(item)
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_words", [10**6, 30])
+def test_decontamination(spark, block_words):
+    r = random.Random(5)
+    vocabulary = "a b c d e".split()
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice((1, 3, 9, 10, 11, 25))))) for i in range(5, 12)] + [(99, "É-été 12 x_y ÄB " * 4)]
+    docs = [(i, " ".join(r.choices(vocabulary + ["q"], k=r.randint(0, 40))) + r.choice(("", " " + r.choice(items)[1].upper().lower() + " zz"))) for i in range(80)] + [(100, "vor É-été 12 x_y äb " * 3), (101, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.find_overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), bench, block_words=block_words)
+    got = {x.doc_id: (x.n_words, x.n, list(x["items"])) for x in found.withColumn("n", decontamination.n_hit()).collect()}
+    assert got == {i: plain_overlaps(t, items) for i, t in docs}
+
+
+# Search
+
+
+@pytest.mark.parametrize("scale", [1024, 2**28])
+def test_top_k_with_ties(spark, scale):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(500, 12)) * rng.lognormal(size=(500, 1)) * (1 if scale == 1024 else 0.01)
+    vectors[100:140] = vectors[3]  # copies
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    whole = [[int(np.floor(scale * x)) for x in v] for v in vectors.tolist()]
+    found = topk.top_k(rows, F.col("vec_id") % 25 == 3, k=7, scale=scale, block=6, bucket=32, longest=20, coordinate_from=0.2)
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in found.collect())
+    want = []
+    for q in range(3, 500, 25):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(500) if i != q)[:7]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
+
+
+# Mixing
+
+
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        left = [s for s in names if s not in fixed]
+        level = (total - sum(fixed.values())) / sum(w[s] for s in left) if left else 0
+        over = [s for s in left if level * w[s] > most * sizes[s]]
+        if not over:
+            return fixed | {s: level * w[s] for s in left}
+        fixed |= {s: most * sizes[s] for s in over}
+
+
+def test_targets(spark):
+    r = random.Random(7)
+    for _ in range(4):
+        sizes = {s: r.choice((0, 5, 50, 1000, 40000)) for s in ["a", "B", "é", "zz", None, "b", "😀"]}
+        sizes["a"] += 1
+        got = {x.source: x.target for x in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()}
+        want = plain_targets(sizes)
+        assert all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in sizes)
+
+
+def test_mix_is_near_targets_and_repeats(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * r.randint(0, 40)), r.choice(("a", "a", "a", "b", "c", None))) for i in range(3000)], "doc_id bigint, text string, source string")
+    a, b = (sorted(mixing.mix(docs, quality=F.lit(0.3), bins=16).select("doc_id", "size", "source_size", "target", "taken").collect()) for _ in range(2))
+    assert a == b
+    taken = {}
+    for x in a:
+        taken[x.target, x.source_size] = taken.get((x.target, x.source_size), 0) + x.taken
+        assert x.taken % max(1, x["size"]) == 0 and x.taken <= 3 * x["size"]
+    assert all(abs(n - t) <= 20 for (t, _), n in taken.items())
+
+
+def test_sample_goes_by_quality(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
+    out = mixing.mix(docs, quality=F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0), weights=(1, 2)).filter("target < source_size")
+    n = {x.even: x.n for x in out.groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg(F.sum("copies").alias("n")).collect()}
+    assert n[True] > 1.6 * n[False]
+
+
+# Chat
+
+
+def test_chat_round_trip(spark):
+    r = random.Random(9)
+    control = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/s>", "x\n", "é", " [INST] user [/INST]"]
+    turns = [(c, t, r.choice(("user", "assistant", "system", "<s>odd[/INST]")), "".join(r.choices(control, k=r.randint(0, 9)))) for c in range(60) for t in range(r.randint(1, 7))]
+    examples = chat.format_conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    for e in examples.collect():
+        assert e.trainable == (e.loss_start is not None)
+    got = {x.conv_id: x for x in chat.conversation_digests(examples).collect()}
+    for c in range(60):
+        mine = [t for t in turns if t[0] == c]
+        told = "".join(f"{role}\n{text}\n" for _, _, role, text in mine)
+        loss = "".join(text for _, _, role, text in mine if role == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(mine), hashlib.sha256(told.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    n = examples.filter("trainable").count()
+    assert n == sum(role == "assistant" for _, _, role, _ in turns)
+
+
+# Tokens
+
+
+def test_encoder_equals_the_library():
+    r = random.Random(10)
+    bits = ["word", " a", "\n", "  ", "\t", " ", "　", "é", "'s", "12", "<|endoftext|>", "日本", "!?", "x" * 30]
+    texts = ["", " ", "\n\n", "a" * 9000, *["".join(r.choices(bits, k=r.randint(1, 40))) for _ in range(300)]]
+    library = Tokenizer.from_file(TOKENIZER)
+    encoder = Encoder(TOKENIZER, 0, known=200)
+    got = [x.tolist() for n, ids, each in encoder.encode(pa.array(texts)) for x in np.split(ids, np.cumsum(each)[:-1])]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_cuts_follow_content():
+    rng = np.random.default_rng(11)
+    body = rng.integers(0, 50_000, 30_000).astype(np.uint32)
+    a, b = body, np.concatenate([rng.integers(0, 50_000, 777).astype(np.uint32), body])
+    ends = token_store.cuts(a, np.array([len(a)])), token_store.cuts(b, np.array([len(b)])) - 777
+    assert len(set(ends[0].tolist()) & set(ends[1].tolist())) > 0.9 * len(ends[0])
+    flat = token_store.cuts(np.zeros(10_000, dtype=np.uint32), np.array([10_000]))
+    assert np.diff(flat, prepend=0).max() <= token_store.LONGEST
+
+
+def test_crc_of_parts():
+    data = os.urandom(1000)
+    at = [0, 10, 10, 400, 1000]
+    parts = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+    terms = token_store.crc_before(np.array([zlib.crc32(p) for p in parts]), np.array([1000 - b for b in at[1:]]))
+    assert int(np.bitwise_xor.reduce(terms)) == zlib.crc32(data)
+
+
+def test_store_round_trip_and_tampering(spark):
+    r = random.Random(12)
+    shared = " ".join(str(r.random()) for _ in range(2000))
+    docs = [(i, (shared if i % 3 == 0 else "") + f" text {i} " * r.randint(0, 30)) for i in range(60)]
+    store = token_store.write_store(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), TOKENIZER)
+    library = Tokenizer.from_file(TOKENIZER)
+    want = {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in docs}
+    start = 0
+    digests = {x.doc_id: x for x in token_store.read_digests(spark, store).collect()}
+    rebuilt = {x.doc_id: x for x in token_store.read_documents(spark, store).collect()}
+    for i, ids in want.items():
+        d = digests[i]
+        assert (d.start, d.n_tokens, d.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        assert rebuilt[i].ids == ids and rebuilt[i].start == start
+        start += len(ids)
+    chunks = store.part(spark, "chunks")
+    assert chunks.count() == chunks.select("digest").distinct().count() < sum(len(x.digests) for x in store.part(spark, "recipes").collect())
+    rows = [(x.digest, bytes(x.payload)) for x in chunks.collect()]
+    spark.createDataFrame([(d, p[::-1] if k == 0 and p[::-1] != p else p) for k, (d, p) in enumerate(sorted(rows, key=lambda x: -len(x[1])))], "key binary, payload binary").write.mode("overwrite").parquet(f"{store.path}/chunks")
+    with pytest.raises(Exception, match="match its address"):
+        token_store.read_digests(spark, store).collect()
+
+
+# Personal data
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_pii(text):
+    def sound(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == 1:
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == 2:
+            return 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+        return kind == 0 or 9 <= len(d) <= 15
+
+    found = sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if sound(k, m[0]))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found)
+
+
+def test_base_spans(spark):
+    r = random.Random(13)
+    bits = ["a", "b.c", "@", "@x.org", ".", "-", " ", "1", "25", "999", "4111 1111 1111 1111", "10.0.0.255", "+1 (988) 555-2485", "+", "(", "", "é", "😀", "_", "%", "0"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 25))) for _ in range(1500)] + ["a" * 20_000, "1." * 3000, "1 " * 9000, "+1" * 2000, "@" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.s for x in rows.select("doc_id", pii.told(pii.base_spans(F.col("text"))).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_pii(t), t
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    texts = [f"w{i} account: user{i}@mail.example.com q" for i in range(30)] + ["hello account: jdoe-77x end", "nothing 77x here"]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {x.doc_id: x.s for x in found.select("doc_id", pii.told(F.col("added")).alias("s")).collect() if x.s}
+    assert got == {30: "email:15:23"}
+
+
+# Pages
+
+
+def test_blocks_of_broken_markup():
+    page = "<body>a <b>b</b>c<p>one<p>two<br>three &amp; &#233;<script>var x='</p>';</script> four<ul><li>x<li>y</ul><!-- no --><style>p{}</style></body>"
+    assert [b.text for b in blocks(page)] == ["a bc", "one", "two three & é four", "x", "y"]
+
+
+def test_labeller_on_pages_it_has_not_seen():
+    pages = list(sample_pages(250, seed=777))
+    found = [blocks(p) for p, _ in pages]
+    labels = html_text.trained().label([html_text.vectors(b) for b in found])
+    wrong = sum(int((np.array([x.text in main for x in b]) != y).sum()) for (_, main), b, y in zip(pages, found, labels, strict=True))
+    assert wrong <= 0.01 * sum(map(len, found))
+
+
+def test_labeller_gradients():
+    rng = np.random.default_rng(14)
+    model = html_text.Labeller()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, mask = rng.normal(size=(4, 2, html_text.INPUT)), np.array([[1, 1], [1, 1], [1, 0], [1, 0]], dtype=bool)
+    y = rng.integers(0, 2, mask.shape).astype(float)
+    _, grad = model.gradients(x, mask, y)
+    for name in ("xf", "hb", "cf", "o"):
+        at = (0,) * model.p[name].ndim
+        model.p[name][at] += 1e-4
+        up = model.gradients(x, mask, y)[0]
+        model.p[name][at] -= 2e-4
+        down = model.gradients(x, mask, y)[0]
+        model.p[name][at] += 1e-4
+        assert abs((up - down) / 2e-4 - grad[name][at]) < 1e-3
+
+
+@needs_data
+def test_main_text_of_the_tables_pages(spark):
+    import html
+
+    rows = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {x.page_id: x.text for x in html_text.extract(rows).collect()}
+    for x in rows.collect():
+        body = re.search(r"<article>(.*)</article>", x.html, re.S)[1]
+        assert got[x.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", body))).split())
+
+
+# Host graph
+
+
+def test_page_rank(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 3), ("e", "d", 1)]
+    seeds = spark.createDataFrame([("a", 3, 0), ("b", 1, 0), ("d", 0, 5), ("e", 0, 0)], "host string, allowed bigint, blocked bigint")
+    got = {x.host: (x.trust, x.distrust) for x in url_filter.host_scores(spark.createDataFrame(edges, "src string, dst string, links bigint"), seeds, rounds=20, tolerance=0).collect()}
+
+    def plain(edges, seed):
+        out = {}
+        for s, _, n in edges:
+            out[s] = out.get(s, 0) + n
+        wave = {h: 0.15 * v for h, v in seed.items()}
+        total = dict(wave)
+        for _ in range(20):
+            new = {}
+            for s, d, n in edges:
+                if s in wave:
+                    new[d] = new.get(d, 0) + 0.85 * wave[s] * n / out[s]
+            wave = new
+            for h, v in wave.items():
+                total[h] = total.get(h, 0) + v
+        return total
+
+    trust, distrust = plain(edges, {"a": 0.75, "b": 0.25}), plain([(d, s, n) for s, d, n in edges], {"d": 1.0})
+    for h in set(trust) | set(distrust):
+        assert abs(got[h][0] - trust.get(h, 0)) < 1e-9 and abs(got[h][1] - distrust.get(h, 0)) < 1e-9
+
+
+def test_links_spread_verdicts(spark):
+    link = lambda h: f'<a href="https://{h}/x">y</a>'
+    rows = [(1, "http://bad.example.org/es/1", ""), (2, "http://fan.example.org/x", link("bad.example.org")), (3, "http://ok.example.net/de/1", link("friend.example.com")), (4, "http://friend.example.com/x", link("FRIEND.example.com")), (5, "http://alone.example.com/x", "")]
+    judged = url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string"), [("block", "org", "/es/"), ("allow", "net", "/de/")])
+    assert {x.page_id: x.verdict for x in judged.collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+# Toxicity
+
+
+def test_kernel_is_the_sum_over_subsequences():
+    code = lambda w: (np.array([ord(x) - 96 for x in w]), np.array([len(w)]))
+    a, b = (toxicity.features(*code(w))[0] for w in ("moron", "moroxn"))
+    k = lambda x, y: sum(v * y.get(t, 0) for t, v in x.items())
+    c = toxicity.features(*code("table"))[0]
+    assert k(a, b) > 0.4 * k(a, a) > 5 * k(a, c)
+
+
+def test_held_out_documents_and_disguises():
+    r = random.Random(15)
+    word = lambda: "".join(r.choices(["an", "the", "or", "ing", "ti", "es", "wh"], k=r.randint(1, 4)))
+    text = lambda bad: " ".join([*(word() for _ in range(60)), *([r.choice(("scoundrel", "dimwit", "vermin"))] if bad else []), *(word() for _ in range(60))])
+    machine = toxicity.fit([text(True) for _ in range(200)], [text(False) for _ in range(400)])
+    score = lambda texts: machine.probability(toxicity.Scorer(machine).text_margins(pa.array(texts)))
+    assert (score([text(True) for _ in range(100)]) >= 0.7).mean() >= 0.98
+    assert (score([text(False) for _ in range(300)]) >= 0.7).mean() <= 0.01
+    assert (score(["the s c o u n d r e l is", "a dim.wit", "the vermxin or", "a sscoundrel", "Dimw1t"]) >= 0.5).all()
+    assert score([""])[0] <= score(["the or"])[0] + 1e-9
+
+
+@needs_data
+def test_pipeline_over_the_tables(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, DATA).orderBy("start").collect()
+    assert out and all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:]))
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5

@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     after = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     # The first source that has room at its own level sets the level of all from there on; those before it are full.
-    filled = weighed.withColumn("level", level).withColumn("fits", F.col("cap") >= F.col("level") * F.col("weight"))
-    final = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("level")))).over(everything)["level"]
+    filled = weighed.withColumn("level", level).withColumn("place", F.row_number().over(by_room)).withColumn("fits", F.col("cap") >= F.col("level") * F.col("weight"))
+    final = F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(everything)["level"]
     return filled.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 

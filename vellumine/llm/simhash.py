@@ -301,7 +301,7 @@ def _large_keys(rows: DataFrame, far: int) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, root for every node of the links (columns a, b): root is the least node that can be reached. Alternating large and small stars."""
+    """node, root for every node of the links (columns a, b) but the roots: root is the least node that can be reached. Alternating large and small stars."""
     state = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "simhash-stars")
     told = None
     for _ in range(most_rounds):

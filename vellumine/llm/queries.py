@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, html_text, mixing, pii, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, mixing, oracle, pii, simhash, token_store, topk, toxicity, url_filter
 from vellumine.llm.common import table
 
 #: (verdict, host, path): fixed values.
@@ -69,7 +69,7 @@ def op8_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_winnow_decontamination": oracle.DECONTAMINATION,
+        "op3_norm_buckets": oracle.TOP_K,
+        "op5_chat_prefix_targets": oracle.chat(LOOKALIKE),
+        "op7_contextual_pii": oracle.pii(),
+        "op8_block_labeller": oracle.PAGES,
+        "op9_url_link_graph": oracle.urls(URL_RULES),
+    }

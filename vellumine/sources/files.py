@@ -112,3 +112,13 @@ def setting(name: str, default: str | None = None, env_file: str = ".env") -> st
 def read_jobs(spark: SparkSession, url: str, dbtable: str = '"ExtractionJob"', **options: str) -> DataFrame:
     """The job table over JDBC; filters, columns and limits are pushed down."""
     return spark.read.format("jdbc").options(url=url, dbtable=dbtable, **options).load()
+
+
+def object_path(base: str, path: Column) -> Column:
+    """Where a stored file is: base and path with one slash between."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(path, "^/+", ""))
+
+
+def read_objects(spark: SparkSession, base: str, wanted: list[str]) -> DataFrame:
+    """path, content of some objects, through Spark's file systems (s3a, abfss, hdfs, file); credentials come from the session's settings."""
+    return spark.read.format("binaryFile").load([f"{base.rstrip('/')}/{p.lstrip('/')}" for p in wanted]).select("path", "content")

@@ -81,7 +81,7 @@ def test_postprocess_flow(spark):
 
 def test_postprocess_json(spark):
     docs = [
-        {"posterContent": {"sections": [{"sectionTitle": "T​", "sectionContent": ["part one of it", "part two"]}, "junk"]}, "imageCaption": [{"caption1": "Fig"}], "creators": [{"name": "A​ B"}], "domain": "d  e"},
+        {"posterContent": {"sections": [{"sectionTitle": "T\u200b", "sectionContent": ["part one of it", "part two"]}, "junk"]}, "imageCaption": [{"caption1": "Fig"}], "creators": [{"name": "A\u200b B"}], "domain": "d  e"},
         {"error": "No JSON found", "raw": "x"},
         {"posterContent": {"sections": "none"}, "imageCaptions": {"captions": [{"captionParts": ["x"]}]}},
     ]

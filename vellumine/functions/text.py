@@ -11,8 +11,8 @@ from vellumine.functions.udf import arrow
 
 _SPACE = r"\s\x1C-\x1F"
 #: Invisible characters that are deleted; spaces that become plain ones.
-INVISIBLE = "[‎‏‪-‮⁦-⁩​-‍﻿­]"
-ODD_SPACES = "[  -     　]"
+INVISIBLE = "[\u200e\u200f\u202a-\u202e\u2066-\u2069\u200b-\u200d\ufeff\u00ad]"
+ODD_SPACES = "[\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(c: Column) -> Column:
@@ -76,7 +76,7 @@ def clean_table_data(c: Column, title: Column) -> Column:
 
 
 #: Fixed values for comparison of texts.
-_SPACES = " " + "".join(chr(x) for x in range(0x2000, 0x200B)) + "  　"
+_SPACES = "\u00a0" + "".join(chr(x) for x in range(0x2000, 0x200B)) + "\u202f\u205f\u3000"
 _SINGLE, _DOUBLE, _DASHES = "‛′‹›‚‟", "„«»〝〞〟＂", "‐‑‒–—―−"
 _SUPER, _SUB = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉"
 

@@ -49,12 +49,12 @@ def postprocess(df: DataFrame, sections: str = "sections", image: str = "imageCa
     return staged.withColumn(sections, S.remove_caption_text(F.col("__once"), F.col(table))).drop("__rest", "__figures", "__tables", "__kept", "__once")
 
 
-def _assembled(documents: list[str | None], parts: list[dict]) -> list[str]:
+def _assembled(documents: list[str | None], parts: list[dict], url: str) -> list[str]:
     """The document with its new parts, the schema stamp and cleaned names."""
     out = []
     for d, p in zip(documents, parts, strict=True):
         doc = json.loads(d) if d else {}
-        doc.setdefault("$schema", SCHEMA_URL)
+        doc.setdefault("$schema", url)
         for key in ("imageCaption", "tableCaption"):
             doc.pop(key, None)
         doc["imageCaptions"], doc["tableCaptions"] = json.loads(p["image"]), json.loads(p["table"])
@@ -77,7 +77,7 @@ def cleaned_text(s: str) -> str:
     return re.sub(" {2,}", " ", re.sub(X.ODD_SPACES, " ", re.sub(X.INVISIBLE, "", s))).strip()
 
 
-def postprocess_json(df: DataFrame, column: str = "document") -> DataFrame:
+def postprocess_json(df: DataFrame, column: str = "document", schema_url: str = SCHEMA_URL) -> DataFrame:
     """JSON form, any shape of captions and contents: the column's documents in their final form. Error objects get their stamp and captions too."""
     parts = add_column(df, "__p", _PARTS, document_parts, column)
     joined = lambda new, old: F.concat(C.from_shapes(F.coalesce(F.col(f"__p.{new}"), F.lit("[]"))), C.from_shapes(F.coalesce(F.col(f"__p.{old}"), F.lit("[]"))))
@@ -85,4 +85,4 @@ def postprocess_json(df: DataFrame, column: str = "document") -> DataFrame:
     done = postprocess(typed, "__s", "__i", "__t")
     listed = F.col("__p.is_list")
     new = F.struct(listed.alias("is_list"), F.to_json("__s").alias("sections"), F.to_json(F.when(listed, F.col("__i")).otherwise(F.col("__i0"))).alias("image"), F.to_json(F.when(listed, F.col("__t")).otherwise(F.col("__t0"))).alias("table"))
-    return add_column(done.select(*df.columns, new.alias("__new")), column, "string", _assembled, column, "__new").select(*df.columns)
+    return add_column(done.select(*df.columns, new.alias("__new")), column, "string", lambda ds, ps: _assembled(ds, ps, schema_url), column, "__new").select(*df.columns)

@@ -18,7 +18,8 @@ posterContent struct<sections:array<struct<sectionTitle:string,sectionContent:st
 imageCaptions array<struct<captions:array<string>>>, tableCaptions array<struct<captions:array<string>>>
 """.replace("\n", " ").strip()
 
-SCHEMA_URL = "https://posters.science/schema/v0.1/poster_schema.json"
+#: What documents without one get as `$schema`; the functions that stamp take another address.
+SCHEMA_URL = "urn:document-schema:0.1"
 
 TEXT, FILLED = {"type": "string"}, {"type": "string", "minLength": 1}
 YEAR = {"type": "integer", "minimum": 1900, "maximum": 2100}

@@ -10,10 +10,10 @@ from vellumine.operators.mapping import description_of, metadata_row, title_of
 from vellumine.schema import DOCUMENT, METADATA, SCHEMA_URL
 
 
-def stamped(document: Column) -> Column:
+def stamped(document: Column, url: str = SCHEMA_URL) -> Column:
     """A JSON object with the schema's address, if it has none."""
     has = F.array_contains(F.json_object_keys(document), "$schema")
-    first = F.concat(F.lit(f'{{"$schema":"{SCHEMA_URL}"'), F.when(F.size(F.json_object_keys(document)) > 0, ",").otherwise(""), F.substr(F.ltrim(document), F.lit(2)))
+    first = F.concat(F.lit(f'{{"$schema":"{url}"'), F.when(F.size(F.json_object_keys(document)) > 0, ",").otherwise(""), F.substr(F.ltrim(document), F.lit(2)))
     return F.when(has, document).otherwise(first)
 
 

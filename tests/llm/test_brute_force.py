@@ -37,7 +37,7 @@ def plain_fingerprint(text):
 
 def test_fingerprints():
     r = random.Random(2)
-    texts = ["", "One", "two WORDS", "É é\tx y z\r\n a  b", *[" ".join(r.choices("aä b C dd e".split(), k=r.randint(1, 60))) for _ in range(60)]]
+    texts = ["", "One", "two WORDS", "É é\tx\u00a0y z\r\n a  b", *[" ".join(r.choices("aä b C dd e".split(), k=r.randint(1, 60))) for _ in range(60)]]
     got = simhash.fingerprints(pa.array(texts))
     assert got.tolist() == [plain_fingerprint(t) for t in texts]
 
@@ -215,7 +215,7 @@ def test_chat_round_trip(spark):
 
 def test_encoder_equals_the_library():
     r = random.Random(10)
-    bits = ["word", " a", "\n", "  ", "\t", " ", "　", "é", "'s", "12", "<|endoftext|>", "日本", "!?", "x" * 30]
+    bits = ["word", " a", "\n", "  ", "\t", "\u00a0", "\u3000", "é", "'s", "12", "<|endoftext|>", "日本", "!?", "x" * 30]
     texts = ["", " ", "\n\n", "a" * 9000, *["".join(r.choices(bits, k=r.randint(1, 40))) for _ in range(300)]]
     library = Tokenizer.from_file(TOKENIZER)
     encoder = Encoder(TOKENIZER, 0, known=200)
@@ -284,7 +284,7 @@ def plain_pii(text):
 
 def test_base_spans(spark):
     r = random.Random(13)
-    bits = ["a", "b.c", "@", "@x.org", ".", "-", " ", "1", "25", "999", "4111 1111 1111 1111", "10.0.0.255", "+1 (988) 555-2485", "+", "(", "", "é", "😀", "_", "%", "0"]
+    bits = ["a", "b.c", "@", "@x.org", ".", "-", " ", "1", "25", "999", "4111 1111 1111 1111", "10.0.0.255", "+1 (988) 555-2485", "+", "(", "\ue000", "é", "😀", "_", "%", "0"]
     texts = ["".join(r.choices(bits, k=r.randint(1, 25))) for _ in range(1500)] + ["a" * 20_000, "1." * 3000, "1 " * 9000, "+1" * 2000, "@" * 3000]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {x.doc_id: x.s for x in rows.select("doc_id", pii.told(pii.base_spans(F.col("text"))).alias("s")).collect()}

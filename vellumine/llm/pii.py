@@ -33,7 +33,7 @@ PATTERNS = (
     r"[0-9](?:[ -]?[0-9])++",
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
-_MARK, _SWAP = "", ""
+_MARK, _SWAP = "\ue000", "\ue001"
 _EDGE = r"\s\"'<>()\[\],;"
 #: A whole word with a digit or @.
 _LIKELY = rf"(?<![^{_EDGE}])(?=[^{_EDGE}0-9@]*+[0-9@])[^{_EDGE}]++"

@@ -10,21 +10,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
+from vellumine.llm.common import held
 from vellumine.llm.words import _BYTE, _PLACE, mixed, offsets
 
 #: Entries of the table of known parts; at the bound it is emptied and begun anew.
-KNOWN = 1_200_000
+KNOWN = 2_000_000
 
 
-@cache
 def encoder(path: str, end: int | None) -> Encoder:
     """This process's encoder: a worker keeps its table of known parts from task to task."""
-    return Encoder(path, end)
+    return held(("encoder", path, end), lambda: Encoder(path, end))
 
 
 def _marked(n: int, at: np.ndarray) -> np.ndarray:

@@ -168,7 +168,8 @@ def write_store(docs: DataFrame, tokenizer: str, end: int | None = 0, width: int
     spark = docs.sparkSession
     store = Store(path or fresh_dir(spark, "token-store"), width)
     rows = _encoded(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), tokenizer, end, width)
-    once = rows.repartition("key").mapInArrow(_once, _ROWS)
+    # Copies have equal recipes: their ids spread them.
+    once = rows.repartition(F.xxhash64("key", "doc_id")).mapInArrow(_once, _ROWS)
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{store.path}/staged")
     staged = spark.read.schema(_ROWS).parquet(f"{store.path}/staged")
     # The chunks stay where they are: the folder of their kind becomes chunks/.

@@ -13,7 +13,8 @@ words look toxic. Words that toxic sentences have far more often than others are
 scores too high join the negatives (hard negatives). The machine is linear over Nystroem features k(., landmarks)
 K^(-1/2), fitted in the primal with squared hinge loss; the landmarks are words of both kinds. As a linear machine over
 explicit features it folds into a table of weights by subsequence, so that scoring costs no kernel values.
-A document's margin is that of its highest unit; two parameters (Platt) make a probability of it.
+A document's margin is that of its highest unit; two parameters (Platt) make a probability of it, fitted on margins of
+documents that the machine behind them was not fitted on.
 
 `sample` bounds the documents that are fitted on, for each label; they are drawn by a hash of their id.
 
@@ -25,6 +26,7 @@ documents are scored each for itself. Tables may be empty; other columns are ign
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,10 +35,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import OWN
+from vellumine.llm.common import OWN, held
 from vellumine.llm.words import _BYTE, _PLACE, NOT_SPACE, mixed, pieces, plain, words
 
 #: Of a place that a subsequence spans; places that a unit is followed by; places of a window of a long unit.
@@ -239,15 +241,10 @@ class Scorer:
         return np.maximum(out, LOWEST)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(sent) -> Scorer:
     """This process's scorer of a broadcast machine: a worker keeps its table of known units from task to task."""
-    if id(sent.value) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(sent.value)] = Scorer(sent.value)
-    return _SCORERS[id(sent.value)]
+    machine = sent.value
+    return held(("toxicity", machine.bias, machine.slope, machine.shift), lambda: Scorer(machine))
 
 
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -306,7 +303,24 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) ->
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = 240, most_units: int = 3000, seed: int = 5) -> Machine | None:
-    """A machine from texts of both labels, or None without both."""
+    """A machine from texts of both labels, or None without both. Its probabilities come from margins of texts that a machine of the other half of the sample gives."""
+    machine = separate(toxic, clean, landmarks, most_units, seed)
+    if machine is None:
+        return None
+    margins: list[np.ndarray] = []
+    labels: list[np.ndarray] = []
+    for k in (0, 1):
+        half = separate(toxic[k::2], clean[k::2], landmarks, most_units, seed) or machine
+        scorer = Scorer(half)
+        for texts, y in ((toxic[1 - k :: 2], 1.0), (clean[1 - k :: 2], 0.0)):
+            margins.append(scorer.text_margins(pa.array(texts, pa.string())))
+            labels.append(np.full(len(texts), y))
+    machine.slope, machine.shift = _platt(np.concatenate(margins), np.concatenate(labels))
+    return machine
+
+
+def separate(toxic: list[str], clean: list[str], landmarks: int, most_units: int, seed: int) -> Machine | None:
+    """The machine itself, without probabilities."""
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
@@ -389,9 +403,6 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = 240, most_units: in
         negative += hard
         minus = np.concatenate([minus, kernel(hard)])
         machine = trained(plus, minus)
-    scorer = Scorer(machine)
-    margin = np.concatenate([scorer.text_margins(pa.array(t, pa.string())) for t in (toxic, clean)])
-    machine.slope, machine.shift = _platt(margin, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
     return machine
 
 
@@ -416,17 +427,24 @@ def is_held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
-    """Fits on at most `sample` documents of each label, none of them held out."""
+    """Fits on at most `sample` documents of each label, none of them held out. The fit is one task on an executor, over that
+    bounded sample; the driver sees the machine alone."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(~is_held_out(F.col("id")) & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     # The lowest hashes of each label that have a document: ids first, then the texts of those ids alone.
-    ids = docs.select(F.col(id_col).alias("id")).distinct().join(told, "id")
-    drawn = [r.id for k in (0, 1) for r in ids.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample).select("id").collect()]
-    known = {r.id: r.label for r in told.filter(F.col("id").isin(drawn)).collect()} if drawn else {}
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("id").isin(drawn) & F.col("text").isNotNull()) if drawn else None
-    by_label: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(texts.toLocalIterator(), key=lambda r: (r.id, r.text)) if texts is not None else ():
-        by_label[known[r.id]].append(r.text)
-    return fit(by_label[1], by_label[0])
+    ids = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(told, "id")
+    first = lambda *order: F.row_number().over(Window.partitionBy("label").orderBy(*order)) <= sample
+    drawn = ids.withColumn("first", first(F.xxhash64("id"), "id")).filter("first").select("id", "label")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    some = texts.join(F.broadcast(drawn), "id").withColumn("first", first(F.xxhash64("id"), F.xxhash64("text"))).filter("first")  # 2 x sample ids, then as many rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist())
+        by_label = [[t for _, t, k in rows if k == label_] for label_ in (1, 0)]
+        del rows
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*by_label))])], names=["machine"])
+
+    found = some.select("id", "text", "label").repartition(1).mapInArrow(run, "machine binary").first()
+    return pickle.loads(bytes(found.machine)) if found else None
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "score") -> DataFrame:

@@ -66,7 +66,7 @@ def strip_sql(x: str) -> str:
 )
 def unicode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 3
-    odd = F.when(kind == 0, F.concat(F.lit("\u200b"), "text", F.lit("  "))).when(kind == 1, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
+    odd = F.when(kind == 0, F.concat(F.lit("\u200b"), "text", F.lit("\u2009 "))).when(kind == 1, F.replace("text", F.lit(" "), F.lit("\u00a0 "))).otherwise(F.col("text"))
     out = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", X.clean_unicode(odd).alias("c"))
     return out.select("doc_id", F.md5("c").alias("digest"), F.length("c").cast("long").alias("n_chars"))
 

@@ -72,8 +72,9 @@ SELECT doc_id, coalesce(e, 0)::BIGINT AS n_email, coalesce(i, 0)::BIGINT AS n_ip
 #: The tables' pages mark their main text up; the query doesn't know that.
 PAGES = r"""
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url,
-  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
-    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages)
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+    '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages)
 """
 
 

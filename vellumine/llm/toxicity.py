@@ -16,7 +16,7 @@ explicit features it folds into a table of weights by subsequence, so that scori
 A document's margin is that of its highest unit; two parameters (Platt) make a probability of it, fitted on margins of
 documents that the machine behind them was not fitted on.
 
-`sample` bounds the documents that are fitted on, for each label; they are drawn by a hash of their id.
+`sample` bounds the documents that are fitted on: about so many for each label, drawn by a hash of their id.
 
 Defined results: null and empty texts have the lowest margin. A document may have several labels; toxic wins. Labels
 that are null, or whose document is absent, don't count. Without documents of both labels every score is 0. Repeated
@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import OWN, held
@@ -427,15 +427,17 @@ def is_held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
-    """Fits on at most `sample` documents of each label, none of them held out. The fit is one task on an executor, over that
+    """Fits on about `sample` documents of each label, none of them held out, and on 4 x `sample` at most. The fit is one task on an executor, over that
     bounded sample; the driver sees the machine alone."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(~is_held_out(F.col("id")) & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
-    # The lowest hashes of each label that have a document: ids first, then the texts of those ids alone.
-    ids = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(told, "id")
-    first = lambda *order: F.row_number().over(Window.partitionBy("label").orderBy(*order)) <= sample
-    drawn = ids.withColumn("first", first(F.xxhash64("id"), "id")).filter("first").select("id", "label")
+    # A share of each label's documents by the hash of their id: about `sample` of them, however many there are.
+    ids = docs.select(F.col(id_col).alias("id")).distinct().join(told, "id")
+    share = {r.label: min(1.0, sample / r.n) for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(2**53)
+    drawn = ids.filter(F.coalesce(*[F.when(F.col("label") == k, place < x) for k, x in share.items()], F.lit(False)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    some = texts.join(F.broadcast(drawn), "id").withColumn("first", first(F.xxhash64("id"), F.xxhash64("text"))).filter("first")  # 2 x sample ids, then as many rows
+    some = texts.join(F.broadcast(drawn), "id")  # about 2 x sample ids
+    some = some.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(4 * sample)  # also where an id is repeated many times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist())

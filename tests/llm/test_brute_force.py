@@ -179,7 +179,7 @@ def test_mix_is_near_targets_and_repeats(spark):
     for x in a:
         taken[x.target, x.source_size] = taken.get((x.target, x.source_size), 0) + x.taken
         assert x.taken % max(1, x["size"]) == 0 and x.taken <= 3 * x["size"]
-    assert all(abs(n - t) <= 20 for (t, _), n in taken.items())
+    assert all(abs(n - t) <= 2 for (t, _), n in taken.items())
 
 
 def test_sample_goes_by_quality(spark):

@@ -4,7 +4,8 @@
 what is cut off is shared anew by weight (water-filling, in closed form over sources ordered by size over weight).
 `mix` then takes every document of a source floor(target / size) times, and fills what is left of the target with
 whole documents in the order of the exponential keys -ln(u) / quality, u a hash of seed, id and text: a weighted sample
-without replacement. The document at the boundary is taken if that comes nearer to the target than leaving it.
+without replacement. They are taken up to the document that no longer fits; then the one of the others whose size is
+nearest to what is left is taken too, if that comes nearer to the target.
 
 The prefix sum over a source needs no task that holds a source: keys are counted in `bins` bins of equal probability,
 those sums are accumulated per source, and only the bin in which the target falls is binned again, then sorted.
@@ -88,11 +89,17 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ..
     edge = joined(binned, plan3, "bin_at", "sub_at", "bin_before", "sub_before", "rest").filter("bin = bin_at AND sub = sub_at AND size > 0")
     run = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("bin_before") - F.col("sub_before") - F.coalesce(F.sum("size").over(run), F.lit(0))
-    reach = edge.withColumn("left", left).filter(F.col("left") >= F.col("size") / 2).groupBy("source").agg(F.max(F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size")).alias("to"))
+    reach = edge.withColumn("left", left).filter(F.col("left") >= F.col("size")).groupBy("source").agg(F.max(F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size")).alias("to"))
     plan4 = written(joined(plan3, reach, "to"), "mix-plan")
     full = joined(binned, plan4, "source_size", "target", "epochs", "rest", "bin_at", "sub_at", "to")
     here = F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"))
     in_sample = (F.col("bin") < F.col("bin_at")) | ((F.col("bin") == F.col("bin_at")) & ((F.col("sub") < F.col("sub_at")) | ((F.col("sub") == F.col("sub_at")) & F.coalesce(here <= F.col("to"), F.lit(False)))))
-    extra = F.when((F.col("rest") > 0) & F.coalesce(in_sample, F.lit(False)), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0).cast("long")
-    return full.withColumn("copies", copies).select("doc_id", *carry, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    flagged = full.withColumn("in", (F.col("rest") > 0) & F.coalesce(in_sample, F.lit(False)))
+    used = flagged.groupBy("source").agg(F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("used"))
+    gaps = joined(plan4.select("source", "rest"), used, "used").select("source", (F.col("rest") - F.col("used")).alias("gap"))
+    free = joined(flagged.filter("NOT `in` AND size > 0").select("source", "key", "doc_id", "size"), gaps, "gap").filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+    closest = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), here.alias("at"))).alias("fill"))
+    filled = joined(flagged, written(closest, "mix-fill"), "fill")
+    last = F.coalesce(~F.col("in") & (here == F.col("fill.at")), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("in") | last, 1).otherwise(0)).otherwise(0).cast("long")
+    return filled.withColumn("copies", copies).select("doc_id", *carry, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

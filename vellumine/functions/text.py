@@ -15,9 +15,13 @@ INVISIBLE = "[\u200e\u200f\u202a-\u202e\u2066-\u2069\u200b-\u200d\ufeff\u00ad]"
 ODD_SPACES = "[\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: White space of any script.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any script."""
-    return F.regexp_replace(c, rf"(?U)\A[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_unicode(c: Column) -> Column:
@@ -41,7 +45,10 @@ NOT_A_SUMMARY = r"^(Reason|Participant|Example)"
 
 
 def has_chart_data(c: Column) -> Column:
-    return (F.regexp_count(c, F.lit(TRIPLE)) >= 5) | c.rlike("(?iU)" + "|".join(AXIS))
+    """The patterns are slow, so texts that have nothing for them are told first."""
+    digits = c.rlike(r"\p{Nd}")
+    likely = digits | F.lower(c).contains("relative") | F.lower(c).contains("expression")
+    return F.when(likely, (F.when(digits, F.regexp_count(c, F.lit(TRIPLE))).otherwise(0) >= 5) | c.rlike("(?iU)" + "|".join(AXIS))).otherwise(F.when(c.isNotNull(), False))
 
 
 def clean_chart_data(c: Column) -> Column:
@@ -61,7 +68,8 @@ def clean_chart_data(c: Column) -> Column:
 
 
 def has_table_data(c: Column) -> Column:
-    return c.rlike("(?iU)" + "|".join(TABLE))
+    likely = c.contains("\n") | c.contains("|") | c.rlike(r"\p{Nd}")
+    return F.when(likely, c.rlike("(?iU)" + "|".join(TABLE))).otherwise(F.when(c.isNotNull(), False))
 
 
 def clean_table_data(c: Column, title: Column) -> Column:

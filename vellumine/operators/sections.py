@@ -20,7 +20,8 @@ def is_empty_or_self_referential(title: Column, content: Column) -> Column:
 
 def is_captioned(title: Column, content: Column, word: str) -> Column:
     """A caption that stands as a section: word is Figure or Table."""
-    return X.strip(title).rlike(rf"(?iU)\A{word}\s+\d+") | X.strip(content).rlike(rf"(?iU)\A{word}\s+\d+\.")
+    begins = rf"(?iU)\A[\s\x1C-\x1F]*+{word}\s+\d+"
+    return title.rlike(begins) | content.rlike(begins + r"\.")
 
 
 def as_caption(title: Column, content: Column, word: str) -> Column:

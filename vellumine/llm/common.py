@@ -51,6 +51,11 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def release() -> None:
+    """Drops what the process holds for another operator."""
+    _HELD.clear()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, all else as it is (lower() would also change other scripts)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

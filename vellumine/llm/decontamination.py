@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import OWN, written
+from vellumine.llm.common import OWN, release, written
 from vellumine.llm.words import ALNUM, grams, grams_at, pieces, plain, words
 
 WINDOW, GRAM = 10, 5
@@ -147,6 +147,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            release()
             items = Items(sent.value, window, gram)
             for batch in batches:
                 texts, rest = plain(batch.column(own)), batch.select(names)

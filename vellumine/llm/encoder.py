@@ -18,7 +18,7 @@ from vellumine.llm.common import held
 from vellumine.llm.words import _BYTE, _PLACE, mixed, offsets
 
 #: Entries of the table of known parts; at the bound it is emptied and begun anew.
-KNOWN = 2_000_000
+KNOWN = 1_500_000
 
 
 def encoder(path: str, end: int | None) -> Encoder:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import written
+from vellumine.llm.common import release, written
 from vellumine.llm.words import NOT_SPACE, pieces, plain, words
 
 SHINGLE, SEED, FAR = 4, 42, 4
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, far: int = FAR, shingle: int = SHINGLE, blo
     """doc_id, fp (bigint), component_id for each document."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = plain(batch.column("text"))
             for lo, hi in pieces(texts):

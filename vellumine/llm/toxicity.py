@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import OWN, held
+from vellumine.llm.common import OWN, held, release
 from vellumine.llm.words import _BYTE, _PLACE, NOT_SPACE, mixed, pieces, plain, words
 
 #: Of a place that a subsequence spans; places that a unit is followed by; places of a window of a long unit.
@@ -440,6 +440,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str =
     some = some.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(4 * sample)  # also where an id is repeated many times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rows = sorted((r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist())
         by_label = [[t for _, t, k in rows if k == label_] for label_ in (1, 0)]
         del rows

@@ -45,3 +45,14 @@ def test_run_eval(spark, tmp_path):
 def test_checked(spark):
     row = evaluate.checked(spark.createDataFrame([(json.dumps({"titles": []}),)], "document string")).first()
     assert not row.valid and "doi" in row.filled_fields
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vellumine.__main__ import main
+
+    folder = tmp_path / "in" / "9"
+    folder.mkdir(parents=True)
+    (folder / "p.pdf").write_text("x")
+    (folder / "9_sub-json.json").write_text('{"titles": []}')
+    main(["--annotation-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out")])
+    assert "No text extracted" in capsys.readouterr().out

@@ -278,7 +278,7 @@ def linked(prints: DataFrame, far: int = FAR, block: int = 4096) -> DataFrame:
             yield from _linked_runs(fp[keep], key[keep], role[keep], far)
 
     keyed = prints.mapInArrow(emit, "key bigint, fp bigint, role tinyint").repartition("key").sortWithinPartitions("key")
-    found = written(keyed.mapInArrow(meet, _FOUND), "simhash-links")
+    found = written(keyed.mapInArrow(meet, _FOUND).distinct(), "simhash-links")  # a link is found under several keys
     links = found.filter("key IS NULL").select("a", "b")
     large = found.filter("key IS NOT NULL")
     if not large.isEmpty():

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.common import lower_ascii, written
 
+#: A host that is reached never scores less, however far away.
+TINY = 1e-300
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 
@@ -49,24 +51,27 @@ def host_links(pages: DataFrame, host: Column, html: str = "html") -> DataFrame:
     )
 
 
-def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """Personalised PageRank: host, score. edges: src, dst, links; seeds: host, seed (sums to 1)."""
+def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
+    """Personalised PageRank: host, score. edges: src, dst, links; seeds: host, seed (sums to 1). Ends when a wave adds to no host more than
+    `tolerance` of its score, so not before every host that can be reached has one; `rounds` ends it earlier where given."""
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
     weighted = written(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), "host-edges")
     rank = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
     if weighted.isEmpty():
         return rank
-    wave = rank
-    for k in range(rounds):  # the next power of the walk; what it adds shrinks by the damping each time
-        wave = weighted.join(wave, weighted["src"] == wave["host"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("share") * F.col("score"))).alias("score"))
-        wave = written(wave, "host-wave")  # one row a host; cuts the lineage of the rounds
-        rank = rank.unionByName(wave)
-        if k % 4 == 3 and (wave.agg(F.sum("score")).first()[0] or 0.0) < tolerance:
+    state = rank.withColumn("wave", F.col("score"))
+    k = 0
+    while rounds is None or k < rounds:  # the next power of the walk; what it adds shrinks by the damping each time
+        moved = weighted.join(state.filter("wave > 0"), weighted["src"] == state["host"]).groupBy(F.col("dst").alias("host")).agg(F.greatest(damping * F.sum(F.col("share") * F.col("wave")), F.lit(TINY)).alias("score"))
+        both = state.select("host", "score", F.lit(0.0).alias("wave")).unionByName(moved.withColumn("wave", F.col("score")))
+        state = written(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("wave").alias("wave")), "host-wave")  # one row a host; cuts the lineage of the rounds
+        k += 1
+        if state.filter(F.col("wave") > F.greatest(tolerance * F.col("score"), F.lit(TINY))).isEmpty() and state.filter(F.col("wave") == F.col("score")).isEmpty():
             break
-    return rank.groupBy("host").agg(F.sum("score").alias("score"))
+    return state.select("host", "score")
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """host, trust, distrust. seeds: host, allowed, blocked (numbers of pages that the rules decide)."""
     total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
     share = seeds.join(F.broadcast(total)).select("host", *[F.coalesce(F.col(x) / F.nullif(F.col(y), F.lit(0)), F.lit(0.0)).alias(x) for x, y in (("allowed", "a"), ("blocked", "b"))])  # total is one row

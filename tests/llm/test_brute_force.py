@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellumine.llm import chat, decontamination, html_text, mixing, pii, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, mixing, pii, simhash, token_store, topk, url_filter
 from vellumine.llm.encoder import Encoder
 from vellumine.llm.html_blocks import blocks
 from vellumine.llm.html_samples import sample_pages
@@ -379,29 +379,6 @@ def test_links_spread_verdicts(spark):
     assert {x.page_id: x.verdict for x in judged.collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
-# Toxicity
-
-
-def test_kernel_is_the_sum_over_subsequences():
-    code = lambda w: (np.array([ord(x) - 96 for x in w]), np.array([len(w)]))
-    a, b = (toxicity.features(*code(w))[0] for w in ("moron", "moroxn"))
-    k = lambda x, y: sum(v * y.get(t, 0) for t, v in x.items())
-    c = toxicity.features(*code("table"))[0]
-    assert k(a, b) > 0.4 * k(a, a) > 5 * k(a, c)
-
-
-def test_held_out_documents_and_disguises():
-    r = random.Random(15)
-    word = lambda: "".join(r.choices(["an", "the", "or", "ing", "ti", "es", "wh"], k=r.randint(1, 4)))
-    text = lambda bad: " ".join([*(word() for _ in range(60)), *([r.choice(("scoundrel", "dimwit", "vermin"))] if bad else []), *(word() for _ in range(60))])
-    machine = toxicity.fit([text(True) for _ in range(200)], [text(False) for _ in range(400)])
-    score = lambda texts: machine.probability(toxicity.Scorer(machine).text_margins(pa.array(texts)))
-    assert (score([text(True) for _ in range(100)]) >= 0.7).mean() >= 0.98
-    assert (score([text(False) for _ in range(300)]) >= 0.7).mean() <= 0.01
-    assert (score(["the s c o u n d r e l is", "a dim.wit", "the vermxin or", "a sscoundrel", "Dimw1t"]) >= 0.5).all()
-    assert score([""])[0] <= score(["the or"])[0] + 1e-9
-
-
 @needs_data
 def test_pipeline_over_the_tables(spark):
     import corpus_pipeline

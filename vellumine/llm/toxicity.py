@@ -9,18 +9,25 @@ or a gap costs a factor, not the match. k is divided by functions of the lengths
 
 Training. Labels say that a document is toxic, not where. Sentences of the sample inherit the label; a word
 counts as often as it has different neighbours in them, so that copies of a document, exact or edited, don't make its
-words look toxic. Words that toxic sentences have far more often than others are the first positives, words of other documents the negatives, and words that a first machine
-scores too high join the negatives (hard negatives). The machine is linear over Nystroem features k(., landmarks)
-K^(-1/2), fitted in the primal with squared hinge loss; the landmarks are words of both kinds. As a linear machine over
-explicit features it folds into a table of weights by subsequence, so that scoring costs no kernel values.
-A document's margin is that of its highest unit; two parameters (Platt) make a probability of it, fitted on margins of
-documents that the machine behind them was not fitted on.
-
-`sample` bounds the documents that are fitted on: about so many for each label, drawn by a hash of their id.
-
-Defined results: null and empty texts have the lowest margin. A document may have several labels; toxic wins. Labels
-that are null, or whose document is absent, don't count. Without documents of both labels every score is 0. Repeated
-documents are scored each for itself. Tables may be empty; other columns are ignored.
+words look toxic. A subsequence tells toxic sentences from others by the lower confidence bound of its log odds, a word by
+the sum over its subsequences: so that words of one stem vouch for each other, however few documents are labelled. Each
+toxic document votes for its strongest words, which are the positives; words of other documents are the negatives, and
+words that a first machine scores too high join them (hard negatives). The machine is linear over Nystroem features
+k(., landmarks) K^(-1/2), fitted in the primal with squared hinge loss; the landmarks are words of both kinds. As a linear
+machine over explicit features it folds into a table of weights by subsequence, so that scoring costs no kernel values.
+
+Documents. Each unit, once for each different unit behind it, counts in a bin of margins; a bin is worth the log of how much
+more often toxic documents have such units than others, and their sum is a document's evidence. Two parameters (Platt) make
+a probability of it. Bins and curve are fitted on documents that the machine behind them was not fitted on (`FOLDS` parts
+of the sample, each judged by a machine of the others); both labels weigh alike.
+
+`sample` bounds the documents that are fitted on: about so many for each label, drawn by a hash of their id. `landmarks`
+and `most_units` (positives, and negatives without the hard ones) bound the fit.
+
+Defined results: null and empty texts have no evidence, and a score of at most 0.5. A document may have several labels; toxic wins. Labels
+that are null, or whose document is absent, don't count. Without documents of both labels, or without a word that tells
+them apart, every score is 0. Repeated documents are scored each for itself. Tables may be empty; other columns are
+ignored. A text of any length is read whole, in parts.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import OWN, held, release
-from vellumine.llm.words import _BYTE, _PLACE, NOT_SPACE, mixed, pieces, plain, words
+from vellumine.llm.words import _BYTE, _PLACE, NOT_SPACE, Words, is_long, long_text, mixed, pieces, plain, words
 
 #: Of a place that a subsequence spans; places that a unit is followed by; places of a window of a long unit.
 DECAY, SPAN, WIDE = 0.6, 8, 14
@@ -49,7 +57,14 @@ BEGIN, END = 62, 63
 ORDERS = ((3, 8, 18), (5, 7, 22))
 #: Distances of the letters of a subsequence from its first, for each order.
 STEPS = [[x for x in combinations(range(1, span), n - 1)] for n, span, _ in ORDERS]
-LOWEST = -4.0
+#: Margins that bound the bins of a document's units.
+EDGES = np.array([-0.5, -0.25, 0, 0.25, 0.5, 0.75, 1.0, 1.3])
+BINS = len(EDGES) + 1
+FOLDS = 5
+#: Errors that a subsequence's log odds are lowered by, what a word's must reach, and its share of the document's strongest word.
+ERRORS, LEAST, SHARE = 2.0, 2.0, 0.5
+#: Letters of a piece of a long unit, in training.
+PART = 64
 
 
 def _letters() -> np.ndarray:
@@ -71,7 +86,10 @@ _CODE = _letters()
 
 def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(letters of all units one after another, length of each unit, text of each unit)."""
-    w = words(texts, NOT_SPACE)
+    return _units(words(texts, NOT_SPACE))
+
+
+def _units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(w):
         return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     size = w.end - w.start
@@ -81,7 +99,7 @@ def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word_of = np.repeat(np.arange(len(size)), size)[kept]
     code = code[kept]
     n = np.bincount(word_of, minlength=len(size))
-    text_of = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    text_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     alone = np.flatnonzero(n == 1)
     some = n > 0
     begin = np.cumsum(n) - n
@@ -133,28 +151,33 @@ def _cells(c: np.ndarray, m: int, order: int, steps: tuple[int, ...]) -> np.ndar
     return np.where(there, code, 0)
 
 
-def features(code: np.ndarray, length: np.ndarray) -> list[Counter]:
-    """Weights by (order, cell) of each unit: what the kernel multiplies."""
+def cells(code: np.ndarray, length: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, cell, weight) of every subsequence of the units: what the kernel multiplies."""
     c, begin = _framed(code, length)
-    m = len(c) - SPAN
-    out: list[Counter] = [Counter() for _ in length]
-    for order, each in enumerate(STEPS):
-        size = _size(length + 2, order)
-        for steps in each:
-            cells = _cells(c, m, order, steps)
-            for k, (b, n) in enumerate(zip(begin.tolist(), (length + 2).tolist(), strict=True)):
-                for x in cells[b : b + n].tolist():
-                    if x:
-                        out[k][order, x] += DECAY ** (steps[-1] + 1) / size[k]
-    return out
+    m, full = len(c) - SPAN, length + 2
+    owner = np.full(m, -1)
+    owner[np.repeat(begin, full) + np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)] = np.repeat(np.arange(len(length)), full)
+    size = _size(full, order)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for steps in STEPS[order]:
+        x = _cells(c, m, order, steps)
+        at = np.flatnonzero((x > 0) & (owner >= 0))
+        found.append((owner[at], x[at], DECAY ** (steps[-1] + 1) / size[owner[at]]))
+    unit, cell, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    return unit, cell, weight
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 @dataclass
 class Machine:
-    """Weights by subsequence (for each order: cells, values), bias, and the two numbers that make a probability of a margin."""
+    """Weights by subsequence (for each order: cells, values), bias, what a unit of each bin is worth, and the two numbers that make a probability of a document's evidence."""
 
     weights: list[tuple[np.ndarray, np.ndarray]]
     bias: float
+    worth: np.ndarray
     slope: float
     shift: float
 
@@ -192,12 +215,13 @@ class Machine:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def probability(self, counted: np.ndarray) -> np.ndarray:
+        """counted: for each document its units by bin."""
+        return _logistic(self.slope * (counted @ self.worth) + self.shift)
 
 
 class Scorer:
-    """Scores Arrow texts; keeps the margins of known units, in a table of bounded size."""
+    """Counts the units of Arrow texts by their margins; keeps the margins of known units, in a table of bounded size."""
 
     def __init__(self, machine: Machine, known: int = 1_000_000):
         self.machine, self.known = machine, known
@@ -208,11 +232,12 @@ class Scorer:
 
         self.table, self.values, self.count = UInt64HashTable(1 << 16), np.zeros(1 << 16), 0
 
-    def unit_margins(self, code: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def unit_margins(self, code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(margin, hash) of each unit."""
         from pandas._libs.hashtable import UInt64Vector
 
         if not len(length):
-            return np.zeros(0)
+            return np.zeros(0), np.zeros(0, dtype=np.uint64)
         begin = np.cumsum(length) - length
         place = np.arange(len(code)) - np.repeat(begin, length)
         h = mixed(np.add.reduceat(_BYTE[code] * _PLACE[place & 4095], begin) + length.astype(np.uint64))
@@ -230,15 +255,33 @@ class Scorer:
             while len(self.values) < self.count:
                 self.values = np.append(self.values, np.zeros_like(self.values))
             self.values[before : self.count] = self.machine.margins(code[at], n)
-        return self.values[label]
-
-    def text_margins(self, texts: pa.Array) -> np.ndarray:
-        out = np.full(len(texts), LOWEST)
+        return self.values[label], h
+
+    def _keys(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash of a unit and the one behind it, bin) of each unit."""
+        code, length, text_of = _units(w)
+        margin, h = self.unit_margins(code, length)
+        behind = np.zeros_like(h)
+        same = text_of[1:] == text_of[:-1]
+        behind[:-1][same] = h[1:][same]
+        return text_of, mixed(h + behind * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(EDGES, margin, side="right")
+
+    def counted(self, texts: pa.Array) -> np.ndarray:
+        """For each text the number of its different pairs of neighbouring units in each bin, by the first one's margin."""
+        out = np.zeros((len(texts), BINS))
         for lo, hi in pieces(texts):
-            code, length, text_of = units(texts.slice(lo, hi - lo))
-            if len(length):
-                np.maximum.at(out, lo + text_of, self.unit_margins(code, length))
-        return np.maximum(out, LOWEST)
+            if is_long(texts, lo, hi):
+                # Parts overlap, so that a row of letters that stand alone is seen whole; a pair counts once.
+                every = [self._keys(w)[1:] for _, w in long_text(texts.slice(lo, 1), NOT_SPACE, PART)]
+                key, bin_ = (np.concatenate(x) for x in zip(*every, strict=True))
+                text_of = np.zeros(len(key), dtype=np.int64)
+            else:
+                text_of, key, bin_ = self._keys(words(texts.slice(lo, hi - lo), NOT_SPACE))
+            if len(key):
+                order = np.lexsort((key, text_of))
+                first = order[np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(text_of[order]) != 0)))]
+                np.add.at(out, (lo + text_of[first], bin_[first]), 1)
+        return out
 
 
 def _scorer(sent) -> Scorer:
@@ -251,14 +294,17 @@ _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 
 def _unit_texts(texts: list[str]) -> list[list[bytes]]:
-    """Units of each text, as bytes of letter codes."""
+    """Units of each text, as bytes of letter codes; long ones in overlapping pieces."""
     out: list[list[bytes]] = [[] for _ in texts]
     arr = pa.array(texts, pa.string())
     for lo, hi in pieces(arr):
         code, length, text_of = units(arr.slice(lo, hi - lo))
         raw, end = code.astype(np.uint8).tobytes(), np.cumsum(length)
         for a, b, t in zip((end - length).tolist(), end.tolist(), text_of.tolist(), strict=True):
-            out[lo + t].append(raw[a:b])
+            if b - a <= PART:
+                out[lo + t].append(raw[a:b])
+            else:
+                out[lo + t] += [raw[i : min(i + PART, b)] for i in range(a, b, PART // 2)]
     return out
 
 
@@ -269,7 +315,7 @@ def _neighbours(sentences: list[str], vocabulary: dict[bytes, int]) -> tuple[lis
         ids = []
         for u in _unit_texts(sentences[lo : lo + 5000]):
             ids.append(0)
-            ids += [vocabulary.setdefault(x[:64], len(vocabulary) + 1) for x in u]
+            ids += [vocabulary.setdefault(x, len(vocabulary) + 1) for x in u]
         row = np.array([*ids, 0], dtype=np.int64)
         for side, other in zip(sides, (np.roll(row, 1), np.roll(row, -1)), strict=True):
             side.append(np.unique(row << 32 | other))
@@ -302,48 +348,78 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) ->
     return w
 
 
-def fit(toxic: list[str], clean: list[str], landmarks: int = 240, most_units: int = 3000, seed: int = 5) -> Machine | None:
-    """A machine from texts of both labels, or None without both. Its probabilities come from margins of texts that a machine of the other half of the sample gives."""
-    machine = separate(toxic, clean, landmarks, most_units, seed)
-    if machine is None:
-        return None
-    margins: list[np.ndarray] = []
-    labels: list[np.ndarray] = []
-    for k in (0, 1):
-        half = separate(toxic[k::2], clean[k::2], landmarks, most_units, seed) or machine
-        scorer = Scorer(half)
-        for texts, y in ((toxic[1 - k :: 2], 1.0), (clean[1 - k :: 2], 0.0)):
-            margins.append(scorer.text_margins(pa.array(texts, pa.string())))
-            labels.append(np.full(len(texts), y))
-    machine.slope, machine.shift = _platt(np.concatenate(margins), np.concatenate(labels))
-    return machine
+def _chunks(found: list[bytes], n: int) -> Iterator[tuple[int, list[bytes]]]:
+    for lo in range(0, len(found), n):
+        yield lo, found[lo : lo + n]
+
+
+def strengths(pos: dict[bytes, int], neg: dict[bytes, int]) -> dict[bytes, float]:
+    """For each word of pos: the weighted sum, over its subsequences, of the lower bound of how much more often (log odds) words of pos have them."""
+    out = np.zeros(len(pos))
+    every = [max(1, sum(x.values())) for x in (pos, neg)]
+    for order, (_, _, bits) in enumerate(ORDERS):
+        n = 1 << bits
+        seen = []
+        for counts in (pos, neg):
+            table = np.zeros(n)
+            for _, part in _chunks(list(counts), 4000):
+                unit, cell, _ = cells(*_flat(part), order)
+                key = np.sort(unit * n + cell)
+                key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+                table += np.bincount(key % n, weights=np.array([counts[u] for u in part], dtype=float)[key // n], minlength=n)
+            seen.append(table + 0.5)
+        bound = np.log(seen[0] / every[0]) - np.log(seen[1] / every[1]) - ERRORS * np.sqrt(1 / seen[0] + 1 / seen[1])
+        bound = np.clip(bound, 0, 4)
+        for lo, part in _chunks(list(pos), 4000):
+            unit, cell, weight = cells(*_flat(part), order)
+            out[lo : lo + len(part)] += np.bincount(unit, weights=weight * bound[cell], minlength=len(part))
+    return dict(zip(pos, out.tolist(), strict=True))
+
+
+class Landmarks:
+    """Kernel values with some words, through the subsequences that these have."""
+
+    def __init__(self, marks: list[bytes]):
+        self.n = len(marks)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        for order in range(len(ORDERS)):
+            unit, cell, weight = cells(*_flat(marks), order)
+            known, at = np.unique(cell, return_inverse=True)
+            table = np.zeros((len(known), self.n))
+            np.add.at(table, (at, unit), weight)
+            self.tables.append((known, table))
+
+    def kernel(self, found: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(found), self.n))
+        for order, (known, table) in enumerate(self.tables):
+            for lo, part in _chunks(found, 400):
+                unit, cell, weight = cells(*_flat(part), order)
+                at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+                have = known[at] == cell
+                dense = np.bincount(unit[have] * len(known) + at[have], weights=weight[have], minlength=len(part) * len(known))
+                out[lo : lo + len(part)] += dense.reshape(len(part), len(known)) @ table
+        return out
 
 
 def separate(toxic: list[str], clean: list[str], landmarks: int, most_units: int, seed: int) -> Machine | None:
-    """The machine itself, without probabilities."""
+    """The machine of units, without worths and probabilities; None where no word tells the labels apart."""
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    counts, number = [], []
+    counts = []
     for texts in (toxic, clean):
         sentences = list(dict.fromkeys(s for t in texts for s in _SENTENCE.split(t) if s))
         counts.append(_neighbours(sentences, vocabulary))
-        number.append(max(1, len(sentences)))
     names = list(vocabulary)
     pos, neg = ({names[i]: n for i, n in zip(*x, strict=True)} for x in counts)
-    # How much more often toxic sentences have a word than others, smoothed.
-    odds = {u: math.log((n + 0.1) / number[0]) - math.log((neg.get(u, 0) + 0.5) / number[1]) for u, n in pos.items()}
-    support = 3 if len(toxic) >= 100 else 1
-    seeds = [u for u, n in pos.items() if n >= support and odds[u] > math.log(8)]
-    strength = {u: (pos[u] * odds[u]) for u in seeds}
-    by_doc = [set(x[:64] for x in u) for u in _unit_texts(toxic)]
+    strength = strengths(pos, neg) if pos and neg else {}
     # Each toxic document vouches for its strongest words only: what explains it already leaves nothing for the rest.
     votes: Counter = Counter()
-    for have in by_doc:
-        mine = sorted((u for u in have if u in strength), key=lambda u: (-strength[u], u))
-        votes.update(u for u in mine if strength[u] >= 0.25 * strength[mine[0]])
-    positive = sorted((u for u, n in votes.items() if n >= min(support, 2)), key=lambda u: (-votes[u], u))[:most_units]
+    for have in map(set, _unit_texts(toxic)):
+        mine = sorted((u for u in have if strength.get(u, 0.0) > LEAST), key=lambda u: (-strength[u], u))
+        votes.update(u for u in mine if strength[u] >= SHARE * strength[mine[0]])
+    positive = sorted(votes, key=lambda u: (-votes[u], u))[:most_units]
     if not positive:
         return None
     chosen = set(positive)
@@ -354,71 +430,90 @@ def separate(toxic: list[str], clean: list[str], landmarks: int, most_units: int
         return None
     marks = [positive[i] for i in rng.permutation(len(positive))[: landmarks // 2]]
     marks += [negative[i] for i in rng.permutation(len(negative))[: landmarks - len(marks)]]
-    cells: dict[tuple[int, int], int] = {}
-    mark_features = features(*_flat(marks))
-    for f in mark_features:
-        for t in f:
-            cells.setdefault(t, len(cells))
-
-    land = np.zeros((len(cells), len(marks)), dtype=np.float32)
-    for i, f in enumerate(mark_features):
-        for t, v in f.items():
-            land[cells[t], i] = v
-
-    def kernel(found: list[bytes]) -> np.ndarray:
-        """Kernel values with the landmarks: only the cells that a unit has are looked at."""
-        out = np.zeros((len(found), len(marks)))
-        for lo in range(0, len(found), 500):
-            for i, f in enumerate(features(*_flat(found[lo : lo + 500]))):
-                known = [(cells[t], v) for t, v in f.items() if t in cells]
-                if known:
-                    at, v = zip(*known, strict=True)
-                    out[lo + i] = np.array(v) @ land[list(at)]
-        return out
-
-    value, vector = np.linalg.eigh(kernel(marks))
+    land = Landmarks(marks)
+    value, vector = np.linalg.eigh(land.kernel(marks))
     good = value > 1e-8 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # K^(-1/2), in its eigenvectors
-    cell_names = np.array(list(cells))
-    orders = [np.flatnonzero(cell_names[:, 0] == k) for k in range(len(ORDERS))]
+    voted = np.sqrt(np.array([votes[u] for u in positive], dtype=float))
 
     def trained(plus: np.ndarray, minus: np.ndarray) -> Machine:
         x = np.concatenate([plus, minus]) @ root
         x = np.column_stack([x, np.ones(len(x))])
         y = np.array([1.0] * len(plus) + [-1.0] * len(minus))
-        cost = np.where(y > 0, 0.5 * len(y) / len(plus), 0.5 * len(y) / len(minus))
+        cost = 0.5 * len(y) * np.concatenate([voted / voted.sum(), np.full(len(minus), 1 / len(minus))])
         w = _svm(x, y, cost)
-        folded = land @ (root @ w[:-1])
-        return Machine([(cell_names[k, 1], folded[k]) for k in orders], float(w[-1]), 1.0, 0.0)
+        return Machine([(known, table @ (root @ w[:-1])) for known, table in land.tables], float(w[-1]), np.zeros(BINS), 1.0, 0.0)
 
-    plus, minus = kernel(positive), kernel(negative)
+    plus, minus = land.kernel(positive), land.kernel(negative)
     machine = trained(plus, minus)
-    every = [u for u in neg if u not in chosen]
+    every = list(neg)  # also positives that other documents have
+    have = set(negative)
     for _ in range(5):
-        got = np.concatenate([machine.margins(*_flat(every[lo : lo + 20_000])) for lo in range(0, len(every), 20_000)])
-        have = set(negative)
-        hard = [every[i] for i in np.argsort(-got)[: most_units // 2].tolist() if got[i] > -0.5 and every[i] not in have]
+        got = np.concatenate([machine.margins(*_flat(part)) for _, part in _chunks(every, 20_000)])
+        hard = [every[i] for i in np.argsort(-got, kind="stable")[: most_units // 2].tolist() if got[i] > -0.5 and every[i] not in have]
         if not hard:
             break
         negative += hard
-        minus = np.concatenate([minus, kernel(hard)])
+        have.update(hard)
+        minus = np.concatenate([minus, land.kernel(hard)])
         machine = trained(plus, minus)
     return machine
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, with Platt's targets."""
+def fitted(toxic: list[str], clean: list[str], fold: int, landmarks: int, most_units: int, seed: int) -> tuple[Machine | None, np.ndarray, np.ndarray]:
+    """A machine of the documents outside of a part of the sample, and the counts by bin of the documents in it (toxic, clean). fold FOLDS: the machine of
+    all, and theirs."""
+    part = lambda texts, inside: [t for t in texts if fold == FOLDS or (zlib.crc32(t.encode()) % FOLDS == fold) == inside]
+    machine = separate(part(toxic, False), part(clean, False), landmarks, most_units, seed)
+    if machine is None:
+        return None, np.zeros((0, BINS)), np.zeros((0, BINS))
+    scorer = Scorer(machine)
+    return machine, *(scorer.counted(pa.array(part(x, True), pa.string())) for x in (toxic, clean))
+
+
+def combined(parts: dict[int, tuple[Machine | None, np.ndarray, np.ndarray]]) -> Machine | None:
+    """The machine of the whole sample, with the worths and the curve that the parts give (its own counts, where no part has a machine)."""
+    machine = parts[FOLDS][0]
+    if machine is None:
+        return None
+    told = [p for k, p in parts.items() if k < FOLDS and p[0] is not None]
+    toxic, clean = (np.concatenate([p[i] for p in told]) if told else np.zeros((0, BINS)) for i in (1, 2))
+    if not len(toxic) or not len(clean):
+        toxic, clean = parts[FOLDS][1:]
+    a, b = toxic.sum(0), clean.sum(0)
+    machine.worth = np.maximum.accumulate(np.log((a + 0.5) / (a.sum() + 1)) - np.log((b + 0.5) / (b.sum() + 1)))  # a higher margin is worth no less
+    machine.slope, machine.shift = _platt(np.concatenate([toxic, clean]) @ machine.worth, np.repeat([1.0, 0.0], [len(toxic), len(clean)]))
+    return machine
+
+
+def fit(toxic: list[str], clean: list[str], landmarks: int = 240, most_units: int = 3000, seed: int = 5) -> Machine | None:
+    """A machine from texts of both labels, or None without both."""
+    return combined({k: fitted(toxic, clean, k, landmarks, most_units, seed) for k in range(FOLDS + 1)})
+
+
+def _platt(evidence: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve, with Platt's targets and equal weight of both labels; no evidence is never toxic."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.full(len(y), 1 / len(y))
-    x = np.column_stack([margin, np.ones(len(margin))])
+    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+    x = np.column_stack([evidence, np.ones(len(evidence))])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(weight * (np.logaddexp(0, z) - target * z)) + 5e-5 * w @ w)
+
     w = np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+    for _ in range(100):
+        p = _logistic(x @ w)
         grad = x.T @ (weight * (p - target)) + 1e-4 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return float(max(w[0], 0.1)), float(w[1])
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), grad)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(max(w[0], 0.1)), float(min(w[1], 0.0))
 
 
 def is_held_out(id_: Column) -> Column:
@@ -426,9 +521,9 @@ def is_held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
-    """Fits on about `sample` documents of each label, none of them held out, and on 4 x `sample` at most. The fit is one task on an executor, over that
-    bounded sample; the driver sees the machine alone."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, landmarks: int = 240, most_units: int = 3000, seed: int = 5, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
+    """Fits on about `sample` documents of each label, none of them held out, and on 4 x `sample` at most. The machines of the whole sample and of its parts
+    are a task each on executors, over that bounded sample; the driver sees machines and counts alone."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(~is_held_out(F.col("id")) & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     # A share of each label's documents by the hash of their id: about `sample` of them, however many there are.
     ids = docs.select(F.col(id_col).alias("id")).distinct().join(told, "id")
@@ -439,15 +534,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1200, id_col: str =
     some = texts.join(F.broadcast(drawn), "id")  # about 2 x sample ids
     some = some.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(4 * sample)  # also where an id is repeated many times
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         release()
-        rows = sorted((r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist())
+        rows = sorted((r["id"], r["text"], r["label"]) for r in group.select(["id", "text", "label"]).to_pylist())
         by_label = [[t for _, t, k in rows if k == label_] for label_ in (1, 0)]
-        del rows
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*by_label))])], names=["machine"])
+        found = fitted(*by_label, key[0].as_py(), landmarks, most_units, seed)
+        return pa.table({"fold": [key[0].as_py()], "found": [pickle.dumps(found)]}, schema=pa.schema([("fold", pa.int32()), ("found", pa.binary())]))
 
-    found = some.select("id", "text", "label").repartition(1).mapInArrow(run, "machine binary").first()
-    return pickle.loads(bytes(found.machine)) if found else None
+    dealt = some.select("id", "text", "label", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("fold")).repartitionByRange(FOLDS + 1, "fold")
+    parts = {r.fold: pickle.loads(bytes(r.found)) for r in dealt.groupBy("fold").applyInArrow(run, "fold int, found binary").collect()}
+    return combined(parts) if FOLDS in parts else None
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "score") -> DataFrame:
@@ -462,7 +558,7 @@ def score(docs: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(sent)
         for batch in batches:
-            p = sent.value.probability(scorer.text_margins(plain(batch.column(own))))
+            p = sent.value.probability(scorer.counted(plain(batch.column(own))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p)], names=[*keep, out])
 
     return rows.mapInArrow(run, schema)

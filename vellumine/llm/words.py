@@ -110,14 +110,49 @@ def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return texts.fill_null("") if texts.null_count else texts
 
 
-def words(texts: pa.Array, table: np.ndarray) -> Words:
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts one after another, and where each begins."""
     off = offsets(texts)
     base, top = int(off[0]), int(off[-1])
     if top == base:
+        return np.zeros(0, dtype=np.uint8), off - base
+    return np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=top - base, offset=base), off - base
+
+
+def words(texts: pa.Array, table: np.ndarray) -> Words:
+    return _words(*_bytes(texts), table)
+
+
+def long_text(text: pa.Array, table: np.ndarray, shared: int, size: int = PIECE) -> Iterator[tuple[int, Words]]:
+    """One text in parts of about `size` bytes, cut between words, so that memory doesn't grow with the text: (number of words
+    before the part, words). Each part begins with the last `shared` words of the one before. A word is never cut."""
+    data, _ = _bytes(text)
+    begin = before = 0
+    cut = 0
+    while cut < len(data):
+        cut = min(cut + size, len(data))
+        while cut < len(data):  # to the end of the word
+            ahead = np.flatnonzero(~table[data[cut : cut + 4096]])
+            cut += int(ahead[0]) if len(ahead) else min(4096, len(data) - cut)
+            if len(ahead):
+                break
+        w = _words(data[begin:cut], np.array([0, cut - begin]), table)
+        yield before, w
+        if cut < len(data):
+            kept = min(shared, len(w))
+            before += len(w) - kept
+            begin = begin + int(w.start[-kept]) if kept else cut
+
+
+def is_long(texts: pa.Array, lo: int, hi: int) -> bool:
+    """Of a range of `pieces`: is it a single text that is better taken in parts?"""
+    return hi - lo == 1 and int(np.diff(offsets(texts.slice(lo, 1)))[0]) > 4 * PIECE
+
+
+def _words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> Words:
+    if not len(data):
         none = np.zeros(0, dtype=np.int64)
-        return Words(np.zeros(0, dtype=np.uint8), none, none, np.zeros(len(texts) + 1, dtype=np.int64))
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8, count=top - base, offset=base)
-    off = off - base
+        return Words(np.zeros(0, dtype=np.uint8), none, none, np.zeros(len(off), dtype=np.int64))
     inside = table[data]
     before = np.empty_like(inside)
     before[0] = False

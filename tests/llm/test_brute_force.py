@@ -173,7 +173,7 @@ def test_targets(spark):
 def test_mix_is_near_targets_and_repeats(spark):
     r = random.Random(8)
     docs = spark.createDataFrame([(i, " ".join(["w"] * r.randint(0, 40)), r.choice(("a", "a", "a", "b", "c", None))) for i in range(3000)], "doc_id bigint, text string, source string")
-    a, b = (sorted(mixing.mix(docs, quality=F.lit(0.3), bins=16).select("doc_id", "size", "source_size", "target", "taken").collect()) for _ in range(2))
+    a, b = (sorted(mixing.mix(docs, quality=F.lit(0.3), bins=2, subs=8).select("doc_id", "size", "source_size", "target", "taken").collect()) for _ in range(2))
     assert a == b
     taken = {}
     for x in a:
@@ -182,6 +182,58 @@ def test_mix_is_near_targets_and_repeats(spark):
     assert all(abs(n - t) <= 2 for (t, _), n in taken.items())
 
 
+def plain_mix(rows, targets):
+    """(copies by row number). rows: (row, source, doc_id, size, key)."""
+    copies = {}
+    for source, target in targets.items():
+        mine = sorted((key, i, n, row) for row, s, i, n, key in rows if s == source and n)
+        size = sum(n for _, _, n, _ in mine)
+        epochs = int(target // size) if size else 0
+        left, taken = target - epochs * size, set()
+        for again in (False, True):
+            fits = [x for x in mine if x[3] not in taken and x[2] <= left] if again else mine
+            for key, i, n, row in fits:
+                if n > left:
+                    break
+                taken.add(row)
+                left -= n
+        near = min(((abs(n - left), key, i, n, row) for key, i, n, row in mine if row not in taken), default=None)
+        if near and near[0] < left:
+            taken.add(near[4])
+        copies |= {row: epochs + (row in taken) for _, _, _, row in mine}
+    return copies
+
+
+@pytest.mark.parametrize("bins, subs", [(128, 8192), (1, 3)])
+def test_selection_is_the_plain_one(spark, bins, subs):
+    """Also where one document is far longer than the others, and where qualities differ by orders of magnitude."""
+    r = random.Random(18)
+    sizes = [r.choice((1, 2, 3, 5, 8, 40)) for _ in range(600)]
+    sizes[7] = sizes[100] = 900
+    rows = [(i, " ".join(["w"] * n), r.choice(("a", "a", "a", "b", "c", None)), r.choice((0.001, 0.05, 1.0, 30.0))) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, q double")
+    got = mixing.mix(docs, quality=F.col("q"), bins=bins, subs=subs).collect()
+    keys = {x.doc_id: x.key for x in docs.select("doc_id", mixing.sample_key(F.col("doc_id"), F.col("text"), F.col("q"), 17).alias("key")).collect()}
+    source = {i: s for i, _, s, _ in rows}
+    targets = {source[x.doc_id]: x.target for x in got}
+    want = plain_mix([(i, s, i, n, keys[i]) for (i, _, s, _), n in zip(rows, sizes, strict=True)], targets)
+    assert {x.doc_id: x.copies for x in got} == want
+    for s, target in targets.items():
+        mine = [x for x in got if source[x.doc_id] == s]
+        left = target - sum(x.taken for x in mine)
+        assert abs(left) <= 2 or all(x["size"] > left for x in mine if x.copies == min(y.copies for y in mine))
+
+
+def test_no_bin_is_large_whatever_the_quality(spark):
+    """Documents of a source by parts of a bin: at most about 0.37 / (bins * subs) of them in one."""
+    n = 100_000
+    for quality in (0.001, 0.05, 1.0, 50.0):
+        place = F.log(mixing.sample_key(F.col("id"), F.lit("t"), F.lit(quality), 1)) * 128
+        at = spark.range(n).select(F.floor(place).alias("bin"), F.floor((place - F.floor(place)) * 8192).alias("sub"))
+        assert at.groupBy("bin").count().agg(F.max("count")).first()[0] < 2 * 0.37 / 128 * n
+        assert at.groupBy("bin", "sub").count().agg(F.max("count")).first()[0] <= 5
+
+
 def test_sample_goes_by_quality(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
     out = mixing.mix(docs, quality=F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0), weights=(1, 2)).filter("target < source_size")
@@ -307,10 +359,10 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks(page)] == ["a bc", "one", "two three & é four", "x", "y"]
 
 
-def test_labeller_on_pages_it_has_not_seen():
+def test_labeller_on_pages_it_has_not_seen(spark):
     pages = list(sample_pages(250, seed=777))
     found = [blocks(p) for p, _ in pages]
-    labels = html_text.trained().label([html_text.vectors(b) for b in found])
+    labels = html_text.trained(spark).label([html_text.vectors(b) for b in found])
     wrong = sum(int((np.array([x.text in main for x in b]) != y).sum()) for (_, main), b, y in zip(pages, found, labels, strict=True))
     assert wrong <= 0.01 * sum(map(len, found))
 

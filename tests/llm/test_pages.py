@@ -1,8 +1,11 @@
 """Hand-written layouts that the labeller has not seen."""
 
+import time
+
 import pytest
 
 from vellumine.llm import html_text
+from vellumine.llm.html_blocks import blocks
 
 ONE, TWO, THREE = "The quick brown fox jumps over the lazy dog near the river bank.", "Second paragraph, with more words to read and understand fully.", "And a third one: it concludes the piece in a few plain sentences. Done."
 BODY = f"<h1>My title here</h1><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p>"
@@ -21,6 +24,49 @@ PAGES = {
 
 
 @pytest.mark.parametrize("name", PAGES)
-def test_layout(name):
+def test_layout(spark, name):
     page, text = PAGES[name]
-    assert html_text.main_texts([f"<html><head><title>t</title></head><body>{page}</body></html>"], html_text.trained()) == [text]
+    assert html_text.main_texts([f"<html><head><title>t</title></head><body>{page}</body></html>"], html_text.trained(spark)) == [text]
+
+
+#: Pages whose markup never closes, nests without end or is cut: (page, number of blocks).
+HOSTILE = {
+    "nested": ("<div>x" * 50_000, 50_000),
+    "nested inline": ("<b>x" * 50_000, 1),
+    "open tags": ("<a " * 50_000, 1),
+    "open quotes": ('<a href="x' * 50_000, 1),
+    "open quotes, closed at the end": ('<a href="x' * 50_000 + ">y", 1),
+    "odd quotes": ("<p title='\">x" * 30_001 + "<p>y", 10_002),
+    "signs": ("<" * 200_000, 1),
+    "open comment behind open tags": ("<a " * 50_000 + "<!-- x", 1),
+    "closing tags that open nothing": ("</b></p></li>" * 50_000 + "x", 1),
+    "paragraphs in spans": ("<p><span>" * 50_000 + "x", 1),
+    "list in lists": ("<ul><li>x" * 25_000, 25_000),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_the_page(name):
+    page, n = HOSTILE[name]
+    began = time.process_time()
+    found = blocks(page)
+    assert len(found) == n and time.process_time() - began < 10
+    began = time.process_time()
+    assert len(html_text.vectors(found)) == n and time.process_time() - began < 20
+
+
+def test_batches_are_bounded_by_blocks(monkeypatch):
+    sizes = []
+    model = html_text.Labeller()
+    pages = [html_text.vectors(blocks("<p>a word.</p>" * n)) for n in (3, 5000, 1, 40, 7, 0, 12)]
+    alone = [model.label([p])[0].tolist() for p in pages]
+    real = html_text.padded
+    monkeypatch.setattr(html_text, "padded", lambda some: sizes.append(len(some) * max(map(len, some))) or real(some))
+    monkeypatch.setattr(html_text, "SLICE", 7)
+    assert [x.tolist() for x in model.label(pages, 100)] == alone
+    assert sorted(sizes)[-1] == 5000 and sum(x > 100 for x in sizes) == 1
+
+
+def test_every_word_of_a_block_counts():
+    one, other = (html_text.vectors(blocks(f"<p>{'word ' * 100}{last}</p>"))[0] for last in ("alpha", "omega"))
+    assert (one != other).any()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where the session names none (local runs)."""
+    """The folder that the cluster shares. Only a session whose executors are the driver itself may name none, and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; master is {master}")
         named = "file://" + tempfile.mkdtemp(prefix="vellumine-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,6 +44,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_value(spark: SparkSession, name: str, make: Callable[[], bytes], read: Callable[[bytes], object]) -> object:
+    """What `make` makes, in one task on an executor, once for a shared folder (and read once by a driver process)."""
+    path = f"{shared_dir(spark)}/{name}"
+    if path not in _KEPT:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            made = spark.range(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([make()], pa.binary())], names=["value"]) for b in batches if b.num_rows), "value binary")
+            made.write.mode("overwrite").parquet(path)
+        _KEPT[path] = read(bytes(spark.read.schema("value binary").parquet(path).first().value))
+    return _KEPT[path]
+
+
 _HELD: dict[object, object] = {}
 
 

@@ -1,81 +1,102 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is a sequence of leaf blocks. Each is read as a vector: its tag path (every step hashed with its names, the
-nearest steps once more by their distance), its first words hashed, and a few numbers (length, share of link text,
+nearest steps once more by their distance), its words hashed, and a few numbers (length, share of link text,
 punctuation, place in the page). A bidirectional LSTM in numpy reads the whole sequence both ways, so the label of every
 block, main text or not, depends on all of the page.
 
-The labeller is trained when it is first needed, on pages that `sample_pages` makes: many layouts, class names, broken
-markup and invented words, with menus, headers, footers, sidebars, notices, adverts, forms and comments. Nothing of the
-pages to extract is trained on. Its weights are a few tens of kilobytes and go to the workers as they are.
+The labeller is trained when it is first needed, in a task on an executor, on pages that `sample_pages` makes: many
+layouts, class names, broken markup and invented words, with menus, headers, footers, sidebars, notices, adverts, forms
+and comments. Nothing of the pages to extract is trained on. Its weights are 160 kilobytes; they are kept in the shared
+folder, under a name that tells the code which made them, and go to the workers as they are.
 
 Defined results: a null or empty page, or one without main text, has an empty text. Repeated pages come out alike. An
-empty table gives no rows. Pages of any length are read whole, in batches of pages of like length.
+empty table gives no rows. Pages of any length, nesting and brokenness are read whole, in time that grows with their
+length; pages of like length are labelled together, `CELLS` blocks at a time, and long ones in slices of time.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import OWN
-from vellumine.llm.html_blocks import Block, blocks
-from vellumine.llm.words import plain
+from vellumine.llm.common import OWN, kept_value
+from vellumine.llm.html_blocks import Block, Step, blocks
+from vellumine.llm.words import pieces, plain
 
 PATH, NEAR, WORD, NUMBERS = 96, 64, 16, 8
 INPUT = PATH + NEAR + WORD + NUMBERS
 HIDDEN = 24
-FIRST_WORDS = 24
+#: Blocks that are labelled together, and steps of time for which the gates are worked out at once.
+CELLS, SLICE = 16_384, 2048
 
 
-def _hashed(out: np.ndarray, name: str, weight: float = 1.0) -> None:
+@lru_cache(maxsize=100_000)
+def _place(name: str) -> tuple[int, int]:
     h = zlib.crc32(name.encode())
-    out[h % len(out)] += weight if h >> 16 & 1 else -weight
+    return h & 0xFFFF, 1 if h >> 16 & 1 else -1
 
 
-@cache
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH + NEAR, dtype=np.float32)
-    for step in path:
-        for name in step.split():
-            _hashed(out[:PATH], name)
-    for k, step in enumerate(path[::-1][:4]):
-        for name in step.split():
-            _hashed(out[PATH:], f"{k} {name}", 1.0 / (1 + k))
-    return np.clip(out, -3, 3)
+def _hashed(out: np.ndarray, names: list[str] | tuple[str, ...], weight: float = 1.0) -> None:
+    for name in names:
+        at, sign = _place(name)
+        out[at % len(out)] += sign * weight
+
+
+def _path_sums(path: Step) -> np.ndarray:
+    """Of all names from the root to here; kept with each step."""
+    todo = [path]
+    while todo[-1].sums is None and todo[-1].above is not None:
+        todo.append(todo[-1].above)
+    for step in reversed(todo):
+        if step.sums is None:
+            step.sums = np.zeros(PATH, dtype=np.float32) if step.above is None else step.above.sums.copy()
+            _hashed(step.sums, step.names)
+    return path.sums
+
+
+@lru_cache(maxsize=20_000)
+def _near(names: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    """Of the nearest steps, each name by its distance."""
+    out = np.zeros(NEAR, dtype=np.float32)
+    for k, step in enumerate(names):
+        _hashed(out, [f"{k} {name}" for name in step], 1.0 / (1 + k))
+    return out
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), INPUT), dtype=np.float32)
     total = sum(len(b.text) for b in page) or 1
     done = 0
+    last: Step | None = None
     for i, b in enumerate(page):
-        if len(b.path) <= 24:
-            out[i, : PATH + NEAR] = _path_vector(b.path)
-        else:
-            out[i, : PATH + NEAR] = _path_vector((*b.path[:12], *b.path[-12:]))
+        if b.path is last and i:
+            out[i, : PATH + NEAR] = out[i - 1, : PATH + NEAR]
+        elif b.path is not None:
+            out[i, :PATH] = _path_sums(b.path)
+            out[i, PATH : PATH + NEAR] = _near(tuple(step.names for step in b.path.nearest(4)))
+            np.clip(out[i, : PATH + NEAR], -3, 3, out=out[i, : PATH + NEAR])
+        last = b.path
         n = len(b.text)
-        words = b.text.split(None, FIRST_WORDS)[:FIRST_WORDS]
-        vec = out[i, PATH + NEAR : PATH + NEAR + WORD]
-        for w in words:
-            _hashed(vec, w.lower(), 1 / math.sqrt(len(words)))
+        words = b.text.lower().split()
+        _hashed(out[i, PATH + NEAR : PATH + NEAR + WORD], words, 1 / math.sqrt(len(words)))
         marks = sum(map(b.text.count, ".,;:!?"))
         out[i, -NUMBERS:] = (math.log1p(n) / 6, b.linked / max(1, n), min(1.0, 10 * marks / max(1, n)), b.text[-1:] in ".!?", i / len(page), done / total, n / total, 1.0)
         done += n
-    if len(page) and _path_vector.cache_info().currsize > 20_000:
-        _path_vector.cache_clear()
     return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Labeller:
@@ -97,21 +118,27 @@ class Labeller:
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
         """Hidden states (time, page, hidden) of one direction; with what the way back needs."""
         n, pages, _ = x.shape
-        gates = x @ self.p["x" + d] + self.p["c" + d]
         h = c = np.zeros((pages, HIDDEN), dtype=np.float32)
         out, past = np.zeros((n, pages, HIDDEN), dtype=np.float32), []
-        for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            g = gates[t] + h @ self.p["h" + d]
-            i, f, o = (_sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
-            u = np.tanh(g[:, 3 * HIDDEN :])
-            new = f * c + i * u
-            tanh = np.tanh(new)
-            m = mask[t][:, None]
-            if keep:
-                past.append((t, i, f, o, u, c, tanh, h, m))
-            c = np.where(m, new, c)
-            h = np.where(m, o * tanh, h)
-            out[t] = h
+        recurrent, full = self.p["h" + d], bool(mask.all())
+        slices = range(0, n, SLICE) if d == "f" else range((n - 1) // SLICE * SLICE, -1, -SLICE)
+        for lo in slices:
+            gates = x[lo : lo + SLICE] @ self.p["x" + d] + self.p["c" + d]
+            m = len(gates)
+            for k in range(m) if d == "f" else range(m - 1, -1, -1):
+                t = lo + k
+                g = gates[k] + h @ recurrent
+                ifo = _sigmoid(g[:, : 3 * HIDDEN])
+                i, f, o = ifo[:, :HIDDEN], ifo[:, HIDDEN : 2 * HIDDEN], ifo[:, 2 * HIDDEN :]
+                u = np.tanh(g[:, 3 * HIDDEN :])
+                new = f * c + i * u
+                tanh = np.tanh(new)
+                live = mask[t][:, None]
+                if keep:
+                    past.append((t, i, f, o, u, c, tanh, h, live))
+                c = new if full else np.where(live, new, c)
+                h = o * tanh if full else np.where(live, o * tanh, h)
+                out[t] = h
         return out, past
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -145,12 +172,14 @@ class Labeller:
             grad |= {"x" + d: gx, "h" + d: gh, "c" + d: gc}
         return loss, grad
 
-    def label(self, pages: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
-        """Which blocks are main text."""
+    def label(self, pages: list[np.ndarray], cells: int = CELLS) -> list[np.ndarray]:
+        """Which blocks are main text. Pages of like length go together as long as they have at most so many cells, blocks and padding."""
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
+        while order:
+            some = [order.pop()]  # the longest left
+            while order and (len(some) + 1) * len(pages[some[0]]) <= cells:
+                some.append(order.pop())
             x, mask = padded([pages[i] for i in some])
             hot = self.logits(x, mask) > 0
             for k, i in enumerate(some):
@@ -166,7 +195,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: int = 2400, epochs: int = 12, batch: int = 20, rate: float = 0.01, seed: int = 11) -> Labeller:
+def train(pages: int = 2000, epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Labeller:
     """A labeller trained on pages that are made for it."""
     from vellumine.llm.html_samples import sample_pages
 
@@ -202,8 +231,17 @@ def train(pages: int = 2400, epochs: int = 12, batch: int = 20, rate: float = 0.
 
 
 @cache
-def trained() -> Labeller:
-    return train()
+def _made_by() -> str:
+    """Tells the code that trains apart."""
+    files = [Path(__file__).with_name(name) for name in ("html_text.py", "html_blocks.py", "html_samples.py")]
+    return f"{zlib.crc32(b''.join(f.read_bytes() for f in files)):08x}"
+
+
+def trained(spark: SparkSession) -> Labeller:
+    """The labeller, trained once for a shared folder: in one task, of a size that doesn't depend on any input."""
+    out = Labeller()
+    out.p = kept_value(spark, f"html-labeller-{_made_by()}", lambda: pickle.dumps(train().p), pickle.loads)
+    return out
 
 
 def main_texts(pages: list[str], model: Labeller) -> list[str]:
@@ -214,7 +252,7 @@ def main_texts(pages: list[str], model: Labeller) -> list[str]:
 
 def extract(pages: DataFrame, model: Labeller | None = None, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), out: str = "text") -> DataFrame:
     """keep..., out for each page."""
-    sent = pages.sparkSession.sparkContext.broadcast((model or trained()).p)  # of one size, whatever the input
+    sent = pages.sparkSession.sparkContext.broadcast((model or trained(pages.sparkSession)).p)  # of one size, whatever the input
     rows = pages.select(*keep, F.col(html).cast("string").alias(OWN + "html"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], f"`{out}` string"])
 
@@ -222,9 +260,10 @@ def extract(pages: DataFrame, model: Labeller | None = None, html: str = "html",
         own = Labeller()
         own.p = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = main_texts(plain(part.column(OWN + "html")).to_pylist(), own)
+            html_ = plain(batch.column(OWN + "html"))
+            for lo, hi in pieces(html_):  # about as much text at a time, however many pages that is
+                part = batch.slice(lo, hi - lo)
+                texts = main_texts(html_.slice(lo, hi - lo).to_pylist(), own)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
     return rows.mapInArrow(run, schema)

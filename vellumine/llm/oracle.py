@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vellumine.llm.pii import SECRET_NAMES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -47,7 +49,7 @@ def _digits(c: str) -> str:
 
 
 def pii() -> str:
-    """Base spans; the tables' contexts are random, so that the method trusts no pattern there and adds none."""
+    """Base spans and the seeds of secrets; the tables' other contexts are random, so that the method trusts no pattern there that adds more."""
     kinds = [
         ("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
         ("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: x::DOUBLE > 255)) = 0"),
@@ -61,11 +63,16 @@ def pii() -> str:
         FROM (SELECT r, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM d), unnest(range(1, len(ms) + 1)) AS t(i)) WHERE {ok}"""
         for name, k, p, ok in kinds
     )
+    value = """CASE WHEN regexp_full_match(m, 'AKIA[0-9A-Z]{16}') THEN m ELSE regexp_extract(m, '[:=] ?["'']?([A-Za-z0-9_+/-]{8,})$', 1) END"""
+    named = f"(?i:{'|'.join(SECRET_NAMES)})[\"'']?[ ]?[:=][ ]?[\"'']?[A-Za-z0-9_+/-]{{8,}}|[A-Za-z0-9]*AKIA[A-Za-z0-9]*"
+    each += f""" UNION ALL SELECT r, 'secret' AS name, 4 AS kind, a + length(m) - length(v) AS a, a + length(m) AS z FROM (SELECT *, {value} AS v FROM (
+        SELECT r, ms[i] AS m, (list_sum(list_transform(ps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0))::BIGINT AS a
+        FROM (SELECT r, regexp_extract_all(text, '{named}') AS ms, string_split_regex(text, '{named}') AS ps FROM d), unnest(range(1, len(ms) + 1)) AS t(i))) WHERE v <> ''"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS ({each}),
-g AS (SELECT r, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) AS told, count(*) FILTER (kind = 0) AS e, count(*) FILTER (kind = 1) AS i, count(*) FILTER (kind = 2) AS c, count(*) FILTER (kind = 3) AS p FROM s GROUP BY r)
+g AS (SELECT r, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (kind < 4) AS based, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) AS told, count(*) FILTER (kind = 0) AS e, count(*) FILTER (kind = 1) AS i, count(*) FILTER (kind = 2) AS c, count(*) FILTER (kind = 3) AS p FROM s GROUP BY r)
 SELECT doc_id, coalesce(e, 0)::BIGINT AS n_email, coalesce(i, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card, coalesce(p, 0)::BIGINT AS n_phone,
-  sha256(coalesce(told, '')) AS base_sha256, coalesce(told, '') AS spans FROM d LEFT JOIN g USING (r)
+  sha256(coalesce(based, '')) AS base_sha256, coalesce(told, '') AS spans, (coalesce(told, '') <> '')::INTEGER AS has_private FROM d LEFT JOIN g USING (r)
 """
 
 

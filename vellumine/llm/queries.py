@@ -60,7 +60,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"), (F.size("spans") > 0).cast("int").alias("has_private"))
 
 
 def op8_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:

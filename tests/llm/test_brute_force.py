@@ -317,6 +317,44 @@ def test_store_round_trip_and_tampering(spark):
         token_store.read_digests(spark, store).collect()
 
 
+@pytest.mark.parametrize("change", ["digests reversed", "digests and root reversed", "recipe lost", "ends moved", "manifest root", "chunk cut"])
+def test_every_change_of_a_store_is_noticed(spark, change):
+    words = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(str(words.random()) for _ in range(400))) for i in range(8)], "doc_id bigint, text string")
+    store = token_store.write_store(docs, TOKENIZER)
+    part = "manifest" if change == "manifest root" else "chunks" if change == "chunk cut" else "recipes"
+    rows = spark.read.parquet(f"{store.path}/{part}")
+    one = F.col("doc_id") == 5 if part == "recipes" else F.lit(True)
+    if change.startswith("digests"):
+        rows = rows.withColumn("digests", F.when(one, F.reverse("digests")).otherwise(F.col("digests")))
+        if "root" in change:
+            rows = rows.withColumn("root", F.when(one, F.unhex(F.sha2(F.to_binary(F.array_join(F.transform("digests", F.hex), ""), F.lit("hex")), 256))).otherwise(F.col("root")))
+    elif change == "recipe lost":
+        rows = rows.filter(~one)
+    elif change == "ends moved":
+        rows = rows.withColumn("ends", F.when(one, F.transform("ends", lambda e, i: e - (i == 0).cast("int"))).otherwise(F.col("ends")))
+    elif change == "manifest root":
+        rows = rows.withColumn("root", F.to_binary(F.lit("00"), F.lit("hex")))
+    else:
+        rows = rows.withColumn("payload", F.substring("payload", 1, 2))
+    changed = [tuple(r) for r in rows.collect()]
+    spark.createDataFrame(changed, rows.schema).write.mode("overwrite").parquet(f"{store.path}/{part}")
+    for read in (token_store.read_digests, token_store.read_documents):
+        with pytest.raises(Exception, match="match|fit|not in the store"):
+            read(spark, store).collect()
+
+
+def test_equal_hashes_do_not_mix_parts(monkeypatch):
+    """With a hash that many parts share, every text is still encoded as the library does."""
+    from vellumine.llm import encoder
+
+    monkeypatch.setattr(encoder, "mixed", lambda h: h % np.uint64(7))
+    texts = [" ".join(f"word{i * j % 11}" for j in range(20)) for i in range(40)]
+    library = Tokenizer.from_file(TOKENIZER)
+    got = [x.tolist() for n, ids, each in Encoder(TOKENIZER, 0).encode(pa.array(texts)) for x in np.split(ids, np.cumsum(each)[:-1])]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 # Personal data
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]

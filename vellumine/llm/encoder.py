@@ -1,9 +1,10 @@
 """Token ids of Arrow text columns with a public tokenizer, each distinct word encoded once.
 
 The pre-tokenizer of a byte-level BPE starts a new piece wherever white space follows other text, so a text cut before
-each run of spaces and newlines can be encoded part by part. Parts are told apart by a 64-bit hash over all their bytes
-and kept with their ids in a table of bounded size. A text with any other white space (tabs, no-break spaces) or a part
-of over 4,000 bytes is encoded whole.
+each run of spaces and newlines can be encoded part by part. Parts are found by a 64-bit hash in a table of bounded size,
+which holds their bytes and ids; the bytes are compared, so a hash decides nothing alone. A text with any other white space
+(tabs, no-break spaces), with a part of over 4,000 bytes, or with one whose hash another part has, is encoded whole. A
+tokenizer whose pieces cross white space is an error.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ class Encoder:
         self.table, self.vector = UInt64HashTable(1 << 16), UInt64Vector
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)  # of part i: ids[at[i]:at[i] + n[i]]
-        self.count = self.filled = 0
+        self.raw, self.raw_at, self.size = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.count = self.filled = self.raw_filled = 0
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -120,6 +122,8 @@ class Encoder:
             if self.count + len(h) > self.known:
                 self._clear()
             label = self._labels(h, data, start, size)
+            if not self._same(label, data, place, size):
+                return self._each_whole(data, off)
         else:
             label = np.zeros(0, dtype=np.int64)
         n = self.n[label]
@@ -136,6 +140,15 @@ class Encoder:
             ids[ends] = self.end
         return ids, np.diff(total[first])
 
+    def _same(self, label: np.ndarray, data: np.ndarray, place: np.ndarray, size: np.ndarray) -> bool:
+        """Are the parts those that the table has under their labels, byte for byte?"""
+        return bool((self.size[label] == size).all()) and bool((self.raw[place + np.repeat(self.raw_at[label], size)] == data).all())
+
+    def _each_whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end = [] if self.end is None else [self.end]
+        found = [self._whole(data[a:b].tobytes().decode()) + end for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+
     def _labels(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         before = self.count
         label = self.table.get_labels(h, self.vector(), before, -1)
@@ -155,6 +168,13 @@ class Encoder:
         lo = self.count - len(start)
         while len(self.at) < self.count:
             self.at, self.n = np.append(self.at, np.zeros_like(self.at)), np.append(self.n, np.zeros_like(self.n))
+            self.raw_at, self.size = np.append(self.raw_at, np.zeros_like(self.raw_at)), np.append(self.size, np.zeros_like(self.size))
+        upto = np.cumsum(size)
+        while len(self.raw) < self.raw_filled + int(upto[-1]):
+            self.raw = np.append(self.raw, np.zeros_like(self.raw))
+        self.raw[self.raw_filled : self.raw_filled + int(upto[-1])] = data[np.arange(upto[-1]) + np.repeat(start - upto + size, size)]
+        self.raw_at[lo : self.count], self.size[lo : self.count] = self.raw_filled + upto - size, size
+        self.raw_filled += int(upto[-1])
         at = np.flatnonzero(joins)
         if len(at):
             upto = np.cumsum(size[at])
@@ -163,7 +183,7 @@ class Encoder:
             ends = np.cumsum(self.bytes_of[ids])
             cut = np.searchsorted(ends, upto) + 1
             if ends[-1] != len(body) or (ends[cut - 1] != upto).any():
-                raise AssertionError("a piece of the tokenizer crosses white space")
+                raise ValueError("a piece of the tokenizer crosses white space")
             self._keep(lo + at, ids, np.diff(cut, prepend=0))
         other = np.flatnonzero(~joins)
         if len(other):

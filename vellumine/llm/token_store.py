@@ -14,12 +14,14 @@ An id stream is cut behind each place where a rolling hash of the last 4 ids has
 after 4,096 ids at most, so equal passages give equal chunks wherever they stand. A task sends each chunk at most once,
 so that a passage of a third of the documents doesn't overload the task that keeps it.
 
-`read_documents` rebuilds ids from recipes and chunks. `read_digests` reads every chunk back too and checks it against
-its address, but joins only sizes and CRCs with the recipes: the CRC of a document follows from those of its chunks.
+`read_documents` rebuilds ids from recipes and chunks. `read_digests` reads every chunk back too, but joins only sizes and
+CRCs with the recipes: the CRC of a document follows from those of its chunks. Both verify all they read, and raise where
+something was changed or lost: a chunk against its address, a recipe's digests against its root and its ends against its
+length, each chunk's length against its place, and each part's documents, ids and Merkle root against the manifest.
 
 Defined results: a null text is an empty one, a document of the end id alone. Repeated rows are documents of their own;
 documents of a null id come first. Documents of equal ids stand in the order of their roots. An empty table gives an
-empty store.
+empty store. Ids are whole numbers (a text that is none is an error).
 """
 
 from __future__ import annotations
@@ -207,11 +209,48 @@ def store_root(spark: SparkSession, store: Store) -> bytes:
     return merkle([bytes(r.root) for r in store.part(spark, "manifest").orderBy("part").select("root").toLocalIterator()])
 
 
+_RECIPES = "doc_id bigint, part int, row bigint, before bigint, n_tokens bigint, digests array<binary>, ends array<bigint>"
+
+
+def verified_recipes(spark: SparkSession, store: Store) -> DataFrame:
+    """The recipes, each checked as it is read; the parts are checked against the manifest before."""
+    recipes = store.part(spark, "recipes")
+    parts = recipes.select("part", "row", "n_tokens", "root").groupBy("part").applyInArrow(_rooted, "part int, documents bigint, n_tokens bigint, root binary")
+    told = store.part(spark, "manifest").select(F.col("part").alias("p"), F.col("documents").alias("d"), F.col("n_tokens").alias("n"), F.col("root").alias("r"))
+    same = F.col("part").eqNullSafe(F.col("p")) & F.col("documents").eqNullSafe(F.col("d")) & F.col("n_tokens").eqNullSafe(F.col("n")) & F.col("root").eqNullSafe(F.col("r"))
+    wrong = parts.join(told, parts["part"] == told["p"], "full_outer").filter(~same).select(F.coalesce("part", "p").alias("part")).first()
+    if wrong is not None:
+        raise ValueError(f"part {wrong.part} of the store does not match its manifest")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, ends, n = batch.column("digests"), batch.column("ends"), batch.column("n_tokens").to_numpy()
+            for root, digests in zip(batch.column("root").to_pylist(), lists.to_pylist(), strict=True):
+                if hashlib.sha256(b"".join(digests)).digest() != root:
+                    raise ValueError("a recipe does not match its root")
+            size, flat = ends.value_lengths().to_numpy(), ends.flatten().to_numpy()
+            last = np.zeros(len(n), dtype=np.int64)
+            some = np.flatnonzero(size)
+            last[some] = flat[np.cumsum(size)[some] - 1]
+            if (size != lists.value_lengths().to_numpy()).any() or (last != n).any():
+                raise ValueError("a recipe's ends do not match its length")
+            yield batch.select(["doc_id", "part", "row", "before", "n_tokens", "digests", "ends"])
+
+    return recipes.mapInArrow(check, _RECIPES)
+
+
+def _chunk_places(recipes: DataFrame, *more: str) -> DataFrame:
+    """part, row, more..., at, digest, ids_told (how many ids the chunk must have), after (ids behind it) for each chunk of a recipe."""
+    each = recipes.select("part", "row", *more, "n_tokens", "ends", F.posexplode_outer("digests").alias("at", "digest"))
+    end, begin = F.element_at("ends", F.col("at") + 1), F.coalesce(F.get("ends", F.col("at") - 1), F.lit(0))
+    return each.select("part", "row", *more, "at", "digest", (end - begin).alias("ids_told"), (F.col("n_tokens") - end).alias("after"))
+
+
 def read_documents(spark: SparkSession, store: Store) -> DataFrame:
-    """doc_id, part, row, start, ids: every document rebuilt from its chunks, each checked against its address."""
+    """doc_id, part, row, start, ids: every document rebuilt from its chunks, all of it verified."""
     chunks = store.part(spark, "chunks")
-    each = store.part(spark, "recipes").select("doc_id", "part", "row", "before", F.posexplode_outer("digests").alias("at", "digest"))
-    whole = each.join(chunks, "digest", "left").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("at", "digest", "payload"))).alias("chunks"))
+    each = _chunk_places(verified_recipes(spark, store), "doc_id", "before")
+    whole = each.join(chunks, "digest", "left").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("at", "digest", "ids_told", "payload"))).alias("chunks"))
     width = store.width
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +258,7 @@ def read_documents(spark: SparkSession, store: Store) -> DataFrame:
             ids = []
             for row in batch.column("chunks").to_pylist():
                 for c in row:
-                    if c["digest"] is not None and (c["payload"] is None or hashlib.sha256(c["payload"]).digest() != c["digest"]):
+                    if c["digest"] is not None and (c["payload"] is None or hashlib.sha256(c["payload"]).digest() != c["digest"] or len(c["payload"]) != width * c["ids_told"]):
                         raise ValueError("a chunk is missing or does not match its address")
                 ids.append(np.frombuffer(b"".join(c["payload"] or b"" for c in row), dtype=f"<u{width}").astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "row", "before")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "part", "row", "before", "ids"])
@@ -272,17 +311,19 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["digest", "ids", "crc"])
 
     chunks = store.part(spark, "chunks").mapInArrow(check, "digest binary, ids bigint, crc bigint")
-    each = store.part(spark, "recipes").select("part", "row", F.posexplode("digests").alias("at", "digest"), "ends", "n_tokens")
-    placed = each.select("part", "row", "digest", (F.col("n_tokens") - F.element_at("ends", F.col("at") + 1)).alias("after"))
+    recipes = verified_recipes(spark, store)
+    placed = _chunk_places(recipes).filter("digest IS NOT NULL")
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.column("ids").null_count:
                 raise ValueError("a recipe names a chunk that is not in the store")
+            if (batch.column("ids").to_numpy() != batch.column("ids_told").to_numpy()).any():
+                raise ValueError("a chunk does not fit its place in a recipe")
             term = crc_before(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("row"), batch.column("ids"), pa.array(term.astype(np.int64))], names=["part", "row", "ids", "term"])
 
-    terms = placed.join(chunks, "digest", "left").select("part", "row", "ids", "crc", "after").mapInArrow(shift, "part int, row bigint, ids bigint, term bigint")
+    terms = placed.join(chunks, "digest", "left").select("part", "row", "ids", "ids_told", "crc", "after").mapInArrow(shift, "part int, row bigint, ids bigint, term bigint")
     read = terms.groupBy("part", "row").agg(F.sum("ids").alias("n_tokens"), F.bit_xor("term").alias("crc"))
     starts = store.part(spark, "manifest").select("part", "start")
     rows = store.part(spark, "recipes").select("doc_id", "part", "row", "before")

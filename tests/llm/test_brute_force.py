@@ -114,18 +114,37 @@ def plain_overlaps(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_words", [10**6, 30])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("bits, piece", [(27, 1 << 20), (4, 1 << 20), (10, 16)])
+def test_decontamination(spark, bits, piece, monkeypatch):
+    """Also with a table of bits that lets most windows through, and with texts that are read in parts."""
+    from vellumine.llm import words
+
+    monkeypatch.setattr(words, "PIECE", piece)
+    monkeypatch.setattr(words.long_text, "__defaults__", (piece,))
     r = random.Random(5)
     vocabulary = "a b c d e".split()
     items = [(i, " ".join(r.choices(vocabulary, k=r.choice((1, 3, 9, 10, 11, 25))))) for i in range(5, 12)] + [(99, "É-été 12 x_y ÄB " * 4)]
     docs = [(i, " ".join(r.choices(vocabulary + ["q"], k=r.randint(0, 40))) + r.choice(("", " " + r.choice(items)[1].upper().lower() + " zz"))) for i in range(80)] + [(100, "vor É-été 12 x_y äb " * 3), (101, None)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontamination.find_overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), bench, block_words=block_words)
+    found = decontamination.find_overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), bench, bits=bits)
     got = {x.doc_id: (x.n_words, x.n, list(x["items"])) for x in found.withColumn("n", decontamination.n_hit()).collect()}
     assert got == {i: plain_overlaps(t, items) for i, t in docs}
 
 
+def test_long_texts_in_parts(monkeypatch):
+    from vellumine.llm import words
+
+    monkeypatch.setattr(words, "PIECE", 10)
+    r = random.Random(21)
+    text = pa.array([" ".join(r.choices(["one", "two", "é", "four4", "x" * 60, "..."], k=400))])
+    whole = words.words(text, words.ALNUM)
+    seen = {}
+    for before, w in words.long_text(text, words.ALNUM, 3, 40):
+        for i in range(len(w)):
+            assert seen.setdefault(before + i, w.raw(i, 1)) == w.raw(i, 1)
+    assert [seen[i] for i in range(len(seen))] == [whole.raw(i, 1) for i in range(len(whole))]
+
+
 # Search
 
 

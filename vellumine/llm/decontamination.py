@@ -6,13 +6,16 @@ fingerprints of a document's windows are joined with those of the items; a hit i
 looked up by their hash and then compared word by word, so hashes decide nothing alone. An item of fewer words than a
 window has no window of 6 grams; its only window is all of its words, fingerprinted whole (k = its length, window 1).
 
-The items are the build side of the join. They go to the workers in blocks of at most `block_words` words, one pass
-over the documents for each block, so the memory of a worker is bounded and no document is shuffled; the hits of the
-passes are then united. A benchmark below the bound, as all known ones are by far, takes one pass.
+One plan serves benchmarks of any size. The items' windows are a table. Their fingerprints are also set in a table of
+2 ** `bits` bits (16 MB, whatever the benchmark), which goes to the workers: a document's windows that it lets through are
+kept with the document, without duplicates, and only those meet the items' windows in a join on the words themselves.
+What isn't let through can't be a hit; what is let through by chance (more with very large benchmarks) only costs the join.
+Documents are written once with their candidates, and only those that have some are joined.
 
 Defined results: a null or empty text has no words and no hits; an item without words, or with a null id, takes no
-part; rows with the same item id count as one item. Repeated documents are judged each for itself. Tables may be
-empty. Other columns are ignored.
+part; rows with the same item id count as one item. Item ids are whole numbers (a text that is none is an error).
+Repeated documents are judged each for itself. Tables may be empty. Other columns are ignored. Long texts are read in
+parts that share window - 1 words.
 """
 
 from __future__ import annotations
@@ -21,39 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import OWN, release, written
-from vellumine.llm.words import ALNUM, grams, grams_at, pieces, plain, words
+from vellumine.llm.words import ALNUM, Words, grams, is_long, long_text, mixed, pieces, plain, words
 
 WINDOW, GRAM = 10, 5
-HITS = "n_words bigint, items array<bigint>, spans array<struct<start:bigint,stop:bigint>>"
-
-
-class Items:
-    """What a worker keeps of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]], window: int, gram: int):
-        self.window, self.gram = window, gram
-        self.by_words: dict[int, dict[bytes, set[int]]] = {}
-        least: list[np.ndarray] = []
-        whole: dict[int, list[np.ndarray]] = {}
-        for item, text in rows:
-            w = words(pa.array([text]), ALNUM)
-            n = len(w)
-            if not n:
-                continue
-            k = min(n, window)
-            found = self.by_words.setdefault(k, {})
-            for i in range(n - k + 1):
-                found.setdefault(w.raw(i, k), set()).add(item)
-            h = w.hashes()
-            if k == window:
-                least.append(_least(grams(h, gram), window - gram + 1))
-            whole.setdefault(k, []).append(grams(h, k))
-        self.least = np.unique(np.concatenate(least)) if least else np.zeros(0, dtype=np.uint64)
-        self.whole = {k: np.unique(np.concatenate(x)) for k, x in whole.items()}
+_CANDIDATES = "array<struct<k:int,words:string,places:array<bigint>>>"
 
 
 def _least(g: np.ndarray, n: int) -> np.ndarray:
@@ -67,113 +45,130 @@ def _least(g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of x whose value is in the sorted array known."""
-    if not len(known) or not len(x):
-        return np.zeros(0, dtype=np.int64)
-    at = np.searchsorted(known, x)
-    at[at == len(known)] = 0
-    return np.flatnonzero(known[at] == x)
-
-
-def _hits(texts: pa.Array, items: Items) -> tuple[np.ndarray, dict[int, tuple[set[int], list[list[int]]]]]:
-    """Words of each text; for the texts with hits: items and merged word spans."""
-    w = words(texts, ALNUM)
-    h = w.hashes()
-    text_of = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    marks: dict[int, tuple[set[int], list[tuple[int, int]]]] = {}
-    for k, known in items.whole.items():
-        if k == items.window:
-            likely = _among(_least(grams(h, items.gram), k - items.gram + 1), items.least)
+def _parts(texts: pa.Array, shared: int) -> Iterator[tuple[int, int, int, Words]]:
+    """(first row, last row + 1, words before, words) of ranges of texts; a long one comes in parts."""
+    for lo, hi in pieces(texts):
+        if is_long(texts, lo, hi):
+            for before, w in long_text(texts.slice(lo, 1), ALNUM, shared):
+                yield lo, hi, before, w
         else:
-            likely = np.arange(max(0, len(h) - k + 1))
-        if not len(likely):
+            yield lo, hi, 0, words(texts.slice(lo, hi - lo), ALNUM)
+
+
+def _marks(h: np.ndarray, k: int, window: int, gram: int) -> np.ndarray:
+    """Two numbers for each window of k words, by which the table of bits knows it: the winnowed fingerprint and that of the whole window."""
+    salt = np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    whole = mixed(grams(h, k) + salt)
+    return np.stack([mixed(_least(grams(h, gram), window - gram + 1) + salt + np.uint64(1)) if k == window else whole, whole])
+
+
+def item_windows(benchmark: DataFrame, window: int, gram: int, item_col: str, text: str) -> DataFrame:
+    """item, k, words, mark1, mark2: every window of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("item").to_numpy()
+            for i, body in enumerate(batch.column("text")):
+                n = 0
+                for _, _, before, w in _parts(pa.array([body.as_py()], pa.string()), window - 1):
+                    if len(w) < window and (before or not len(w)):
+                        continue
+                    k = min(len(w), window)
+                    marks, n = _marks(w.hashes(), k, window, gram).view(np.int64), len(w) - k + 1
+                    for lo in range(0, n, 10_000):
+                        hi = min(n, lo + 10_000)
+                        said = [w.raw(j, k).decode() for j in range(lo, hi)]
+                        m = hi - lo
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ids[i])), pa.array(np.full(m, k, dtype=np.int32)), pa.array(said, pa.string()), pa.array(marks[0, lo:hi]), pa.array(marks[1, lo:hi])], names=["item", "k", "words", "mark1", "mark2"])
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(run, "item bigint, k int, words string, mark1 bigint, mark2 bigint")
+
+
+def bit_table(windows: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2 ** bits places the windows' marks take; a row of 32,768 bits at a time, so of a size that doesn't depend on the items."""
+    marks = windows.select(F.explode(F.array("mark1", "mark2")).alias("m"))
+    each = marks.select(F.shiftrightunsigned("m", 64 - bits).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << bits, dtype=bool)
+    for row in each.toLocalIterator():
+        # Buckets are numbered from 1 for places above 0; place 0 has bucket 0.
+        found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row.bits), dtype=np.uint8), bitorder="little"))
+        out[(row.bucket - 1) * 32768 + 1 + found if row.bucket else -found] = True
+    return np.packbits(out, bitorder="little")
+
+
+def _candidates(w: Words, ks: list[int], table: np.ndarray, bits: int, window: int, gram: int) -> dict[int, dict[tuple[int, bytes], list[int]]]:
+    """For the texts that have some: places by (k, words) of the windows that the table lets through."""
+    h = w.hashes()
+    text_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    out: dict[int, dict[tuple[int, bytes], list[int]]] = {}
+    for k in ks:
+        if len(h) < k:
             continue
-        likely = likely[text_of[likely] == text_of[likely + k - 1]]
-        if k == items.window:
-            likely = likely[_among(grams_at(h, likely, k), known)]
-        else:
-            g = grams(h, k)
-            likely = likely[_among(g[likely], known)]
-        found = items.by_words[k]
-        for i in likely.tolist():
-            if hit := found.get(w.raw(i, k)):
-                t = int(text_of[i])
-                its, spans = marks.setdefault(t, (set(), []))
-                its |= hit
-                spans.append((i - int(w.first[t]), i - int(w.first[t]) + k))
-    return np.diff(w.first), {t: (its, merged(spans)) for t, (its, spans) in marks.items()}
-
-
-def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
+        first, second = (_marks(h, k, window, gram) >> np.uint64(64 - bits)).astype(np.int64)
+        known = lambda place: (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(known(first))
+        at = at[known(second[at])]
+        at = at[text_of[at] == text_of[at + k - 1]]
+        for i in at.tolist():
+            t = int(text_of[i])
+            out.setdefault(t, {}).setdefault((k, w.raw(i, k)), []).append(i - int(w.first[t]))
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
-    size = 0
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text)).filter(F.col(item_col).isNotNull() & F.col(text).isNotNull())
-    for item, body in rows.toLocalIterator():
-        n = body.count(" ") + body.count("\n") + 1
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((item, body))
-        size += n
-    yield block
-
-
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = 200_000,
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = 27,
                   id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep..., n_words, items (ids whose windows occur), spans (word ranges that windows cover, merged)."""
-    spark = docs.sparkSession
+    windows = written(item_windows(benchmark, window, gram, item_col, item_text), "decontamination-items")
+    ks = sorted(r.k for r in windows.select("k").distinct().collect())  # at most `window`
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(windows, bits) if ks else None)  # 2 ** bits bits
     own = text if text in keep else OWN + "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if text in keep else [F.col(text).cast("string").alias(own)]))
-    passes = []
-    blocks = _blocks(benchmark, item_col, item_text, block_words)
-    block, more = next(blocks), next(blocks, None)
-    if more is not None:
-        rows = written(rows.withColumn(OWN + "row", F.monotonically_increasing_id()), "decontamination-rows")
     others = [f for f in rows.schema.fields if f.name != own or text in keep]
     names = [f.name for f in others]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [HITS])
-    while block is not None:
-        sent = spark.sparkContext.broadcast(block)  # at most block_words words
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            release()
-            items = Items(sent.value, window, gram)
-            for batch in batches:
-                texts, rest = plain(batch.column(own)), batch.select(names)
-                for lo, hi in pieces(texts):
-                    n, found = _hits(texts.slice(lo, hi - lo), items)
-                    its = [sorted(found[t][0]) if t in found else [] for t in range(hi - lo)]
-                    spans = [[{"start": a, "stop": b} for a, b in found[t][1]] if t in found else [] for t in range(hi - lo)]
-                    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([*rest.slice(lo, hi - lo).columns, pa.array(n, pa.int64()), pa.array(its, pa.list_(pa.int64())), pa.array(spans, kind)], names=[*names, "n_words", "items", "spans"])
-
-        passes.append(rows.mapInArrow(run, schema))
-        block, more = more, next(blocks, None) if more is not None else None
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    first = [F.first(f.name).alias(f.name) for f in others if f.name != OWN + "row"]
-    united = every.groupBy(OWN + "row").agg(*first, F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    joined = F.aggregate(
-        "all",
-        empty,
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["stop"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return united.withColumn("spans", joined).drop("all", OWN + "row")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_words bigint", f"`{OWN}found` {_CANDIDATES}"])
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("words", pa.string()), ("places", pa.list_(pa.int64()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            texts, rest = plain(batch.column(own)), batch.select(names)
+            done, n, found = -1, [], {}
+
+            def out(lo: int) -> pa.RecordBatch:
+                lists = [[{"k": k, "words": words_.decode(), "places": sorted(set(p))} for (k, words_), p in found.get(t, {}).items()] for t in range(len(n))]
+                return pa.RecordBatch.from_arrays([*rest.slice(lo, len(n)).columns, pa.array(n, pa.int64()), pa.array(lists, kind)], names=[*names, "n_words", OWN + "found"])
+
+            for lo, hi, before, w in _parts(texts, window - 1):
+                if lo != done and done >= 0:
+                    yield out(done)
+                    n, found = [], {}
+                done = lo
+                n = (np.diff(w.first) + before).tolist()
+                for t, mine in (_candidates(w, ks, sent.value, bits, window, gram) if ks else {}).items():
+                    for key, places in mine.items():
+                        found.setdefault(t, {}).setdefault(key, []).extend(p + before for p in places)
+            # The words of a long text are counted by its last part; one without words has no part.
+            if done >= 0:
+                yield out(done)
+
+    marked = written(rows.mapInArrow(run, schema).withColumn(OWN + "row", F.monotonically_increasing_id()), "decontamination-rows")
+    none = marked.filter(F.size(OWN + "found") == 0)
+    some = marked.filter(F.size(OWN + "found") > 0)
+    each = some.select(OWN + "row", F.explode(OWN + "found").alias("c")).select(OWN + "row", "c.k", "c.words", "c.places")
+    met = each.join(windows.select("item", "k", "words").distinct(), ["k", "words"])
+    place = F.explode("places")
+    items = met.select(OWN + "row", "item").distinct().groupBy(OWN + "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # Spans begin where no window began or reached before.
+    starts = met.select(OWN + "row", "k", place.alias("start")).groupBy(OWN + "row", "start").agg((F.col("start") + F.max("k")).alias("stop"))
+    order = Window.partitionBy(OWN + "row").orderBy("start")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = starts.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = runs.groupBy(OWN + "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).groupBy(OWN + "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    empty = lambda c, of: F.coalesce(F.col(c), F.array().cast(f"array<{of}>")).alias(c)
+    span = "struct<start:bigint,stop:bigint>"
+    hit = some.join(items, OWN + "row", "left").join(spans, OWN + "row", "left").select(*names, "n_words", empty("items", "bigint"), empty("spans", span))
+    return none.select(*names, "n_words", F.array().cast("array<bigint>").alias("items"), F.array().cast(f"array<{span}>").alias("spans")).unionByName(hit)
 
 
 def n_hit(spans: str = "spans"):

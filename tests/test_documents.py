@@ -66,6 +66,7 @@ def test_caption_shapes(spark):
     assert f('[{"caption2":"2","caption10":"10","caption1":"1","x":"y"}]') == [["1", "10", "2"]]
     assert f('[{"captions":["Same","a"]},{"captions":["SAME","b"]},5]') == [["Same", "a"]]
     assert f("7") == [] and f("[]") == []
+    assert f('[{"captions":["a",5,{"x":1},null,["b"]]},{"caption1":7,"caption2":"c"},{"captions":"old"}]') == [["a"], ["c"], ["old"]]
 
 
 def test_postprocess_flow(spark):
@@ -159,3 +160,14 @@ def test_title_and_description(spark):
     assert one(spark, M.description_of(d(("", "Abstract"), ("one", "Other"), ("two", " Abstract ")), secs())) == "two"
     assert one(spark, M.description_of(d(("", "Other"), ("two", "Other")), secs())) == "two"
     assert one(spark, M.description_of(d(("", "x")), secs(("An Abstract", ""), ("Abstract", "later")))) == ""
+
+
+def test_halves_of_surrogate_pairs_are_no_end(spark):
+    doc = '{"creators":[{"name":"\\ud83d"}],"titles":[{"title":""}],"posterContent":{"sections":[{"sectionTitle":"T","sectionContent":"long enough content \\ude00"}]},"imageCaptions":[{"captions":["fig \\ud83d"]}],"sizes":["\\ud83d"],"publicationYear":1e400,"\\ud83d":1}'
+    rows = spark.createDataFrame([(doc,)], "document string")
+    checked = rows.select(V.validate("document").alias("v")).first().v
+    assert json.loads(checked.document)["creators"][0]["name"] == "\ud83d" and "titles.0.title" in [w.field for w in checked.warnings]
+    assert rows.select(M.metadata_row(F.col("document")).alias("m")).first().m["size"] == "\ufffd"
+    assert rows.select(K.facets("document").alias("f")).first().f.sections == ["long enough content \ufffd", "fig \ufffd"]
+    done = json.loads(postprocess_json(rows).first().document)
+    assert done["posterContent"]["sections"][0]["sectionContent"] == "long enough content \ufffd" and len(done["imageCaptions"]) == 1

@@ -57,18 +57,21 @@ def test_stream_equals_batch(spark, tmp_path):
 
     put("1.json", ("a", "x"), ("b", "bad"))
     stream.run(spark, str(incoming), str(state), work, F.lit(NOW)).awaitTermination()
-    put("2.json", ("c", "y"))
+    put("2.json", ("c", "y"), ("a", "again"), ("c", "zz"))
     stream.run(spark, str(incoming), str(state), work, F.lit(NOW)).awaitTermination()
     jobs = {r.id: (r.status, r.error) for r in spark.read.parquet(f"{state}/jobs/1").collect()}
     assert jobs == {"a": (J.COMPLETED, None), "b": (J.FAILED, "broken"), "c": (J.COMPLETED, None)}
     assert [r.title for r in spark.read.parquet(f"{state}/done/1").collect()] == ["Y"]
+    put("3.json", ("d", "z"))
+    stream.run(spark, str(incoming), str(state), work, F.lit(NOW)).awaitTermination()
+    assert sorted(p.name for p in (state / "jobs").iterdir()) == ["1", "2"] and spark.read.parquet(f"{state}/jobs/2").count() == 4
 
 
 def test_alto_with_and_without_name_space(spark):
     block = "<TextBlock><TextLine><String CONTENT='a'/><SP/><String ID=\"1\" CONTENT=\"b &amp; c\"/><String CONTENT=''/></TextLine></TextBlock><TextBlock/>"
-    texts = [f'<alto xmlns="http://www.loc.gov/standards/alto/ns-v3#">{block}</alto>', f"<a:alto>{block.replace('<T', '<a:T').replace('</T', '</a:T').replace('<S', '<a:S')}</a:alto>", "no markup"]
+    texts = [f'<alto xmlns="http://www.loc.gov/standards/alto/ns-v3#">{block}</alto>', f"<a:alto xmlns:a='urn:x'>{block.replace('<T', '<a:T').replace('</T', '</a:T').replace('<S', '<a:S')}</a:alto>", "no markup", "<alto><TextBlock><String CONTENT='caf&#233; &#x1F600; &amp;'/></TextBlock><TextBlock><String CONTENT=\"it's\"/></TextBlock></alto>", "<alto><TextBlock>", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
-    assert [r.t for r in rows.select("i", markup.alto_text(F.col("x")).alias("t")).orderBy("i").collect()] == ["a b & c", "a b & c", None]
+    assert [r.t for r in rows.select("i", markup.alto_text(F.col("x")).alias("t")).orderBy("i").collect()] == ["a b & c", "a b & c", None, "café 😀 &\nit's", None, None]
 
 
 def test_pairs_prefer_pdf(spark):
@@ -94,3 +97,27 @@ def test_settings_fall_through_when_empty(tmp_path, monkeypatch):
     env.write_text("A_KEY='one'\n# B=2\n")
     monkeypatch.setenv("A_KEY", "")
     assert files.setting("A_KEY", "d", str(env)) == "one" and files.setting("B", "d", str(env)) == "d"
+
+
+def test_download_gives_rows_for_errors(spark):
+    import http.server
+    import threading
+
+    class Files(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            good = self.path == "/b/a%20b.pdf" and self.headers["AccessKey"] == "k"
+            self.send_response(200 if good else 404)
+            self.end_headers()
+            self.wfile.write(b"body" if good else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Files)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rows = spark.createDataFrame([("/a b.pdf",), ("none.pdf",)], "path string")
+        got = {r.path: (r.content and bytes(r.content), r.error) for r in files.download(rows, f"http://127.0.0.1:{server.server_port}/b/", "k").collect()}
+    finally:
+        server.shutdown()
+    assert got["/a b.pdf"] == (b"body", None) and got["none.pdf"][0] is None and "404" in got["none.pdf"][1]

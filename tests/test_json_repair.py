@@ -60,3 +60,11 @@ def test_trailing_commas_twice_is_once():
     s = '{"a":[1,,],}'
     assert R._commas(R._commas('{"a":[1,],}')) == R._commas('{"a":[1,],}')
     assert R._commas(s).count(",") == 1
+
+
+def test_odd_answers_are_values(spark):
+    answers = ['{"s":"cut \\ud83d"}', '{"error":1,"raw":2}', '{"a":' + "[" * 100_000, '{"n":' + "9" * 5000 + "}", '{"x":NaN}']
+    rows = [r.r for r in spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, v string").select("i", R.parse_json("v").alias("r")).orderBy("i").collect()]
+    assert rows[0].value == '{"s": "cut \\ud83d"}' and json.loads(rows[1].value) == {"error": 1, "raw": 2} and rows[1].error is None
+    assert rows[2].error == "JSON parse failed" and rows[3].error == "JSON parse failed" and len(rows[2].raw) == R.RAW
+    assert rows[4].value == '{"x": NaN}'

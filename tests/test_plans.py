@@ -28,6 +28,28 @@ def test_retries_reach_only_failures(spark):
     assert got[0] == {"a": 1} and got[1] == {"a": 1} and got[2]["error"] == "No JSON found" and len(got) == 3
 
 
+def test_answers_that_say_error_are_asked_again(spark):
+    def generate(prompt, tokens):
+        return F.when(F.lit(tokens < structure.RETRY_TOKENS), '{"error": "busy"}').when(prompt.contains("always"), '{"error": "busy", "raw": "{"}').otherwise('{"a": 1}')
+
+    structure.GENERATORS["test"] = generate
+    try:
+        rows = spark.createDataFrame([(0, "now"), (1, "always")], "i int, text string")
+        got = {r.i: (json.loads(r.document), r.error) for r in structure.structure(rows, "test", finish=False).collect()}
+    finally:
+        del structure.GENERATORS["test"]
+    assert got == {0: ({"a": 1}, None), 1: ({"error": "busy", "raw": "{"}, "busy")}
+
+
+def test_a_model_answers_in_batches(spark):
+    structure.GENERATORS["test"] = structure.batch_generator(lambda: lambda prompts, most: [json.dumps({"n": len(p), "most": most}) for p in prompts])
+    try:
+        got = json.loads(structure.structure(spark.createDataFrame([("x",)], "text string"), "test", finish=False).first().document)
+    finally:
+        del structure.GENERATORS["test"]
+    assert got == {"n": len(structure.PROMPT) + 1, "most": structure.FIRST_TOKENS}
+
+
 def test_run_eval(spark, tmp_path):
     folder = tmp_path / "in" / "7"
     folder.mkdir(parents=True)
@@ -39,6 +61,12 @@ def test_run_eval(spark, tmp_path):
         row = evaluate.run_eval(spark, str(tmp_path / "in"), str(tmp_path / "out")).first()
     finally:
         files.EXTRACTORS.clear()
+    files.register("layout", lambda path, content: content.decode())
+    try:
+        one = evaluate.process_file(spark, str(folder / "p.pdf")).first()
+    finally:
+        files.EXTRACTORS.clear()
+    assert one.source == "layout" and json.loads(one.document)["titles"] == [{"title": "Title"}]
     assert row.poster_id == "7" and row.passes and row.word_capture >= 0.75 and row.source == "layout" and not row.is_error
 
 

@@ -31,3 +31,9 @@ def test_scores():
     assert rouge.f_measure(rouge.tokens("The cats sat"), rouge.tokens("the cat sat")) == 1.0 or rouge.tokens("cats") == ["cat"]
     assert rouge.f_measure([], ["a"]) == 0.0
     assert rouge.tokens("Müller's 3.5") == ["m", "ller", "s", "3", "5"]
+
+
+def test_stems_with_the_usual_extensions():
+    pairs = "days day day day keys key biology biolog biological biolog technology technolog methodology methodolog carefully care happily happili flies fli dies die died die spied spi skies sky dying die enjoy enjoy proceed proceed innings inning usefully use possibly possibl".split()
+    for word, stem in zip(pairs[::2], pairs[1::2], strict=True):
+        assert rouge.stem(word) == stem, (word, rouge.stem(word))

@@ -107,8 +107,21 @@ def _all(s: str) -> str:
 LADDER = (lambda s: s, _quotes, _commas, _escapes, close_cut, _all, lambda s: _all(_quotes(s)))
 
 
-def parse(response: str) -> dict:
-    """The object in a response, or {"error", "raw"}."""
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def dumped(value: object) -> str:
+    """JSON text without escapes, but for halves of surrogate pairs: these have no UTF-8, so they stay escaped."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+
+
+def storable(text: str) -> str:
+    """A text with a replacement sign for each half of a surrogate pair."""
+    return _LONE.sub("\ufffd", text)
+
+
+def attempt(response: str) -> tuple[dict | None, str | None, str | None]:
+    """(object, None, None), or (None, error, raw)."""
     s = response.strip()
     for mark in ("```json", "```"):
         if mark in s:
@@ -117,22 +130,29 @@ def parse(response: str) -> dict:
             break
     s = s.strip()
     if "{" not in s:
-        return {"error": "No JSON found", "raw": s[:RAW]}
+        return None, "No JSON found", s[:RAW]
     s = first_object(_quotes(s[s.index("{") :]))
     for repair in LADDER:
         try:
-            return json.loads(repair(s))
+            found = json.loads(repair(s))
+            dumped(found)  # what is nested too deep to be written counts as not parsed
+            return found, None, None
         except (ValueError, RecursionError):
             continue
-    return {"error": "JSON parse failed", "raw": s[:RAW]}
+    return None, "JSON parse failed", s[:RAW]
+
+
+def parse(response: str) -> dict:
+    """The object in a response, or {"error", "raw"}."""
+    found, error, raw = attempt(response)
+    return {"error": error, "raw": raw} if found is None else found
 
 
 @arrow("struct<value:string,error:string,raw:string>")
 def parse_json(responses: pd.Series) -> pd.DataFrame:
-    """value: the object as canonical JSON, null on error; a null response is an empty one."""
+    """value: the object as canonical JSON, null on error; a null response is an empty one. An object that has a key "error" is a value."""
     rows = []
     for r in responses:
-        found = parse(r or "")
-        failed = set(found) == {"error", "raw"}
-        rows.append((None, found["error"], found["raw"]) if failed else (json.dumps(found, ensure_ascii=False), None, None))
+        found, error, raw = attempt(r or "")
+        rows.append((None if found is None else dumped(found), error, raw))
     return pd.DataFrame(rows, columns=["value", "error", "raw"])

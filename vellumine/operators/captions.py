@@ -21,20 +21,25 @@ def normalized(captions: Column) -> Column:
     return F.transform(first, lambda p: F.struct(p.alias("captions")))
 
 
+def _strings(values: Column) -> Column:
+    """The strings of an array<variant>; what is no string is left out."""
+    return F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
+
+
 def _list(json: Column, key: str) -> Column:
-    """The list of strings under a key, null if there is none."""
+    """The strings of the list under a key, null if there is none."""
     at = F.get_json_object(json, f"$.{key}")
-    return F.when(at.startswith("["), F.from_json(at, "array<string>"))
+    return F.when(at.startswith("["), _strings(F.from_json(at, "array<variant>")))
 
 
 def _element(e: Column) -> Column:
     keys = F.filter(F.array_sort(F.json_object_keys(e)), lambda k: k.startswith("caption"))
-    values = F.from_json(e, "map<string,string>")
-    legacy = F.transform(keys, lambda k: values[k])
+    values = F.from_json(e, "map<string,variant>")
+    legacy = _strings(F.transform(keys, lambda k: values[k]))
     has = lambda key: F.array_contains(F.json_object_keys(e), key)
     none = F.array().cast("array<string>")
     kept = F.when(_list(e, "captions").isNotNull(), _list(e, "captions")).when(has("captionParts"), F.coalesce(_list(e, "captionParts"), none)).otherwise(legacy)
-    return F.struct(F.filter(kept, lambda p: p.isNotNull()).alias("captions"))
+    return F.struct(kept.alias("captions"))
 
 
 def from_shapes(json: Column) -> Column:

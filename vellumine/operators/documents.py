@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
+from vellumine.functions.json_repair import dumped, storable
 from vellumine.functions.udf import add_column
 from vellumine.operators import captions as C
 from vellumine.operators import sections as S
@@ -29,8 +30,8 @@ def document_parts(documents: list[str | None]) -> list[dict]:
         doc = json.loads(d) if d else {}
         content = doc.get("posterContent")
         listed = content.get("sections", []) if isinstance(content, dict) else None
-        some = [{"sectionTitle": _told(s.get("sectionTitle", "")), "sectionContent": _told(s.get("sectionContent", ""))} for s in listed if isinstance(s, dict)] if isinstance(listed, list) else []
-        shapes = [json.dumps(doc[k], ensure_ascii=False) if doc.get(k) else None for k in ("imageCaptions", "tableCaptions", "imageCaption", "tableCaption")]
+        some = [{"sectionTitle": storable(_told(s.get("sectionTitle", ""))), "sectionContent": storable(_told(s.get("sectionContent", "")))} for s in listed if isinstance(s, dict)] if isinstance(listed, list) else []
+        shapes = [dumped(doc[k]) if doc.get(k) else None for k in ("imageCaptions", "tableCaptions", "imageCaption", "tableCaption")]
         rows.append(dict(zip(("is_list", "sections", "image", "table", "image_old", "table_old"), (isinstance(listed, list), some, *shapes), strict=True)))
     return rows
 
@@ -68,7 +69,7 @@ def _assembled(documents: list[str | None], parts: list[dict], url: str) -> list
             for item in doc[key] if isinstance(doc.get(key), list) else ():
                 if isinstance(item, dict) and isinstance(item.get(field), str):
                     item[field] = cleaned_text(item[field])
-        out.append(json.dumps(doc, ensure_ascii=False))
+        out.append(dumped(doc))
     return out
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumine.functions.json_repair import storable
 from vellumine.functions.text import strip
 from vellumine.functions.udf import arrow
 from vellumine.schema import METADATA
@@ -42,6 +43,12 @@ def _row(doc: dict, names: dict[str, str]) -> dict:
     return out
 
 
+def _whole(value: object) -> int | None:
+    """A number that fits into 64 bits, as a whole one."""
+    number = isinstance(value, (int, float)) and value == value and abs(value) < 2**63
+    return int(value) if number else None
+
+
 def metadata_row(document: Column, conference_keys: str = "reference") -> Column:
     """struct of all metadata columns but posterId. conference_keys: 'reference' reads the short names, 'schema' those of the rules."""
     names = CONFERENCE[conference_keys]
@@ -52,8 +59,8 @@ def metadata_row(document: Column, conference_keys: str = "reference") -> Column
         rows = []
         for d in documents:
             row = _row(json.loads(d) if d else {}, names)
-            text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
-            rows.append([[text(x) for x in row[c]] if c in _LISTS and isinstance(row.get(c), list) else (int(row[c]) if isinstance(row.get(c), (int, float)) else None) if c in _YEARS else None if c in _LISTS else text(row.get(c)) for c in columns])
+            text = lambda v: v if v is None else storable(v) if isinstance(v, str) else json.dumps(v)
+            rows.append([[text(x) for x in row[c]] if c in _LISTS and isinstance(row.get(c), list) else _whole(row.get(c)) if c in _YEARS else None if c in _LISTS else text(row.get(c)) for c in columns])
         frame = pd.DataFrame(rows, columns=columns)
         for c in _YEARS:
             frame[c] = frame[c].astype("Int64")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
+from vellumine.functions.json_repair import storable
 from vellumine.functions.rouge import rouge_l
 from vellumine.functions.udf import arrow
 
@@ -56,7 +57,7 @@ def section_texts(doc: object) -> list[str]:
 def facets(documents: pd.Series) -> pd.DataFrame:
     """What the scores need of a JSON document, in one pass."""
     docs = [json.loads(d) if d else {} for d in documents]
-    return pd.DataFrame({"all_text": [all_text(d) for d in docs], "sections": [section_texts(d) for d in docs], "fields": [field_count(d) for d in docs]})
+    return pd.DataFrame({"all_text": [storable(all_text(d)) for d in docs], "sections": [[storable(x) for x in section_texts(d)] for d in docs], "fields": [field_count(d) for d in docs]})
 
 
 def word_capture(generated: Column, reference: Column) -> Column:
@@ -81,9 +82,9 @@ def section_rouge(pairs: DataFrame, key: str, generated: str, reference: str) ->
     """key, section_rouge: the mean over reference sections of the best score of a generated one; 0 without sections on a side.
 
     Sections are compared within their document only; a pair is a row, so that long documents spread over tasks."""
-    refs = pairs.select(key, F.posexplode(reference).alias("at", "r"))
-    gens = pairs.select(key, F.explode(generated).alias("g"))
-    scored = refs.join(gens, key).select(key, "at", rouge_l(X.normalize(F.col("r")), X.normalize(F.col("g"))).alias("f"))
+    refs = pairs.select(key, F.posexplode(reference).alias("at", "r")).withColumn("r", X.normalize(F.col("r")))
+    gens = pairs.select(key, F.explode(generated).alias("g")).withColumn("g", X.normalize(F.col("g")))
+    scored = refs.join(gens, key).select(key, "at", rouge_l("r", "g").alias("f"))
     best = scored.groupBy(key, "at").agg(F.max("f").alias("f"))
     return best.groupBy(key).agg(F.avg("f").alias("section_rouge"))
 

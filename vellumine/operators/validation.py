@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumine.functions.json_repair import dumped, storable
 from vellumine.functions.udf import arrow
 from vellumine.schema import DEFAULTS, RULES
 
@@ -73,11 +74,11 @@ def validate(documents: pd.Series) -> pd.DataFrame:
             rows.append((d, None, None, None, [], []))
             continue
         broken = list(violations(doc, RULES))
-        told = [w for v in broken if (w := warning(*v))]
+        told = [tuple(map(storable, w)) for v in broken if (w := warning(*v))]
         filled = [k for k in DEFAULTS if k not in doc]
         checked = {"schema_version": SCHEMA_VERSION, "valid": not broken, "warnings_count": len(told), "errors_count": len(broken), "filled_fields": filled}
         whole = {**doc, "_validation": checked, **{k: DEFAULTS[k] for k in filled}}
-        rows.append((json.dumps(whole, ensure_ascii=False), not broken, len(broken), len(told), filled, [{"field": f, "issue": i, "message": m, "auto_fixed": False} for f, i, m in told]))
+        rows.append((dumped(whole), not broken, len(broken), len(told), filled, [{"field": f, "issue": i, "message": m, "auto_fixed": False} for f, i, m in told]))
     return pd.DataFrame(rows, columns=["document", "valid", "errors_count", "warnings_count", "filled_fields", "warnings"])
 
 

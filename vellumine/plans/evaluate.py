@@ -18,6 +18,11 @@ def extract(rows: DataFrame, generator: str = "rules") -> DataFrame:
     return full.select("path", "source", "document", "error").unionByName(empty)
 
 
+def process_file(spark: SparkSession, path: str, generator: str = "rules") -> DataFrame:
+    """path, source, document, error of one file."""
+    return extract(spark.read.format("binaryFile").load(path).select("path", "content"), generator)
+
+
 def report(pairs: DataFrame, key: str = "poster_id") -> DataFrame:
     """key, scores, passes, is_error, error_message, source. pairs: key, generated, reference (JSON text), error, source. An error row has no scores."""
     good = metrics.score(pairs.filter("error IS NULL"), key)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,11 +79,14 @@ def attempt(rows: DataFrame, prompt: str, tokens: int, generate: Generator, text
 
 
 def failed() -> Column:
-    return F.col("error").isNotNull() | is_truncated(F.coalesce("raw", F.lit("")))
+    """What doesn't parse, and objects that say "error" themselves, or whose "raw" looks cut."""
+    says = F.array_contains(F.json_object_keys("value"), "error")
+    raw = F.coalesce("raw", F.get_json_object("value", "$.raw"), F.lit(""))
+    return F.col("error").isNotNull() | F.coalesce(says, F.lit(False)) | is_truncated(raw)
 
 
 def structure(rows: DataFrame, generator: str = "rules", text: str = "text", finish: bool = True, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """rows with document (JSON; error objects where nothing parsed), error.
+    """rows with document (JSON; error objects where nothing parsed), error (also that which an object names itself).
 
     Three rungs: the prompt, the prompt with more tokens, the short prompt. Only rows that failed go on to the next
     rung. write: makes a rung's rows a table (a model should not be asked twice for the same rung); by default they are
@@ -99,17 +102,20 @@ def structure(rows: DataFrame, generator: str = "rules", text: str = "text", fin
         done = good if done is None else done.unionByName(good)
         left = tried.filter(failed())
     told = F.to_json(F.struct("error", "raw"))
-    out = done.withColumn("document", F.coalesce("value", told)).drop("value", "raw")
+    out = done.withColumn("document", F.coalesce("value", told)).withColumn("error", F.coalesce("error", F.get_json_object("value", "$.error"))).drop("value", "raw")
     return postprocess_json(out) if finish else out
 
 
-def parse_ladder(rows: DataFrame, *responses: str) -> DataFrame:
-    """rows with value, error of the first response column that parses; the others are parsed only where those before failed."""
-    done, left = None, rows
-    for k, c in enumerate(responses):
-        tried = left.withColumn("__r", parse_json(F.col(c)))
-        bad = F.col("__r.error").isNotNull()
-        good = (tried if k == len(responses) - 1 else tried.filter(~bad)).select(*rows.columns, F.lit(k + 1).alias("rung"), F.col("__r.value").alias("value"), F.col("__r.error").alias("error"))
-        done = good if done is None else done.unionByName(good)
-        left = tried.filter(bad).select(*rows.columns)
-    return done
+def batch_generator(load: Callable[[], Callable[[list[str], int], list[str]]]) -> Generator:
+    """A generator of a model: load gives a function of (prompts, most tokens) to answers. A worker loads it once and asks it a batch at a time."""
+
+    def generate(prompt: Column, most_tokens: int) -> Column:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for prompts in batches:
+                yield pd.Series(model([p or "" for p in prompts], most_tokens), dtype="object")
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "string")(prompt)
+
+    return generate

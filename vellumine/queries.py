@@ -21,7 +21,7 @@ from vellumine.operators import metrics as K
 from vellumine.operators import sections as S
 from vellumine.operators import validation as V
 from vellumine.operators.documents import postprocess
-from vellumine.plans.structure import GENERATORS, PROMPT, parse_ladder
+from vellumine.plans.structure import GENERATORS, PROMPT, RETRY_TOKENS, SHORT_PROMPT, TEXT_MARK, structure
 from vellumine.sources import files, markup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,19 +181,19 @@ def section_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("event_id") % 4
     n, e = (F.col("event_id") % 11).cast("string"), F.col("event_type")
-    new = F.concat(F.lit('[{"captions":[" Fig '), n, F.lit(' ","'), e, F.lit('"," "]},{"captions":["FIG '), n, F.lit('","again"]},{"captions":[]},{"captions":["Other"]}]'))
+    new = F.concat(F.lit('[{"captions":[" Fig '), n, F.lit(' ",5,"'), e, F.lit('",{"x":1},null," "]},{"captions":["FIG '), n, F.lit('","again"]},{"captions":[]},{"captions":["Other"]}]'))
     wrapped = F.concat(F.lit('{"captions":[{"captionParts":["Fig '), n, F.lit('"]},7,{"captionParts":["  "]}]}'))
-    oldest = F.concat(F.lit('[{"caption2":"two","caption10":" ten ","caption1":"one '), n, F.lit('","id":"x"}]'))
+    oldest = F.concat(F.lit('[{"caption3":7,"caption2":"two","caption10":" ten ","caption4":["x"],"caption1":"one '), n, F.lit('","id":"x"}]'))
     json = F.when(shape == 0, new).when(shape == 1, wrapped).when(shape == 2, oldest).otherwise('"none"')
     out = table(spark, sf_dir, "events").select("event_id", C.from_shapes(json).alias("c"))
     return out.select("event_id", F.array_join(F.transform("c", lambda x: F.array_join(x["captions"], "/")), "|").alias("captions"))
 
 
-_ITEMS = "(SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS item FROM benchmark WHERE length(text) > 130)"
+_ITEMS = "(SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS item FROM benchmark)"
 
 
 @query(
-    f"""WITH n AS (SELECT count(*) AS n FROM benchmark), t AS (SELECT doc_id, item, CASE WHEN doc_id % 2 = 0 THEN text || ' ' || item || ' tail of it.' ELSE text || ' ' || left(item, 110) || '#. tail of it.' END AS c
+    f"""WITH n AS (SELECT count(*) AS n FROM benchmark), t AS (SELECT doc_id, item, CASE WHEN doc_id % 2 = 0 OR length(item) <= 130 THEN text || ' ' || item || ' tail of it.' ELSE text || ' ' || left(item, 110) || '#. tail of it.' END AS c
         FROM documents, n JOIN {_ITEMS} ON item_id = doc_id % n WHERE text IS NOT NULL),
     u AS (SELECT doc_id, c, item, CASE WHEN contains(c, item) THEN {strip_sql("replace(c, item, '')")} WHEN contains(c, left(item, 100)) THEN
         {strip_sql('''left(c, strpos(c, left(item, 100)) - 1) || CASE
@@ -203,12 +203,12 @@ _ITEMS = "(SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS item FROM b
     SELECT doc_id, md5({strip_sql("regexp_replace(regexp_replace(d, '(?m)^\\s*[A-Z]\\s+[A-Z](?:\\s+[A-Z])*\\s*$', '', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g')")}) AS digest, length(d) AS n_chars FROM u"""
 )
 def caption_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").filter(F.length("text") > 130).select("item_id", F.regexp_replace("text", r"(?U)\s+", " ").alias("item"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"(?U)\s+", " ").alias("item"))
     n = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").join(F.broadcast(n))  # one row
     both = docs.withColumn("item_id", F.col("doc_id") % F.col("n")).join(items, "item_id")
-    even = F.col("doc_id") % 2 == 0
-    content = F.when(even, F.concat("text", F.lit(" "), "item", F.lit(" tail of it."))).otherwise(F.concat("text", F.lit(" "), F.left("item", F.lit(110)), F.lit("#. tail of it.")))
+    whole = (F.col("doc_id") % 2 == 0) | (F.length("item") <= 130)  # short items have no beginning to be known by
+    content = F.when(whole, F.concat("text", F.lit(" "), "item", F.lit(" tail of it."))).otherwise(F.concat("text", F.lit(" "), F.left("item", F.lit(110)), F.lit("#. tail of it.")))
     out = both.select("doc_id", content.alias("c"), F.array("item").alias("parts"))
     return out.select("doc_id", F.md5(S.without_captions(F.col("c"), F.col("parts"))).alias("digest"), F.length(S.without_caption(F.col("c"), F.get("parts", F.lit(0)))).cast("long").alias("n_chars"))
 
@@ -245,12 +245,22 @@ def _corrupted() -> Column:
     )
 
 
+def _odd_answers() -> Column:
+    """Damage, and answers that parse but are odd: half of a surrogate pair, an object that looks like an error of the parser."""
+    k, n = F.col("event_id") % 8, F.get_json_object("props", "$.k")
+    return (
+        F.when(k == 6, F.concat(F.lit('{"k":'), n, F.lit(',"s":"cut \\ud83d"}')))
+        .when(k == 7, F.concat(F.lit('{"error":1,"raw":2,"k":'), n, F.lit("}")))
+        .otherwise(_corrupted())
+    )
+
+
 @query(
-    """SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 6 <> 5) AS parsed, sum(CASE WHEN event_id % 6 <> 5 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END)::BIGINT AS sum_k
+    """SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 8 >= 6 OR event_id % 6 <> 5) AS parsed, sum(CASE WHEN event_id % 8 >= 6 OR event_id % 6 <> 5 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END)::BIGINT AS sum_k
     FROM events WHERE props IS NOT NULL GROUP BY event_type"""
 )
 def json_robust_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_type", R.parse_json(_corrupted()).alias("r"))
+    parsed = table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_type", R.parse_json(_odd_answers()).alias("r"))
     k = F.get_json_object("r.value", "$.k").cast("long")
     return parsed.groupBy("event_type").agg(F.count("*").alias("n"), F.count("r.value").alias("parsed"), F.sum(k).alias("sum_k"))
 
@@ -264,8 +274,37 @@ def truncation_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_id, CASE WHEN event_id % 6 <> 5 THEN 1 WHEN event_id % 12 = 5 THEN 2 ELSE 3 END::INT AS rung, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL"""
 )
 def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").filter("props IS NOT NULL").select("event_id", _corrupted().alias("a"), F.when(F.col("event_id") % 12 == 5, F.col("props")).otherwise("no object").alias("b"), F.col("props").alias("c"))
-    return parse_ladder(rows, "a", "b", "c").select("event_id", F.col("rung").cast("int").alias("rung"), F.get_json_object("value", "$.k").cast("long").alias("k"))
+    later = lambda rung: F.concat(F.regexp_replace("props", r"}\s*$", ""), F.lit(f',"rung":{rung}}}'))
+    second = F.when(F.col("event_id") % 12 == 5, later(2)).otherwise("no object")
+    return _laddered(table(spark, sf_dir, "events").filter("props IS NOT NULL"), _corrupted(), second, later(3))
+
+
+def _laddered(rows: DataFrame, *answers: Column) -> DataFrame:
+    """event_id, rung, k of what a generator that gives these answers in turn leads to."""
+
+    def generate(prompt: Column, tokens: int) -> Column:
+        turn = F.when(prompt.startswith(SHORT_PROMPT), 2).otherwise(F.lit(int(tokens == RETRY_TOKENS)))
+        return F.get(F.split(F.substring_index(prompt, TEXT_MARK, -1), "\x01"), turn)
+
+    GENERATORS["in turn"] = generate
+    try:
+        done = structure(rows.select("event_id", F.concat_ws("\x01", *answers).alias("text")), "in turn", finish=False)
+    finally:
+        del GENERATORS["in turn"]
+    at = lambda path: F.get_json_object("document", path)
+    return done.select("event_id", F.coalesce(at("$.rung").cast("int"), F.lit(1)).alias("rung"), at("$.k").cast("long").alias("k"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 6 < 4 THEN 1 WHEN event_id % 12 IN (4, 5) THEN 2 ELSE 3 END::INT AS rung, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL"""
+)
+def structure_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also answers that parse, but say that they are errors."""
+    later = lambda rung: F.concat(F.regexp_replace("props", r"}\s*$", ""), F.lit(f',"rung":{rung}}}'))
+    k = F.col("event_id")
+    first = F.when(k % 6 == 4, '{"error":"busy"}').otherwise(_corrupted())
+    second = F.when((k % 12).isin(4, 5), later(2)).when(k % 6 == 4, '{"error":"busy again","k":0}').otherwise("no object")
+    return _laddered(table(spark, sf_dir, "events").filter("props IS NOT NULL"), first, second, later(3))
 
 
 def alnum_sql(x: str) -> str:
@@ -441,12 +480,12 @@ def mark_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT coalesce(c_custkey, k) AS posterId, CASE WHEN k IS NOT NULL THEN total ELSE c_nationkey END AS doi, CASE WHEN k IS NULL THEN c_mktsegment END AS domain, k IS NOT NULL AS was_updated
-    FROM (SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey AS k, count(*) AS total FROM orders GROUP BY o_custkey) ON c_custkey = k"""
+    FROM (SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer) FULL JOIN (SELECT o_custkey + 7 AS k, count(*) AS total FROM orders GROUP BY o_custkey) ON c_custkey = k"""
 )
 def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, now = F.lit("2020-01-01").cast("timestamp"), F.lit(NOW).cast("timestamp")
-    target = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("posterId"), F.col("c_nationkey").cast("long").alias("doi"), F.col("c_mktsegment").alias("domain"), old.alias("created"), old.alias("updated"))
-    source = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("posterId")).agg(F.count("*").alias("doi"))
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("posterId"), F.col("c_nationkey").cast("long").alias("doi"), F.col("c_mktsegment").alias("domain"), old.alias("created"), old.alias("updated"))
+    source = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 7).alias("posterId")).agg(F.count("*").alias("doi"))
     return J.upsert(target, source, "posterId", now).select("posterId", "doi", "domain", (F.col("updated") == now).alias("was_updated"))
 
 

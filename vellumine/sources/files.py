@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -119,6 +121,24 @@ def object_path(base: str, path: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(path, "^/+", ""))
 
 
+def download(rows: DataFrame, base: str, key: str | None = None, header: str = "AccessKey", timeout: float = 120.0) -> DataFrame:
+    """path, content, error of stored files over HTTP, for rows of any number (path): tasks fetch them one after another. What can't be had is a row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = []
+            for path in batch["path"]:
+                asked = urllib.request.Request(f"{base.rstrip('/')}/{urllib.parse.quote((path or '').lstrip('/'))}", headers={header: key} if key else {})
+                try:
+                    with urllib.request.urlopen(asked, timeout=timeout) as answer:
+                        got.append((path, answer.read(), None))
+                except OSError as e:  # also what HTTP says by its status
+                    got.append((path, None, str(e)))
+            yield pd.DataFrame(got, columns=["path", "content", "error"])
+
+    return rows.select("path").mapInPandas(run, "path string, content binary, error string")
+
+
 def read_objects(spark: SparkSession, base: str, wanted: list[str]) -> DataFrame:
     """path, content of some objects, through Spark's file systems (s3a, abfss, hdfs, file); credentials come from the session's settings."""
     return spark.read.format("binaryFile").load([f"{base.rstrip('/')}/{p.lstrip('/')}" for p in wanted]).select("path", "content")

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.udf import arrow
+
 
-def alto_text(xml: Column) -> Column:
-    """A line for each TextBlock: the CONTENT of its strings, empty ones left out. Name spaces don't matter; null without an element."""
-    block = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?TextBlock\b.*?</(?:\w+:)?TextBlock\s*>"), F.lit(0))
-    words = lambda b: F.filter(F.regexp_extract_all(b, F.lit(r"""<(?:\w+:)?String\b[^>]*?\bCONTENT=["']([^"']*)["']"""), F.lit(1)), lambda w: w != "")
-    lines = F.transform(block, lambda b: F.array_join(F.transform(words(b), unescaped), " "))
-    return F.when(xml.rlike(r"<[A-Za-z]"), F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+def _alto(document: str | None) -> str | None:
+    try:
+        root = ElementTree.fromstring((document or "").strip())
+    except ElementTree.ParseError:
+        return None
+    kind = lambda e: e.tag.rpartition("}")[2].rpartition(":")[2] if isinstance(e.tag, str) else ""
+    blocks = ([s.get("CONTENT") for s in block.iter() if kind(s) == "String" and s.get("CONTENT")] for block in root.iter() if kind(block) == "TextBlock")
+    return "\n".join(" ".join(words) for words in blocks if words)
 
 
-def unescaped(c: Column) -> Column:
-    """XML's own five references."""
-    for ref, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ref), F.lit(sign))
-    return c
+@arrow("string")
+def alto_text(xml: pd.Series) -> pd.Series:
+    """A line for each TextBlock: the CONTENT of its strings, empty ones left out. Name spaces don't matter; null for what is no XML."""
+    return xml.map(_alto).astype("object")
 
 
 def html_lines(html: Column, tags: tuple[str, ...] = ("h1", "p", "li")) -> Column:

@@ -1,14 +1,15 @@
 """The job worker as a stream: arriving jobs join the table, stuck ones expire, waiting ones are worked on, results are upserted.
 
 State is a folder of numbered Parquet versions, one for each batch, so a batch that is run again writes the same version
-again: at least once, with keyed results.
+again: at least once, with keyed results. Only the version that a repeated batch would read is kept beside the last one. A
+job whose id the table has already, or that arrives twice, is one row: the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,9 +39,12 @@ def run(spark: SparkSession, incoming: str, state: str, work: Worker, now: Colum
     def batch(new: DataFrame, number: int) -> None:
         at = now if now is not None else F.current_timestamp()
         before = spark.read.schema(JOBS).parquet(f"{state}/jobs/{number - 1}") if number else spark.createDataFrame([], JOBS)
-        after, results = cycle(before.unionByName(new), work, at, write=lambda df, name: _written(spark, df, f"{state}/{name}/{number}"))
+        fresh = new.join(before.select("id"), "id", "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("created", "filePath"))).filter("__n = 1").select(*new.columns)
+        after, results = cycle(before.unionByName(fresh), work, at, write=lambda df, name: _written(spark, df, f"{state}/{name}/{number}"))
         after.write.mode("overwrite").parquet(f"{state}/jobs/{number}")
         results.write.mode("overwrite").parquet(f"{state}/done/{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/jobs/{number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = spark.readStream.schema(JOBS).json(incoming).writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

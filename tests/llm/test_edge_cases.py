@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, html_text, mixing, pii, simhash, stages, token_store, topk, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, mixing, near_copies, pii, simhash, stages, token_store, topk, toxicity, url_filter
 from vellumine.llm.queries import TOKENIZER, URL_RULES
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, `__vq_c0` string, size string, `a.b` string"
@@ -69,6 +69,13 @@ def test_near_duplicates_of_odd_rows(odd):
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [0, 2, 5, 6] and sum(r.doc_id is None for r in kept) == 1
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("some words that make a text of their own here", "quite another text with other words in it now", "a third text that nothing else looks like at all")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (2, c), (None, b), (None, "only rows without an id say this one thing"), (None, "only rows without an id say this one thing"), (3, c), (3, c)], "doc_id bigint, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in near_copies.without_near_copies(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (2, c), (0, "only rows without an id say this one thing")])
+
+
 def test_mixing_of_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0
     got = mixing.mix(odd, quality=F.lit(None).cast("double")).collect()

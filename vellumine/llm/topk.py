@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.common import written
+from vellumine.llm.common import OWN, written
 
 
 def integers(vector: Column, scale: int = 1024) -> Column:
@@ -126,17 +126,21 @@ def search_bucket(queries: Queries, rows: np.ndarray, ids: np.ndarray, vectors:
 
 
 def _sorted_blocks(df: DataFrame, size: int, name: str, out: str) -> DataFrame:
-    """df, sorted within its partitions, written with `out`: equal for each run of `size` rows of a partition."""
-    kinds = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
+    """df, range-partitioned and sorted, written with `out`: the same for each `size` rows of the whole order, however many partitions there are."""
+    part, at = OWN + "part", OWN + "at"
+    kinds = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(at, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        mine, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            at = (np.arange(n, n + batch.num_rows) // size) + (part << 32)
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, out])
-
-    return written(df.mapInArrow(run, kinds), name)
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(m, mine, dtype=np.int32)), pa.array(np.arange(n, n + m))], names=[*batch.schema.names, part, at])
+            n += m
+
+    numbered = written(df.mapInArrow(run, kinds), name)
+    before = F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = numbered.groupBy(part).count().select(part, before.alias(OWN + "before"))  # a row for each partition
+    return numbered.join(F.broadcast(offsets), part).withColumn(out, F.floor((F.col(OWN + "before") + F.col(at)) / size)).drop(part, at, OWN + "before")
 
 
 _FOUND = "query bigint, query_id bigint, vec_id bigint, score bigint"

@@ -25,9 +25,13 @@ def strip(c: Column) -> Column:
 
 
 def clean_unicode(c: Column) -> Column:
-    """No invisible marks, plain spaces, one at a time; lines stay."""
-    spaced = F.regexp_replace(F.regexp_replace(c, INVISIBLE, ""), ODD_SPACES, " ")
-    return strip(F.regexp_replace(spaced, " {2,}", " "))
+    """No invisible marks, plain spaces, one at a time; lines stay. Most texts have nothing to clean, which one look tells."""
+
+    def cleaned(t: Column) -> Column:
+        spaced = F.regexp_replace(F.regexp_replace(t, INVISIBLE, ""), ODD_SPACES, " ")
+        return strip(F.when(t.rlike(f"{INVISIBLE}|{ODD_SPACES}|  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(t))
+
+    return let(c, cleaned)
 
 
 def first_sentence(c: Column) -> Column:
@@ -35,29 +39,38 @@ def first_sentence(c: Column) -> Column:
 
 
 #: What counts as axis labels or runs of numbers.
-NUMBER = r"-?\d+\.?\d*"
+NUMBER = r"-?\d++\.?+\d*+"
 TRIPLE = rf"(?U)(?:^|\s){NUMBER}\s+{NUMBER}\s+{NUMBER}"
 AXIS = [r"vs\s+expression\s+Relative", r"Relative\s+\*?\s*\*?", r"-CTRL\s+vs\s+expression", r"progenitor\s+CD\d+\s+vs", r"\d+\s+\d+\s+\d+\s+\d+\s+\d+"]
-AXIS_LINE = r"vs\s+expression|Relative\s+\*|\d+\.\d+\s+\d+\.\d+"
+AXIS_LINE = (r"vs\s+expression|Relative\s+\*", r"\d\.\d++\s++\d++\.\d")
 #: Of the fourth, only the two words on each side of the line end decide.
 TABLE = [r"Reason\s+Participant\s*\(n=\d+\)", r"(?:Column\s+\d+|Row\s+\d+)", r"\|\s*\w+\s*\|", r"\w\s+\w+\s+\n\w+\s+\w+\s"]
 NOT_A_SUMMARY = r"^(Reason|Participant|Example)"
 
 
 def has_chart_data(c: Column) -> Column:
-    """The patterns are slow, so texts that have nothing for them are told first."""
-    digits = c.rlike(r"\p{Nd}")
-    likely = digits | F.lower(c).contains("relative") | F.lower(c).contains("expression")
-    return F.when(likely, (F.when(digits, F.regexp_count(c, F.lit(TRIPLE))).otherwise(0) >= 5) | c.rlike("(?iU)" + "|".join(AXIS))).otherwise(F.when(c.isNotNull(), False))
+    """The patterns are slow, so what each of them needs is looked for first."""
+
+    def has(t: Column) -> Column:
+        low, digits = F.lower(t), t.rlike(r"\p{Nd}")
+        worded = [(low.contains("relative"), AXIS[1]), (low.contains("expression"), f"{AXIS[0]}|{AXIS[2]}"), (low.contains("progenitor"), AXIS[3])]
+        numbers = digits & (t.rlike(r"(?U)\d++\s++\d++\s++\d++\s++\d++\s++\d") | (F.regexp_count(t, F.lit(TRIPLE)) >= 5))
+        for there, pattern in worded:
+            numbers = numbers | (there & t.rlike("(?iU)" + pattern))
+        return numbers
+
+    return let(c, has)
 
 
 def clean_chart_data(c: Column) -> Column:
     """Lines that read like sentences, joined; else the first long sentence without numbers in rows; else the text as it is."""
 
     def reads(line: Column) -> Column:
-        letters = F.regexp_count(line, F.lit("[a-zA-Z]"))
-        signs = F.regexp_count(line, F.lit(r"(?U)[\d.\-*]"))
-        return (letters > signs) & (F.length(line) > 30) & ~line.rlike("(?iU)" + AXIS_LINE)
+        letters = F.length(F.regexp_replace(line, "[^a-zA-Z]++", ""))
+        signs = F.length(line) - F.length(F.regexp_replace(line, r"(?U)[\d.\-*]++", ""))
+        low = F.lower(line)
+        worded = (low.contains("expression") | low.contains("relative")) & line.rlike("(?iU)" + AXIS_LINE[0])
+        return (F.length(line) > 30) & (letters > signs) & ~(worded | line.rlike("(?U)" + AXIS_LINE[1]))
 
     lines = F.filter(F.transform(F.split(c, "\n"), strip), reads)
     joined = F.regexp_replace(F.array_join(lines, " "), r"(?U)(?:\s++-?\d++\.?+\d*+){5,}+", "")

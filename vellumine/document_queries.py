@@ -105,7 +105,7 @@ def postprocess_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     section = lambda title, content: f'{{"sectionTitle":"{title}","sectionContent":{content}}}'
     parts = [
-        _join('{"sectionTitle":"In​tro","sectionContent":["A long enough text number ', k, '","with CAPTION TEXT inside."]}'),
+        _join('{"sectionTitle":"In\u200btro","sectionContent":["A long enough text number ', k, '","with CAPTION TEXT inside."]}'),
         _join('{"sectionTitle":"Again","sectionContent":"a LONG enough text number ', k, ' with caption text inside."}'),
         F.lit(section("Figure 1", '"CAPTION TEXT"')), F.lit(section("Short", '"tiny"')), F.lit(section("Same", '"Same"')), F.lit(section("Number", "7")), F.lit('"junk"'),
     ]

@@ -65,14 +65,15 @@ _HELD: dict[object, object] = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """An object that a worker process keeps from task to task; one at a time, so that the tables of several operators don't add up."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
-    """Drops what the process holds for another operator."""
+    """Drops what the process holds for another operator, and gives unused memory back."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(c: Column) -> Column:

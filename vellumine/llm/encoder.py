@@ -19,7 +19,7 @@ from vellumine.llm.common import held
 from vellumine.llm.words import _BYTE, _PLACE, mixed, offsets
 
 #: Entries of the table of known parts; at the bound it is emptied and begun anew.
-KNOWN = 1_500_000
+KNOWN = 750_000
 
 
 def encoder(path: str, end: int | None) -> Encoder:
@@ -57,8 +57,8 @@ class Encoder:
 
         self.table, self.vector = UInt64HashTable(1 << 16), UInt64Vector
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)  # of part i: ids[at[i]:at[i] + n[i]]
-        self.raw, self.raw_at, self.size = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.at, self.n = np.zeros(1 << 14, dtype=np.uint32), np.zeros(1 << 14, dtype=np.uint16)  # of part i: ids[at[i]:at[i] + n[i]]
+        self.raw, self.raw_at, self.size = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 14, dtype=np.uint32), np.zeros(1 << 14, dtype=np.uint16)
         self.count = self.filled = self.raw_filled = 0
 
     def _whole(self, text: str) -> list[int]:
@@ -126,12 +126,12 @@ class Encoder:
                 return self._each_whole(data, off)
         else:
             label = np.zeros(0, dtype=np.int64)
-        n = self.n[label]
+        n = self.n[label].astype(np.int64)
         if self.end is not None:
             label, n = np.insert(label, first[1:], -1), np.insert(n, first[1:], 1)
             first = first + np.arange(len(first))
         total = np.concatenate(([0], np.cumsum(n)))
-        take = np.arange(total[-1]) + np.repeat(np.where(label < 0, 0, self.at[label]) - total[:-1], n)
+        take = np.arange(total[-1]) + np.repeat(np.where(label < 0, 0, self.at[label].astype(np.int64)) - total[:-1], n)
         if self.end is not None:
             ends = total[first[1:]] - 1
             take[ends] = 0
@@ -142,7 +142,7 @@ class Encoder:
 
     def _same(self, label: np.ndarray, data: np.ndarray, place: np.ndarray, size: np.ndarray) -> bool:
         """Are the parts those that the table has under their labels, byte for byte?"""
-        return bool((self.size[label] == size).all()) and bool((self.raw[place + np.repeat(self.raw_at[label], size)] == data).all())
+        return bool((self.size[label] == size).all()) and bool((self.raw[place + np.repeat(self.raw_at[label].astype(np.int64), size)] == data).all())
 
     def _each_whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         end = [] if self.end is None else [self.end]

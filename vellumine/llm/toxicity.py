@@ -392,7 +392,7 @@ class Landmarks:
     def kernel(self, found: list[bytes]) -> np.ndarray:
         out = np.zeros((len(found), self.n))
         for order, (known, table) in enumerate(self.tables):
-            for lo, part in _chunks(found, 400):
+            for lo, part in _chunks(found, 100):
                 unit, cell, weight = cells(*_flat(part), order)
                 at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                 have = known[at] == cell

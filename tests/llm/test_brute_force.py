@@ -43,6 +43,18 @@ def test_fingerprints():
     assert got.tolist() == [plain_fingerprint(t) for t in texts]
 
 
+def test_fingerprints_and_shingle_sets_of_long_texts(monkeypatch):
+    from vellumine.llm import near_copies, words
+
+    r = random.Random(22)
+    texts = [" ".join(r.choices(["one", "two", "é", "x" * 30, "three"], k=n)) for n in (1, 3, 5, 700)] + [" ", "y" * 900]
+    want = [plain_fingerprint(t) for t in texts], [near_copies.shingle_sets(pa.array([t]))[0].tolist() for t in texts]
+    monkeypatch.setattr(words, "PIECE", 1)
+    monkeypatch.setattr(words.long_text, "__defaults__", (64,))
+    assert [int(simhash.fingerprints(pa.array([t]))[0]) for t in texts] == want[0]
+    assert [near_copies.shingle_sets(pa.array([t]))[0].tolist() for t in texts] == want[1]
+
+
 def test_golay_keys_meet_for_all_close_pairs():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 400, dtype=np.uint64)

@@ -20,9 +20,12 @@ pairs: a worker grows the linked groups among them and returns one row for each
 with more than `block` fingerprints is dealt out as pairs of blocks, which together see every pair once, so that no task
 holds an unbounded key. Components come from alternating star contraction over those rows, cut by written tables.
 
+The joins of the components and of the copies with their component are dealt in `SALTS` parts a key, as one group or one
+fingerprint may hold a third of all rows.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids are
-rows of their own. component_id is the least id that is not null, null if there is none. Other columns are ignored. An
-empty table gives no rows.
+rows of their own; ids are whole numbers (a text that is none is an error). component_id is the least id that is not null, null if there is none. Other columns are ignored. An
+empty table gives no rows. A text of any length is read whole, in parts.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import release, written
-from vellumine.llm.words import NOT_SPACE, pieces, plain, words
+from vellumine.llm.words import NOT_SPACE, Words, is_long, long_text, pieces, plain, words
 
 SHINGLE, SEED, FAR = 4, 42, 4
 #: Widths of the segments, lowest bits first.
@@ -46,13 +49,13 @@ SEGMENTS = (23, 23, 18)
 GENERATOR = 0b101011100011
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """A 64-bit fingerprint for each text."""
-    w = words(texts, NOT_SPACE)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if not len(w):
-        return out
+def _bit_sums(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many hashes of its shingles have each of the 64 bits; and how many shingles it has."""
     n = np.diff(w.first)
+    sums = np.zeros((len(n), 64), dtype=np.int64)
+    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+    if not len(w):
+        return sums, count
     # The words again, with one space after each: a shingle is then one slice.
     size = w.end - w.start
     at = np.cumsum(size + 1) - size - 1
@@ -60,20 +63,29 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     joined[np.repeat(at, size) + step] = w.data[np.repeat(w.start, size) + step]
     raw = joined.tobytes()
-    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
-    text_of = np.repeat(np.arange(len(texts)), count)
+    text_of = np.repeat(np.arange(len(n)), count)
     first = np.repeat(w.first[:-1], count) + np.arange(len(text_of)) - np.repeat(np.cumsum(count) - count, count)
     last = np.minimum(first + shingle, w.first[text_of + 1]) - 1
     hash_ = xxhash.xxh64_intdigest
     h = np.fromiter((hash_(raw[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last] + size[last]).tolist(), strict=True)), dtype=np.uint64, count=len(first))
     starts = np.cumsum(count) - count
     full = np.flatnonzero(count)
-    # Counts of each bit: bytes are summed by place, 64 columns, in pieces of rows to keep memory low.
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int32)
-    majority = sums * 2 > count[full][:, None]
-    out[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    sums[full] = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int32)
+    return sums, count
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """A 64-bit fingerprint for each text. A single long text is read in parts that share shingle - 1 words."""
+    if is_long(texts, 0, len(texts)):
+        sums, count = np.zeros((1, 64), dtype=np.int64), np.zeros(1, dtype=np.int64)
+        for before, w in long_text(texts, NOT_SPACE, shingle - 1):
+            if len(w) >= shingle or not before:
+                part, n = _bit_sums(w, shingle)
+                sums, count = sums + part, count + n
+    else:
+        sums, count = _bit_sums(words(texts, NOT_SPACE), shingle)
+    return np.packbits(sums * 2 > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 @cache
@@ -300,6 +312,17 @@ def _large_keys(rows: DataFrame, far: int) -> DataFrame:
     return dealt.groupBy("key", "pair").applyInArrow(grow, "a bigint, b bigint")
 
 
+#: Parts into which every key of a join is dealt, so that a hub of the graph, or a large group, doesn't meet in one task.
+SALTS = 16
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined with one (a row for each key) on the key. Rows of many that share a key are dealt by a hash of `by`; one is repeated for each part."""
+    left = many.withColumn("__vq_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = one.withColumn("__vq_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "__vq_salt"]).drop("__vq_salt")
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root for every node of the links (columns a, b) but the roots: root is the least node that can be reached. Alternating large and small stars."""
     state = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "simhash-stars")
@@ -307,9 +330,9 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both, low, "u", "v").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = dealt_join(large, least, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         state = written(small.filter("u <> v").distinct(), "simhash-stars")
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:
@@ -333,19 +356,4 @@ def near_duplicates(docs: DataFrame, far: int = FAR, shingle: int = SHINGLE, blo
     roots = components(linked(prints.select("fp"), far, block))
     grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document whose id is its group's component_id; where that id is repeated, one of its rows. Rows with a null id stay only if no
-    document of their group has an id, one for each text."""
-    ids = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__vq_id"))
-    rows = docs.join(ids.distinct(), docs[id_col] == F.col("__vq_id"), "left_semi")
-    twice = ids.groupBy("__vq_id").count().filter("count > 1").select("__vq_id")
-    if not twice.isEmpty():
-        again = rows.join(twice, rows[id_col] == F.col("__vq_id"), "left_semi").dropDuplicates([id_col])
-        rows = rows.join(twice, rows[id_col] == F.col("__vq_id"), "left_anti").unionByName(again)
-    if not groups.filter("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        alone = docs.filter(F.col(id_col).isNull()).dropDuplicates()
-        rows = rows.unionByName(alone)
-    return rows
+    return dealt_join(marked, dealt_join(grouped, named, "root", "fp").select("fp", "component_id"), "fp", "doc_id").select("doc_id", "fp", "component_id")

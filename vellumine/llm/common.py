@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,34 @@ def shuffled_by_range(df: DataFrame, order: list[Column], part: str, index: str)
     return ranges.withColumn(part, F.spark_partition_id()).withColumn(index, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
 
 
+def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, least: int = 1000, most: int = 4096) -> DataFrame:
+    """many joined with one (a row for each key). Rows of a key that has more than its share of many, a `most`-th (or `least` rows), are dealt by a
+    hash of `by` into as many parts as it has shares, and only its row of one is repeated for each. There are fewer than `most` such keys, so they are
+    looked up by broadcast. many is read twice and should be a table."""
+    limit = max(least, -(-many.count() // most))
+    large = many.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias(OWN + "parts")).collect()
+    if not large:
+        return many.join(one, keys)
+    kind = many.select(*keys).schema.add(OWN + "parts", "integer")
+    parts = F.broadcast(many.sparkSession.createDataFrame(large, kind))
+    n = F.coalesce(OWN + "parts", F.lit(1))
+    left = many.join(parts, keys, "left").withColumn(OWN + "deal", F.pmod(F.xxhash64(by), n).cast("int")).drop(OWN + "parts")
+    right = one.join(parts, keys, "left").withColumn(OWN + "deal", F.explode(F.sequence(F.lit(0), n - 1))).drop(OWN + "parts")
+    return left.join(right, [*keys, OWN + "deal"]).drop(OWN + "deal")
+
+
+def bit_table(rows: DataFrame, marks: list[str], bits: int) -> np.ndarray:
+    """Which of 2 ** bits places the upper bits of the marks (bigint columns) take; collected in rows of 32,768 bits, so of a size that doesn't depend on the rows."""
+    places = rows.select(F.explode(F.array(*marks)).alias("m")).select(F.shiftrightunsigned("m", 64 - bits).alias("p"))
+    each = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << bits, dtype=bool)
+    for row in each.toLocalIterator():
+        # Buckets are numbered from 1 for places above 0; place 0 has bucket 0.
+        found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row.bits), dtype=np.uint8), bitorder="little"))
+        out[(row.bucket - 1) * 32768 + 1 + found if row.bucket else -found] = True
+    return np.packbits(out, bitorder="little")
+
+
 _KEPT: dict[str, object] = {}
 
 

@@ -101,6 +101,27 @@ FROM v LEFT JOIN s USING (host), n
 """
 
 
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+e AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT piece, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM e),
+g AS (SELECT lang, w, w || ' ' || lead(w) OVER o AS ww, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS www FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, 1 AS k, w AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, 2 AS k, ww AS phrase, count(*) AS f FROM g WHERE ww IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, 3 AS k, www AS phrase, count(*) AS f FROM g WHERE www IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3] AS phrase, a FROM c WHERE k = 3) GROUP BY lang, phrase),
+h AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+x AS (SELECT lang, phrase, a, 1 AS cut, ws[1] AS l, array_to_string(ws[2 :], ' ') AS r FROM h UNION ALL SELECT lang, phrase, a, 2 AS cut, ws[1] || ' ' || ws[2] AS l, ws[3] AS r FROM h WHERE k = 3),
+s AS (SELECT x.lang, x.phrase, a, cut, lf.f AS l, rf.f AS r, (1000000 * a::HUGEINT * a::HUGEINT) // (lf.f::HUGEINT * rf.f::HUGEINT) AS score
+  FROM x JOIN f AS lf ON lf.lang = x.lang AND lf.phrase = x.l JOIN f AS rf ON rf.lang = x.lang AND rf.phrase = x.r),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE best = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def merkle(levels: int = 7, upper: int = 4, arity: int = 16) -> str:
     """Levels are unrolled; one above the root leaves it as it is."""
     field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"

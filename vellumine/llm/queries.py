@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, html_text, merkle, mixing, oracle, pii, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, merkle, mixing, oracle, phrases, pii, simhash, token_store, topk, toxicity, url_filter
 from vellumine.llm.common import lower_ascii, table
 
 #: (verdict, host, path): fixed values.
@@ -77,6 +77,11 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {f: F.col(f) for f in merkle.FIELDS}
     changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -87,7 +92,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash, op12_phrase_collocations, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -98,5 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_contextual_pii": oracle.pii(),
         "op8_block_labeller": oracle.PAGES,
         "op9_url_link_graph": oracle.urls(URL_RULES),
+        "op12_phrase_collocations": oracle.COLLOCATIONS,
         "op13_merkle_manifest": oracle.merkle(),
     }

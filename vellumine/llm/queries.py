@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontamination, html_text, merkle, mixing, oracle, phrases, pii, simhash, token_store, topk, toxicity, url_filter
+from vellumine.llm import chat, decontamination, html_text, merkle, mixing, oracle, packing, phrases, pii, simhash, token_store, topk, toxicity, url_filter
 from vellumine.llm.common import lower_ascii, table
 
 #: (verdict, host, path): fixed values.
@@ -77,6 +77,12 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end=0)
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.collocations(table(spark, sf_dir, "documents"))
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
@@ -92,7 +98,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash, op12_phrase_collocations, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_winnow_decontamination, op3_norm_buckets, op4_source_mixing, op5_chat_prefix_targets, op6_token_store, op7_contextual_pii, op8_block_labeller, op9_url_link_graph, op10_golay_simhash, op11_retrieval_packing, op12_phrase_collocations, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -256,6 +256,20 @@ def test_selection_is_the_plain_one(spark, bins, subs):
         assert abs(left) <= 2 or all(x["size"] > left for x in mine if x.copies == min(y.copies for y in mine))
 
 
+def test_equal_rows_count_each_for_itself(spark):
+    """Ten, or three, rows that are equal in all columns: as many are taken as fit."""
+    rows = [(1, "w " * 10, "a")] * 10 + [(2, "w " * 7, "a")] * 3 + [(i, "w", "b") for i in range(100, 400)] + [(5, "w " * 9, None)] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    for bins, subs in ((128, 8192), (1, 1)):
+        got = mixing.mix(docs, bins=bins, subs=subs).collect()
+        assert len(got) == len(rows)
+        for size in {x.source_size for x in got}:
+            mine = [x for x in got if x.source_size == size]
+            off = abs(mine[0].target - sum(x.taken for x in mine))
+            assert off < min(x["size"] for x in mine), (size, off)
+            assert all(x.taken <= 3 * x["size"] for x in mine)
+
+
 def test_no_bin_is_large_whatever_the_quality(spark):
     """Documents of a source by parts of a bin: at most about 0.37 / (bins * subs) of them in one."""
     n = 100_000

@@ -1,5 +1,6 @@
 """Hand-written layouts that the labeller has not seen."""
 
+import random
 import time
 
 import pytest
@@ -70,3 +71,59 @@ def test_batches_are_bounded_by_blocks(monkeypatch):
 def test_every_word_of_a_block_counts():
     one, other = (html_text.vectors(blocks(f"<p>{'word ' * 100}{last}</p>"))[0] for last in ("alpha", "omega"))
     assert (one != other).any()
+
+
+@pytest.mark.parametrize(
+    "markup, want",
+    [
+        ('<article><p>one <svg class="i"/>two</p><p>three</p></article>', ["one two", "three"]),
+        ('<article><p>one <svg><path d="x"/><g><text>no</text></g></svg>two</p><p>three</p></article>', ["one two", "three"]),
+        ("<article><p>one <svg><svg>no</svg>no</svg>two</p></article>", ["one two"]),
+        ("<article><p>one <svg><path d='x'>no</p><p>two</p></article>", ["one", "two"]),
+        ("<article><p>one <svg><path d='x'>no<p>two</p></article>", ["one", "two"]),
+        ("<article><p>one</p><svg><foreignObject><div>no</div></foreignObject></svg><p>two</p></article>", ["one", "two"]),
+        ("<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>no</annotation></math> is</p><math/><p>two</p></article>", ["Energy E=m is", "two"]),
+        ("<article><p>one</p><div><object data='x'>no<b>no</b></div><p>two</p></article>", ["one", "two"]),
+        ("<article><p>one</p><div><select><option>no<option>no</div><p>two</p><object>no</object><p>three</p></article>", ["one", "two", "three"]),
+        ("<p>a<select><option>no</select>b", ["a", "b"]),
+        ("<svg><title>no</title>no<script>no</script></svg>a", ["a"]),
+    ],
+)
+def test_drawings_formulas_and_objects(markup, want):
+    assert [b.text for b in blocks(markup)] == want
+
+
+def test_text_of_random_markup_is_what_a_plain_reader_finds():
+    """Words outside of muted elements, in order, for well-formed pages with self-closed and nested drawings."""
+    r = random.Random(12)
+
+    def part(depth, muted):
+        nonlocal n
+        out, told = "", []
+        for _ in range(r.randint(1, 4)):
+            kind = r.choice(("word", "word", "void", "p", "div", "b", "svg", "math", "select")) if depth else "word"
+            if kind == "word":
+                n += 1
+                out += f" w{n} "
+                told += [] if muted else [f"w{n}"]
+            elif kind == "void":
+                out += r.choice(("<svg/>", "<math />", "<br>", "<img src='x'>", "<svg class='a' />"))
+            elif kind in ("p", "div") and muted is None:
+                continue
+            else:
+                quiet = muted or kind in ("svg", "select")
+                body, inner = part(depth - 1, quiet) if kind not in ("svg", "math", "select") and not quiet else simple(quiet)
+                tag = "div" if kind == "p" else kind
+                out += f"<{tag}>{body}</{tag}>"
+                told += inner
+        return out, told
+
+    def simple(quiet):
+        nonlocal n
+        n += 1
+        return f"<g><mi> w{n} </mi></g><path/>", [] if quiet else [f"w{n}"]
+
+    for _ in range(300):
+        n = 0
+        page, want = part(4, False)
+        assert " ".join(b.text for b in blocks(page)).split() == want, page

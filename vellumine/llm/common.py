@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,30 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and readable after an executor is lost."""
+#: Tables that blocks of `scratch` will drop, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, the tables that `written` has made within it, but for those that stay. What still has to be read must be written by then."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in made:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and readable after an executor is lost. stays: not dropped by the block of `scratch` around it."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    for made in _SCRATCH[: len(_SCRATCH) - stays][-1:]:
+        made.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Elements with elements in them whose text is none of the page. One that isn't closed ends with the element around it.
+MUTED = frozenset("svg object select annotation annotation-xml".split())
+#: Within these, elements start no block.
+ZONES = MUTED | {"math"}
+FOREIGN = ("svg", "math")
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An element of the same kind, or one of these, ends an open one up to its container.
@@ -123,13 +128,18 @@ class _Open:
     def __init__(self) -> None:
         self.stack: list[tuple[str, Step | None]] = []
         self.places: dict[str, list[int]] = {}
-        self.links = 0
+        self.links = self.muted = 0
+
+    def zone(self) -> int:
+        """The place of the outermost open element of ZONES; -1 if there is none."""
+        return min((self.places[x][0] for x in ZONES if self.places.get(x)), default=-1)
 
     def push(self, name: str, attributes: str) -> None:
         above = self.stack[-1][1] if self.stack else None
         self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, above if name in INLINE else Step(above, _names(name, attributes))))
         self.links += name == "a"
+        self.muted += name in MUTED
 
     def has(self, name: str) -> bool:
         return bool(self.places.get(name))
@@ -145,6 +155,7 @@ class _Open:
         for name, _ in self.stack[at:]:
             self.places[name].pop()
             self.links -= name == "a"
+            self.muted -= name in MUTED
         del self.stack[at:]
 
 
@@ -167,13 +178,15 @@ def blocks(page: str) -> list[Block]:
     at, n = 0, len(page)
     while at < n:
         begin, end, kind, name, attributes = tags.next(at)
-        if begin > at:
+        if begin > at and not open_.muted:
             text.append(page[at:begin])
             if open_.links:
                 linked += begin - at
         at = end
+        zone = open_.zone() if kind in ("open", "close") else -1
         if kind == "close":
-            if name not in INLINE:
+            within = zone >= 0 and (not open_.has(name) or open_.places[name][-1] >= zone)
+            if name not in INLINE and not within or name in ("object", "select"):
                 flush()
             if name == "p" and not open_.has("p"):
                 continue
@@ -182,9 +195,17 @@ def blocks(page: str) -> list[Block]:
             if name in RAW:
                 ended = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = ended.end() if ended else n
-                if name not in ("script", "style", "template", "svg", "math"):
+                if name not in ("script", "style", "template") and zone < 0:
                     flush()
                 continue
+            closed = attributes.rstrip().endswith("/")
+            if zone >= 0 and (name in ENDS_P or name == "li") and open_.stack[zone][0] in FOREIGN and not any(open_.has(x) for x in ("foreignobject", "object", "select", "annotation-xml")):
+                open_.pop((open_.stack[zone][0],))  # page elements end drawings and formulas that were left open
+                zone = open_.zone()
+            if zone >= 0 or name in FOREIGN:
+                if name not in VOID and not closed:
+                    open_.push(name, attributes)
+                continue
             if name in VOID:
                 if name in ("br", "hr"):
                     flush() if name == "hr" else text.append(" ")
@@ -195,7 +216,7 @@ def blocks(page: str) -> list[Block]:
                     open_.pop(("p",), ("button", "td", "th", "li"))
                 elif name in ENDS_SAME:
                     open_.pop(*ENDS_SAME[name])
-            if not attributes.rstrip().endswith("/") or name in INLINE:
+            if not closed or name in INLINE:
                 open_.push(name, attributes)
     flush()
     return out

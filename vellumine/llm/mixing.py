@@ -15,9 +15,11 @@ holds at most 0.37 / bins of a source. Only the bin in which the target falls is
 one such part is sorted.
 
 Defined results: a null text has size 0; null source is a source of its own, after all others; a null or not positive
-quality counts as 1. Documents of size 0 are never taken. Rows equal in id, text and source have
-equal keys and are taken as often as each other.
-An empty table gives no rows.
+quality counts as 1. Documents of size 0 are never taken. Rows equal in id,
+text and source have equal keys; among them the row's number decides, so each counts for itself and any of them may be the last that fits.
+An empty table gives no rows. Other columns may have any name; `carry` names those that the result keeps (docs must then give the same rows
+in the same partitions whenever it is computed, as a table that is read does, as their rows are judged once more instead of
+being written with them). A long text is only counted and hashed where it is read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import written
+from vellumine.llm.common import OWN, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,12 +82,12 @@ def _by_source(left: DataFrame, right: DataFrame, *cols: str) -> DataFrame:
 
 def _at() -> Column:
     """Where a document stands in its source's order."""
-    return F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"))
+    return F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"), F.col("row"))
 
 
 def _prefixes(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """source, bin_at, sub_at, to: in the order of the keys, rows before bin_at, before sub_at in it, and up to `to` in that, are the longest beginning
-    whose sizes fit into `rest`. rows: source, key, bin, sub, doc_id, size; plan: source, rest."""
+    whose sizes fit into `rest`. rows: source, key, bin, sub, doc_id, size, row; plan: source, rest."""
 
     def boundary(counted: DataFrame, bin_col: str) -> DataFrame:
         run = Window.partitionBy("source").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
@@ -100,7 +102,7 @@ def _prefixes(rows: DataFrame, plan: DataFrame) -> DataFrame:
     inner = written(_by_source(outer, boundary(second, "sub"), "sub_at", "sub_before"), "mix-plan")
     # In the part of the bin, about 0.37 / (bins * subs) of a source, each document is looked at for itself.
     edge = _by_source(rows, inner, "bin_at", "sub_at", "bin_before", "sub_before", "rest").filter("bin = bin_at AND sub = sub_at")
-    run = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("bin_before") - F.col("sub_before") - F.coalesce(F.sum("size").over(run), F.lit(0))
     reach = edge.withColumn("left", left).filter(F.col("left") >= F.col("size")).groupBy("source").agg(F.max(_at()).alias("to"))
     return written(_by_source(inner, reach, "to").select("source", "bin_at", "sub_at", "to"), "mix-plan")
@@ -117,14 +119,33 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ..
         id_col: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carry..., size, source_size, target, copies, taken for each document: copies is how often the mix holds it."""
     q = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
-    keyed = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), *carry, n_words(F.col(text)).alias("size"), sample_key(F.col(id_col), F.col(text), q, seed).alias("key")), "mix-keys")
+    own = [F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), sample_key(F.col(id_col), F.col(text), q, seed).alias("key"), F.monotonically_increasing_id().alias("row")]
+    with scratch(docs.sparkSession):
+        keyed = written(docs.select(*own), "mix-keys", stays=not carry)
+        plan = _plan(keyed, weights, most, bins, subs)
+    full = _by_source(_binned(docs.select(*own, *(F.col(c).alias(OWN + str(i)) for i, c in enumerate(carry))) if carry else keyed, bins, subs), plan, *(x for x in plan.columns if x not in ("source", "rest")))
+    extra = F.coalesce(_taken() | (_at() == F.col("fill.at")), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(extra, 1).otherwise(0)).otherwise(0).cast("long")
+    return full.withColumn("copies", copies).select("doc_id", *(F.col(OWN + str(i)).alias(c) for i, c in enumerate(carry)), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _binned(keyed: DataFrame, bins: int, subs: int) -> DataFrame:
+    place = F.log("key") * bins
+    return keyed.withColumn("bin", F.floor(place)).withColumn("sub", F.floor((place - F.col("bin")) * subs))
+
+
+def _taken() -> Column:
+    """Does a row belong to one of the two beginnings?"""
+    return _before(1) | ((F.col("size") <= F.col("gap")) & _before(2))
+
+
+def _plan(keyed: DataFrame, weights: tuple[float, ...], most: float, bins: int, subs: int) -> DataFrame:
+    """What decides about a source's documents: a row for each source."""
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = written(targets.withColumn("epochs", whole.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
-    place = F.log("key") * bins
-    binned = keyed.withColumn("bin", F.floor(place)).withColumn("sub", F.floor((place - F.col("bin")) * subs))
-    rows = ("source", "doc_id", "size", "key", "bin", "sub")
+    rows = ("source", "doc_id", "size", "key", "bin", "sub", "row")
 
     def used(marked: DataFrame, left: str, now: str) -> DataFrame:
         """plan with what is left of `left` when the rows marked in are taken."""
@@ -135,19 +156,14 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ..
         renamed = found.withColumnsRenamed({x: f"{x}{k}" for x in ("bin_at", "sub_at", "to")})
         return _by_source(plan, renamed, f"bin_at{k}", f"sub_at{k}", f"to{k}")
 
-    every = binned.filter("size > 0").select(*rows)
+    every = _binned(keyed, bins, subs).filter("size > 0").select(*rows)
     plan = with_prefix(_prefixes(every, plan.select("source", "rest")), 1)
     plan = used(_by_source(every, plan, "bin_at1", "sub_at1", "to1").withColumn("in", _before(1)), "rest", "gap")
     # Of those behind, the ones that are small enough for what is left.
     small = _by_source(every, plan, "bin_at1", "sub_at1", "to1", "gap").filter(~_before(1) & (F.col("size") <= F.col("gap"))).select(*rows)
     plan = with_prefix(_prefixes(small, plan.select("source", F.col("gap").alias("rest"))), 2)
     plan = used(_by_source(small, plan, "bin_at2", "sub_at2", "to2").withColumn("in", _before(2)), "gap", "left")
-    taken = _before(1) | ((F.col("size") <= F.col("gap")) & _before(2))
     off = F.abs(F.col("size") - F.col("left"))
-    free = _by_source(every, plan, *(x for x in plan.columns if x[-1] in "12"), "gap", "left").filter(~taken & (off < F.col("left")))
+    free = _by_source(every, plan, *(x for x in plan.columns if x[-1] in "12"), "gap", "left").filter(~_taken() & (off < F.col("left")))
     closest = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), _at().alias("at"))).alias("fill"))
-    plan = written(_by_source(plan, closest, "fill"), "mix-plan")
-    full = _by_source(binned, plan, *(x for x in plan.columns if x not in ("source", "rest")))
-    extra = F.coalesce(taken | (_at() == F.col("fill.at")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(extra, 1).otherwise(0)).otherwise(0).cast("long")
-    return full.withColumn("copies", copies).select("doc_id", *carry, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return written(_by_source(plan, closest, "fill"), "mix-plan", stays=True)

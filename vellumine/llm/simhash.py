@@ -312,17 +312,6 @@ def _large_keys(rows: DataFrame, far: int) -> DataFrame:
     return dealt.groupBy("key", "pair").applyInArrow(grow, "a bigint, b bigint")
 
 
-#: Parts into which every key of a join is dealt, so that a hub of the graph, or a large group, doesn't meet in one task.
-SALTS = 16
-
-
-def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """many joined with one (a row for each key) on the key. Rows of many that share a key are dealt by a hash of `by`; one is repeated for each part."""
-    left = many.withColumn("__vq_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    right = one.withColumn("__vq_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "__vq_salt"]).drop("__vq_salt")
-
-
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root for every node of the links (columns a, b) but the roots: root is the least node that can be reached. Alternating large and small stars."""
     state = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "simhash-stars")
@@ -354,6 +343,6 @@ def near_duplicates(docs: DataFrame, far: int = FAR, shingle: int = SHINGLE, blo
     marked = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(mark, "doc_id bigint, fp bigint"), "simhash-prints")
     prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(linked(prints.select("fp"), far, block))
-    grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-groups")
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return dealt_join(marked, dealt_join(grouped, named, "root", "fp").select("fp", "component_id"), "fp", "doc_id").select("doc_id", "fp", "component_id")
+    return dealt_join(marked, dealt_join(grouped, named, ["root"], "fp").select("fp", "component_id"), ["fp"], "doc_id").select("doc_id", "fp", "component_id")

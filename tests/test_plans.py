@@ -84,3 +84,55 @@ def test_command_line(spark, tmp_path, capsys):
     (folder / "9_sub-json.json").write_text('{"titles": []}')
     main(["--annotation-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out")])
     assert "No text extracted" in capsys.readouterr().out
+
+
+def test_a_model_is_asked_once_for_a_row_and_a_rung(spark, tmp_path):
+    """Whatever is made of the answers, and also if they differ from call to call."""
+    from pyspark.sql import functions as F
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def load():
+        def model(prompts, most_tokens):
+            import uuid
+
+            for p in prompts:
+                (asked / f"{uuid.uuid4().hex}").write_text(p[-1] + str(most_tokens) + p[:5])
+            return ["no json" if "row 1" in p or "row 2" in p else '{"k": 1}' for p in prompts]
+
+        return model
+
+    structure.GENERATORS["counting"] = structure.batch_generator(load)
+    rows = spark.createDataFrame([(i, f"row {i}") for i in range(5)], "i int, text string")
+    try:
+        done = structure.structure(rows, "counting", finish=False)
+        assert done.count() == 5 and len(done.collect()) == 5 and done.filter(F.col("document").contains('k')).count() == 3
+    finally:
+        del structure.GENERATORS["counting"]
+    assert len(list(asked.iterdir())) == 5 + 2 + 2  # all rows, then twice those that failed
+
+
+BROKEN = ['{"a":', "[1]", "7", '"x"', "null", "[" * 1500 + "]" * 1500, '{"a":' * 1500 + "1" + "}" * 1500, "", None]
+
+
+def test_no_document_kills_a_job(spark):
+    from pyspark.sql import functions as F
+
+    from vellumine.operators import mapping, metrics, validation
+    from vellumine.plans import evaluate
+
+    good = '{"titles": [{"title": "T"}], "content": {"sections": []}}'
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate([*BROKEN, good])], "i int, d string")
+    n = len(BROKEN)
+    facets = {r.i: r.f for r in rows.select("i", metrics.facets(F.col("d")).alias("f")).collect()}
+    assert all(facets[i].error and facets[i].fields == 0 for i in range(5)) and facets[n].error is None and facets[n].all_text.strip() == "T"
+    checks = {r.i: r.v for r in rows.select("i", validation.validate(F.col("d")).alias("v")).collect()}
+    assert all(checks[i].valid is None and json.loads(checks[i].document)["error"] and json.loads(checks[i].document)["raw"] == BROKEN[i] for i in range(5))
+    mapped = {r.i: r.m for r in rows.select("i", mapping.metadata_row(F.col("d")).alias("m")).collect()}
+    assert len(mapped) == n + 1 and mapped[1] == mapped[8]
+    pairs = [(str(i), d, good, None, "s") for i, d in enumerate(BROKEN)] + [("r", good, "[1]", None, "s"), ("e", good, good, "said so", "s"), ("ok", good, good, None, "s")]
+    got = {r.poster_id: r for r in evaluate.report(spark.createDataFrame(pairs, "poster_id string, generated string, reference string, error string, source string")).collect()}
+    assert len(got) == len(pairs) and got["ok"].is_error is False and got["ok"].word_capture is not None
+    assert all(got[str(i)].is_error and got[str(i)].error_message.startswith("generated: ") and got[str(i)].word_capture is None and not got[str(i)].passes for i in range(5))
+    assert got["r"].error_message.startswith("reference: ") and got["e"].error_message == "said so"

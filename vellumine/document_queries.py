@@ -3,9 +3,6 @@ them, each with its SQL. The documents are made of rows of the driver's tables b
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from vellumine.operators import validation as V
 from vellumine.operators.documents import postprocess_json
 from vellumine.queries import _JOBS, NOW, _jobs, lines, query, table
 from vellumine.sources import files
+from vellumine.session import shared_folder
 from vellumine.streaming import jobs as stream
 
 
@@ -138,21 +136,13 @@ def claim_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.claim(_jobs(spark, sf_dir), now, 5).select("id", "status", (F.col("updated") == now).alias("was_claimed"))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; of this machine only for a session that runs on it alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='vellumine-')).rstrip('/')}/jobs-{uuid.uuid4().hex}"
-
-
 @query(
     """SELECT c_custkey::VARCHAR AS id, CASE c_custkey % 4 WHEN 2 THEN 'completed' WHEN 0 THEN 'completed' ELSE 'failed' END AS status,
       CASE c_custkey % 4 WHEN 1 THEN 'Job stuck in processing for over 5 minutes; marked failed by cleanup' WHEN 3 THEN 'broken' END AS error, CASE WHEN c_custkey % 4 = 0 THEN 'IN/' || c_custkey END AS title FROM customer"""
 )
 def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting, stuck, finished and hopeless jobs arrive as files, some of them twice; the stream works on what is there."""
-    folder, k = _shared_folder(spark), F.col("c_custkey")
+    folder, k = shared_folder(spark, "jobs"), F.col("c_custkey")
     status = F.when(k % 4 == 1, J.PROCESSING).when(k % 4 == 2, J.COMPLETED).otherwise(J.PENDING)
     path = F.concat(F.when(k % 4 == 3, "bad/").otherwise("in/"), k.cast("string"))
     jobs = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), k.alias("posterId"), path.alias("filePath"), status.alias("status"), (status == J.COMPLETED).alias("completed"), F.lit("2024-01-01T11:00:00").alias("created"), F.lit("2024-01-01T11:00:00").alias("updated"))

@@ -115,6 +115,15 @@ def dumped(value: object) -> str:
     return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
 
 
+def read_object(text: str | None) -> tuple[dict, str | None]:
+    """A JSON object and None, or an empty one and what is wrong. No text at all is an empty object."""
+    try:
+        value = json.loads(text) if text else {}
+    except (ValueError, RecursionError) as e:
+        return {}, f"not readable as JSON: {type(e).__name__}"
+    return (value, None) if isinstance(value, dict) else ({}, "not a JSON object")
+
+
 def storable(text: str) -> str:
     """A text with a replacement sign for each half of a surrogate pair."""
     return _LONE.sub("\ufffd", text)

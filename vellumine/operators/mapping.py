@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumine.functions.json_repair import storable
+from vellumine.functions.json_repair import read_object, storable
 from vellumine.functions.text import strip
 from vellumine.functions.udf import arrow
 from vellumine.schema import METADATA
@@ -50,7 +50,7 @@ def _whole(value: object) -> int | None:
 
 
 def metadata_row(document: Column, conference_keys: str = "reference") -> Column:
-    """struct of all metadata columns but posterId. conference_keys: 'reference' reads the short names, 'schema' those of the rules."""
+    """struct of all metadata columns but posterId; what is no JSON object has those of an empty one. conference_keys: 'reference' reads the short names, 'schema' those of the rules."""
     names = CONFERENCE[conference_keys]
     columns = [c for c in METADATA if c != "posterId"]
 
@@ -58,7 +58,10 @@ def metadata_row(document: Column, conference_keys: str = "reference") -> Column
     def run(documents: pd.Series) -> pd.DataFrame:
         rows = []
         for d in documents:
-            row = _row(json.loads(d) if d else {}, names)
+            try:
+                row = _row(read_object(d)[0], names)
+            except RecursionError:  # nested too deeply to be written as text
+                row = _row({}, names)
             text = lambda v: v if v is None else storable(v) if isinstance(v, str) else json.dumps(v)
             rows.append([[text(x) for x in row[c]] if c in _LISTS and isinstance(row.get(c), list) else _whole(row.get(c)) if c in _YEARS else None if c in _LISTS else text(row.get(c)) for c in columns])
         frame = pd.DataFrame(rows, columns=columns)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
-from vellumine.functions.json_repair import storable
+from vellumine.functions.json_repair import read_object, storable
 from vellumine.functions.rouge import rouge_l
 from vellumine.functions.udf import arrow
 
@@ -53,11 +53,18 @@ def section_texts(doc: object) -> list[str]:
     return [" ".join(map(str, x)) if isinstance(x, list) else str(x) for x in found if x]
 
 
-@arrow("struct<all_text:string,sections:array<string>,fields:long>")
+def _facets(text: str | None) -> tuple[str, list[str], int, str | None]:
+    doc, wrong = read_object(text)
+    try:
+        return storable(all_text(doc)), [storable(x) for x in section_texts(doc)], field_count(doc), wrong
+    except RecursionError:
+        return "", [], 0, "nested too deeply"
+
+
+@arrow("struct<all_text:string,sections:array<string>,fields:long,error:string>")
 def facets(documents: pd.Series) -> pd.DataFrame:
-    """What the scores need of a JSON document, in one pass."""
-    docs = [json.loads(d) if d else {} for d in documents]
-    return pd.DataFrame({"all_text": [storable(all_text(d)) for d in docs], "sections": [[storable(x) for x in section_texts(d)] for d in docs], "fields": [field_count(d) for d in docs]})
+    """What the scores need of a JSON document, in one pass. error: why a text has none of it."""
+    return pd.DataFrame([_facets(d) for d in documents], columns=["all_text", "sections", "fields", "error"])
 
 
 def word_capture(generated: Column, reference: Column) -> Column:
@@ -90,8 +97,8 @@ def section_rouge(pairs: DataFrame, key: str, generated: str, reference: str) ->
 
 
 def score(pairs: DataFrame, key: str = "poster_id", generated: str = "generated", reference: str = "reference") -> DataFrame:
-    """key, the four scores, numbers of sections, passes. generated, reference: JSON text."""
-    f = pairs.select(key, facets(F.col(generated)).alias("g"), facets(F.col(reference)).alias("r"))
+    """key, the four scores, numbers of sections, passes. generated, reference: JSON text. Pairs of which one is no JSON object have no row."""
+    f = pairs.select(key, facets(F.col(generated)).alias("g"), facets(F.col(reference)).alias("r")).filter("g.error IS NULL AND r.error IS NULL")
     t = f.select(key, X.normalize(F.col("g.all_text")).alias("gt"), X.normalize(F.col("r.all_text")).alias("rt"), F.col("g.sections").alias("gs"), F.col("r.sections").alias("rs"), F.col("g.fields").alias("gf"), F.col("r.fields").alias("rf"))
     by_section = section_rouge(t.select(key, "gs", "rs"), key, "gs", "rs")
     joined = t.withColumn("whole_rouge", rouge_l("rt", "gt")).join(by_section, key, "left")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumine.functions.json_repair import dumped, storable
+from vellumine.functions.json_repair import dumped, read_object, storable
 from vellumine.functions.udf import arrow
 from vellumine.schema import DEFAULTS, RULES
 
@@ -66,14 +66,23 @@ def warning(path: tuple, name: str, asked: object, value: object) -> tuple[str,
 
 @arrow(f"struct<document:string,valid:boolean,errors_count:int,warnings_count:int,filled_fields:array<string>,warnings:{WARNINGS}>")
 def validate(documents: pd.Series) -> pd.DataFrame:
-    """document: with its check results and defaults. Objects with an error come back as they are, without counts."""
+    """document: with its check results and defaults. Objects with an error come back as they are, without counts; what is no object becomes one that says so, with
+    the text as `raw`."""
     rows = []
     for d in documents:
-        doc = json.loads(d) if d else {}
+        doc, wrong = read_object(d)
+        if wrong:
+            rows.append((dumped({"error": wrong, "raw": d}), None, None, None, [], []))
+            continue
         if "error" in doc:
             rows.append((d, None, None, None, [], []))
             continue
-        broken = list(violations(doc, RULES))
+        try:
+            broken = list(violations(doc, RULES))
+            dumped(doc)
+        except RecursionError:
+            rows.append((dumped({"error": "nested too deeply", "raw": d}), None, None, None, [], []))
+            continue
         told = [tuple(map(storable, w)) for v in broken if (w := warning(*v))]
         filled = [k for k in DEFAULTS if k not in doc]
         checked = {"schema_version": SCHEMA_VERSION, "valid": not broken, "warnings_count": len(told), "errors_count": len(broken), "filled_fields": filled}

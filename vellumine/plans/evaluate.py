@@ -24,7 +24,10 @@ def process_file(spark: SparkSession, path: str, generator: str = "rules") -> Da
 
 
 def report(pairs: DataFrame, key: str = "poster_id") -> DataFrame:
-    """key, scores, passes, is_error, error_message, source. pairs: key, generated, reference (JSON text), error, source. An error row has no scores."""
+    """key, scores, passes, is_error, error_message, source. pairs: key, generated, reference (JSON text), error, source. An error row has no scores;
+    a document or a reference that is no JSON object makes one."""
+    wrong = lambda c: F.concat(F.lit(f"{c}: "), metrics.facets(F.col(c))["error"])
+    pairs = pairs.withColumn("error", F.coalesce("error", wrong("generated"), wrong("reference")))
     good = metrics.score(pairs.filter("error IS NULL"), key)
     info = pairs.select(key, "source", F.col("error").isNotNull().alias("is_error"), F.col("error").alias("error_message"))
     return info.join(good, key, "left").withColumn("passes", F.coalesce("passes", F.lit(False)))

@@ -18,6 +18,7 @@ from vellumine.functions.json_repair import parse_json
 from vellumine.functions.text import is_truncated
 from vellumine.functions.udf import arrow
 from vellumine.operators.documents import postprocess_json
+from vellumine.session import shared_folder
 
 FIRST_TOKENS, RETRY_TOKENS = 18_000, 24_000
 #: Headings that begin a section. Fixed values.
@@ -85,13 +86,19 @@ def failed() -> Column:
     return F.col("error").isNotNull() | F.coalesce(says, F.lit(False)) | is_truncated(raw)
 
 
+def _rung(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession, "rung")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def structure(rows: DataFrame, generator: str = "rules", text: str = "text", finish: bool = True, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows with document (JSON; error objects where nothing parsed), error (also that which an object names itself).
 
     Three rungs: the prompt, the prompt with more tokens, the short prompt. Only rows that failed go on to the next
-    rung. write: makes a rung's rows a table (a model should not be asked twice for the same rung); by default they are
-    computed where they are used."""
-    keep, generate = (write or (lambda df: df)), GENERATORS[generator]
+    rung. Each rung's rows are written as a table before they are used, so that a model is asked once for a row and a rung, whatever
+    is made of the answers. write: does that; by default into the folder that the cluster shares."""
+    keep, generate = write or _rung, GENERATORS[generator]
     names = rows.columns
     done: DataFrame | None = None
     left = rows

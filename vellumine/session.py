@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,6 +25,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return prepare(builder.config(map=settings).getOrCreate())
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; of this machine only for a session that runs on it alone."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='vellumine-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets the workers import this package also where it is not installed but only on the driver's path."""
     env = spark.sparkContext.environment

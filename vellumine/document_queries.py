@@ -3,6 +3,8 @@ them, each with its SQL. The documents are made of rows of the driver's tables b
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,10 @@ from vellumine.operators import metrics as K
 from vellumine.operators import validation as V
 from vellumine.operators.documents import postprocess_json
 from vellumine.queries import _JOBS, NOW, _jobs, lines, query, table
-from vellumine.sources import files
+from vellumine.sources import files, objects
 from vellumine.session import shared_folder
 from vellumine.streaming import jobs as stream
+from vellumine.streaming import keyed_jobs as keyed
 
 
 def _join(*parts: Column | str) -> Column:
@@ -194,3 +197,48 @@ def rouge_l_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = items.join(F.broadcast(n)).select("item_id", F.col("t").alias("g"), ((F.col("item_id") + 1) % F.col("n")).alias("next"))  # n is one row
     pairs = asked.join(items.select(F.col("item_id").alias("next"), F.col("t").alias("r")), "next")
     return pairs.select("item_id", rouge_counts("r", "g").alias("c")).select("item_id", "c.*")
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 4 IN (0, 2) OR c_custkey % 4 = 1 AND c_custkey % 3 = 0 THEN 'completed' WHEN c_custkey % 4 = 1 AND c_custkey % 7 = 0 THEN 'processing' ELSE 'failed' END AS status,
+      CASE WHEN c_custkey % 4 = 3 THEN 'broken' WHEN c_custkey % 4 = 1 AND c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 THEN 'Job stuck in processing for over 5 minutes; marked failed by cleanup' END AS error,
+      CASE WHEN c_custkey % 4 = 0 THEN 'IN/' || c_custkey END AS title FROM customer"""
+)
+def keyed_job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs an hour apart, the second from the first one's checkpoint: most jobs arrive in the first, the rest, repeats and
+    the ends of some jobs that others work on in the second, when jobs that nobody ended expire."""
+    folder, k = shared_folder(spark, "keyed-jobs"), F.col("c_custkey")
+    status = F.when(k % 4 == 1, J.PROCESSING).when(k % 4 == 2, J.COMPLETED).otherwise(J.PENDING)
+    path = F.concat(F.when(k % 4 == 3, "bad/").otherwise("in/"), k.cast("string"))
+    updated = F.when(k % 7 == 0, "2024-01-01T11:57:00").otherwise("2024-01-01T11:00:00")
+    jobs = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), k.alias("posterId"), path.alias("filePath"), status.alias("status"), (status == J.COMPLETED).alias("completed"), F.lit("2024-01-01T11:00:00").alias("created"), updated.alias("updated"))
+    k = F.col("posterId")
+    late, repeated = jobs.filter(k % 7 == 0), jobs.filter(k % 10 == 0)
+    ends = jobs.filter((k % 4 == 1) & (k % 3 == 0)).withColumns({"status": F.lit(J.COMPLETED), "completed": F.lit(True), "updated": F.lit("2024-01-01T11:58:00")})
+
+    def work(taken: DataFrame) -> DataFrame:
+        return taken.select("id", F.when(F.col("filePath").startswith("bad"), "broken").alias("error"), F.upper("filePath").alias("title"))
+
+    for wave, hour in ((jobs.filter(k % 7 != 0), 11), (late.unionByName(repeated).unionByName(ends), 12)):
+        wave.write.mode("append").json(f"{folder}/in")
+        events = spark.readStream.schema(stream.JOBS).json(f"{folder}/in")
+        keyed.run(spark, events, f"{folder}/state", work, F.lit(f"2024-01-01 {hour}:00:00").cast("timestamp")).awaitTermination()
+    titles = spark.read.schema("id string, title string").parquet(f"{folder}/state/results")
+    return keyed.current(spark, f"{folder}/state").join(titles, "id", "left").select("id", "status", "error", "title")
+
+
+@query("SELECT doc_id, md5(text) AS digest, length(text) AS n_chars, lang, source, NULL::VARCHAR AS missing FROM documents UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'objects/none.json'")
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stored objects of JSON lines: tasks read the manifests and what they list; an object that isn't there is a row with its error."""
+    folder = shared_folder(spark, "stored")
+    folder = folder if ":" in folder else f"file://{folder}"
+    table(spark, sf_dir, "documents").write.option("maxRecordsPerFile", 2000).json(f"{folder}/objects")
+    spark.read.format("binaryFile").load(f"{folder}/objects/*.json").select(F.regexp_extract("path", "objects/[^/]+$", 0)).write.text(f"{folder}/lists")
+    lists = [f"lists/{p.rsplit('/', 1)[1]}" for p in spark.read.text(f"{folder}/lists").inputFiles()]  # names of manifests, not of objects
+    objects.register(spark)
+    got = spark.read.format("objects").options(base=folder, manifests=json.dumps(lists), paths='["objects/none.json"]').load()
+    row = F.from_json("line", "doc_id bigint, text string, lang string, source string")
+    lines_ = got.filter("error IS NULL").select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).filter("line <> ''").select(row.alias("d"))
+    docs = lines_.select("d.doc_id", F.md5("d.text").alias("digest"), F.length("d.text").cast("long").alias("n_chars"), "d.lang", "d.source", F.lit(None).cast("string").alias("missing"))
+    absent = got.filter("error IS NOT NULL").select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes[:-1]], F.col("path").alias("missing"))
+    return docs.unionByName(absent)

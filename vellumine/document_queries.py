@@ -12,6 +12,7 @@ from vellumine.functions import text as X
 from vellumine.functions.rouge import rouge_counts
 from vellumine.operators import jobs as J
 from vellumine.operators import mapping as M
+from vellumine.operators import rule_checks as R
 from vellumine.operators import metrics as K
 from vellumine.operators import validation as V
 from vellumine.operators.documents import postprocess_json
@@ -242,3 +243,36 @@ def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines_.select("d.doc_id", F.md5("d.text").alias("digest"), F.length("d.text").cast("long").alias("n_chars"), "d.lang", "d.source", F.lit(None).cast("string").alias("missing"))
     absent = got.filter("error IS NOT NULL").select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes[:-1]], F.col("path").alias("missing"))
     return docs.unionByName(absent)
+
+
+_KINDS = "('Abstract', 'Methods', 'SeriesInformation', 'TableOfContents', 'TechnicalInfo', 'Other')"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, text, lang AS l, source AS s, n_chars AS n, CASE WHEN doc_id % 2 = 0 THEN 'Abstract' ELSE lang END AS kind, doc_id % 17 = 0 OR doc_id % 19 = 0 AS bad FROM documents),
+    e AS (SELECT *, (text IS NULL)::INT + (kind IS NULL)::INT AS gone, (n < 1900)::INT + (n > 2100)::INT AS far FROM t),
+    w AS (SELECT doc_id, bad, coalesce(2 * far, 0) + (s IS NULL)::INT AS silent, list_concat(
+      CASE WHEN s = '' THEN ['creators.0.name:empty_string'] ELSE [] END, CASE WHEN l NOT IN ('Personal', 'Organizational') THEN ['creators.0.nameType:invalid_enum'] ELSE [] END,
+      CASE WHEN s IS NULL THEN ['creators.0:missing_required'] ELSE [] END, CASE WHEN text = '' THEN ['titles.0.title:empty_string'] WHEN text IS NULL THEN ['titles.0:missing_required'] ELSE [] END,
+      CASE WHEN text = '' THEN ['descriptions.0.description:empty_string'] ELSE [] END, CASE WHEN kind NOT IN {_KINDS} THEN ['descriptions.0.descriptionType:invalid_enum'] ELSE [] END,
+      list_transform(range(gone), lambda x: 'descriptions.0:missing_required'), CASE WHEN l = '' THEN ['publisher.name:empty_string'] WHEN l IS NULL THEN ['publisher:missing_required'] ELSE [] END,
+      CASE WHEN n IS NULL THEN ['conference:missing_required'] ELSE [] END, CASE WHEN s = '' THEN ['formats.0:empty_string'] ELSE [] END,
+      CASE WHEN n IS NULL THEN ['root:missing_required', 'root:missing_required'] ELSE ['root:missing_required'] END) AS told FROM e)
+    SELECT doc_id, NOT bad AS judged, CASE WHEN NOT bad THEN (silent + len(told))::BIGINT END AS errors_count, CASE WHEN NOT bad THEN len(told)::BIGINT END AS warnings_count,
+      CASE WHEN bad THEN '' ELSE array_to_string(told, ';') END AS issues FROM w"""
+)
+def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with whole texts as titles and descriptions; some are cut or no objects."""
+    k, one = F.col("doc_id"), lambda **c: F.array(F.struct(*[v.alias(n) for n, v in c.items()]))
+    kind = F.when(k % 2 == 0, "Abstract").otherwise(F.col("lang"))
+    doc = F.to_json(
+        F.struct(
+            one(name=F.col("source"), nameType=F.col("lang")).alias("creators"), one(title=F.col("text")).alias("titles"), F.col("n_chars").alias("publicationYear"),
+            one(description=F.col("text"), descriptionType=kind).alias("descriptions"), F.struct(F.col("lang").alias("name")).alias("publisher"),
+            F.struct(F.lit("c").alias("conferenceName"), F.col("n_chars").alias("conferenceYear")).alias("conference"), F.array_compact(F.array("source")).alias("formats"),
+        )
+    )
+    given = F.when(k % 17 == 0, F.left(doc, F.length(doc) - 1)).when(k % 19 == 0, F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
+    rows = table(spark, sf_dir, "documents").select("doc_id", R.checks(given).alias("c"))
+    told = F.transform("c.warnings", lambda w: F.concat_ws(":", w["field"], w["issue"]))
+    return rows.select("doc_id", F.col("c.errors_count").isNotNull().alias("judged"), *[F.col(f"c.{c}").cast("long").alias(c) for c in ("errors_count", "warnings_count")], F.array_join(told, ";").alias("issues"))

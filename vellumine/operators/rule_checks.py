@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.bind import let
 from vellumine.operators.validation import WARNINGS, validate
 from vellumine.schema import RULES
 
@@ -66,7 +67,7 @@ def errors(value: Column, rule: dict, path: tuple = (), at: Column | None = None
         if name == "properties":
             for key, below in asked.items():
                 held = F.try_variant_get(value, f"$.{key}", "variant")
-                parts.append(F.when(held.isNotNull(), errors(held, below, (*path, key), inner(F.lit(key)))).otherwise(none))
+                parts.append(let(held, lambda h: F.when(h.isNotNull(), errors(h, below, (*path, key), inner(F.lit(key)))).otherwise(none)))
         elif name == "items":
             each = F.transform(items, lambda x, i: errors(x, rule["items"], (*path, None), inner(i.cast("string"))))
             parts.append(F.coalesce(F.flatten(each), none))
@@ -91,25 +92,16 @@ def errors(value: Column, rule: dict, path: tuple = (), at: Column | None = None
 def checks(document: Column, rules: dict = RULES) -> Column:
     """parsed, valid, errors_count, warnings_count, warnings of a JSON text. Counts are null and warnings empty for what is no object,
     what has an error, and what was not parsed."""
-    parsed = whole_json(document)
-    # one-element arrays bind a value once, where it is used many times
-    held = F.array(parsed)
-    judged = F.transform(held, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, "$.error", "variant").isNull(), errors(v, rules)))
-    told = F.transform(judged, lambda e: F.struct(e.alias("e"), F.filter(e, lambda x: x["issue"].isNotNull()).alias("w")))
-    done = F.transform(
-        told,
-        lambda t: F.struct(
-            F.lit(True).alias("parsed"),
-            (F.size(t["e"]) == 0).alias("valid"),
-            F.when(t["e"].isNotNull(), F.size(t["e"])).alias("errors_count"),
-            F.when(t["e"].isNotNull(), F.size(t["w"])).alias("warnings_count"),
-            F.coalesce(F.transform(t["w"], lambda x: F.struct(x["field"].alias("field"), x["issue"].alias("issue"), x["message"].alias("message"), F.lit(False).alias("auto_fixed"))), F.array().cast(WARNINGS)).alias("warnings"),
-        ),
-    )
-    one = F.get(done, F.lit(0))
-    return F.when(parsed.isNotNull(), F.struct(one["parsed"].alias("parsed"), F.when(one["errors_count"].isNotNull(), one["valid"]).alias("valid"), one["errors_count"].alias("errors_count"), one["warnings_count"].alias("warnings_count"), one["warnings"].alias("warnings"))).otherwise(
-        F.struct(F.lit(False).alias("parsed"), F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("int").alias("errors_count"), F.lit(None).cast("int").alias("warnings_count"), F.array().cast(WARNINGS).alias("warnings"))
-    )
+    def judged(parsed: Column) -> Column:
+        is_open = F.schema_of_variant(parsed).startswith("OBJECT") & F.try_variant_get(parsed, "$.error", "variant").isNull()
+        return let(F.when(is_open, errors(parsed, rules)), lambda e: let(F.filter(e, lambda x: x["issue"].isNotNull()), lambda w: result(parsed.isNotNull(), e, w)))
+
+    def result(parsed: Column, e: Column, w: Column) -> Column:
+        told = F.transform(w, lambda x: F.struct(x["field"].alias("field"), x["issue"].alias("issue"), x["message"].alias("message"), F.lit(False).alias("auto_fixed")))
+        counts = [F.when(e.isNotNull(), c).alias(name) for c, name in ((F.size(e) == 0, "valid"), (F.size(e), "errors_count"), (F.size(w), "warnings_count"))]
+        return F.struct(parsed.alias("parsed"), *counts, F.coalesce(told, F.array().cast(WARNINGS)).alias("warnings"))
+
+    return let(whole_json(document), judged)
 
 
 def checked(df: DataFrame, document: str = "document", name: str = "checks") -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import release, written
+from vellumine.llm.common import dealt_join, release, written
 from vellumine.llm.words import NOT_SPACE, Words, is_long, long_text, pieces, plain, words
 
 SHINGLE, SEED, FAR = 4, 42, 4

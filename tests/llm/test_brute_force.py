@@ -126,12 +126,48 @@ def plain_overlaps(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("bits, piece", [(27, 1 << 20), (4, 1 << 20), (10, 16)])
-def test_decontamination(spark, bits, piece, monkeypatch):
-    """Also with a table of bits that lets most windows through, and with texts that are read in parts."""
+def least_grams(g, n):
+    """By hand: the last place of the least of each n neighbours."""
+    return [max(range(i, i + n), key=lambda j: (-int(g[j]), j)) for i in range(len(g) - n + 1)]
+
+
+def test_winnowed_places():
+    r = np.random.default_rng(8)
+    for values, size in ((3, 40), (2**63, 200), (5, 5), (5, 6), (1, 30), (9, 0)):
+        g = r.integers(0, values, size, dtype=np.uint64)
+        assert decontamination.winnowed(g, 6).tolist() == least_grams(g, 6)
+
+
+def test_winnowing_is_sparse_and_both_sides_must_choose_alike(spark, monkeypatch):
+    """Passages of exactly 10 words: all are found; with another choice on one side only, most are lost. About two in seven grams are kept."""
+    r = random.Random(31)
+    said = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passages = [said(10) for _ in range(60)]
+    items = [(i, " ".join(said(30) + p + said(30))) for i, p in enumerate(passages)]
+    docs = [(i, " ".join(said(25) + p + said(25))) for i, p in enumerate(passages)]
+    bench, rows = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    kept = decontamination.item_fingerprints(bench, 10, 5, "item_id", "text").count()
+    assert 0.2 < kept / (60 * 66) < 0.36
+    spans = lambda: {x.doc_id: [tuple(s) for s in x.spans] for x in decontamination.find_overlaps(rows, bench).collect()}
+    assert spans() == {i: [(25, 35)] for i in range(60)}
+    original, own = decontamination.item_fingerprints, decontamination.winnowed
+
+    def otherwise(*args):
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, "winnowed", lambda g, n: own(~g, n))  # the greatest
+            return original(*args)
+
+    monkeypatch.setattr(decontamination, "item_fingerprints", otherwise)
+    assert sum(map(bool, spans().values())) < 30
+
+
+@pytest.mark.parametrize("bits, piece, few", [(27, 1 << 20, 16), (4, 1 << 20, 0), (10, 16, 1)])
+def test_decontamination(spark, bits, piece, few, monkeypatch):
+    """Also with a table of bits that lets most windows through, with texts that are read in parts, and with grams that count as frequent."""
     from vellumine.llm import words
 
     monkeypatch.setattr(words, "PIECE", piece)
+    monkeypatch.setattr(decontamination, "FEW", few)
     monkeypatch.setattr(words.long_text, "__defaults__", (piece,))
     r = random.Random(5)
     vocabulary = "a b c d e".split()

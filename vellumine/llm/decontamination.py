@@ -1,16 +1,19 @@
 """Benchmark decontamination by winnowing.
 
-A fingerprint is the least hash of 6 neighbouring 5-grams of words (5 + 6 - 1 = 10): any 10 words that a document
-shares with an item have the same least hash on both sides, so every shared span of 10 words or more is found. The
-fingerprints of a document's windows are joined with those of the items; a hit is extended to the 10 words around it,
-looked up by their hash and then compared word by word, so hashes decide nothing alone. An item of fewer words than a
-window has no window of 6 grams; its only window is all of its words, fingerprinted whole (k = its length, window 1).
-
-One plan serves benchmarks of any size. The items' windows are a table. Their fingerprints are also set in a table of
-2 ** `bits` bits (16 MB, whatever the benchmark), which goes to the workers: a document's windows that it lets through are
-kept with the document, without duplicates, and only those meet the items' windows in a join on the words themselves.
-What isn't let through can't be a hit; what is let through by chance (more with very large benchmarks) only costs the join.
-Documents are written once with their candidates, and only those that have some are joined.
+Words are taken in 5-grams. Of every 6 neighbouring grams (5 + 6 - 1 = 10 words) the one with the least hash is kept, the
+last one if several are; neighbours mostly keep the same, so two in seven places carry a fingerprint. Which one it is follows
+from the 10 words alone: any 10 words that a document shares with an item keep the same gram on both sides, so fingerprints
+joined by their hash meet in every shared span of 10 words or more. A meeting is extended word by word, to the left and to the
+right, at most 5 words each way (all that a window around the gram can have; a longer span has fingerprints further on, whose
+pieces are merged with it). It is a hit if 10 words or more agree. Words are compared, so hashes decide nothing alone. An item
+of fewer words than a window has one fingerprint, of all its words, and needs no more.
+
+One plan serves benchmarks of any size. A fingerprint is a row with the words around it. Those of the items are also set in a
+table of 2 ** `bits` bits (16 MB, whatever the benchmark), which goes to the workers: a document keeps the fingerprints that
+the table lets through, and only those meet the items' in a join. What isn't let through can't be a hit; what is let through
+by chance (more with very large benchmarks) only costs the join. A gram that stands among different words in more than `FEW`
+places of the benchmark isn't compared with each of them: there both sides are joined on the gram and the words that complete
+it to a window, which gives the same hits. Documents are written once with their fingerprints, and only those that have some are joined.
 
 Defined results: a null or empty text has no words and no hits; an item without words, or with a null id, takes no
 part; rows with the same item id count as one item. Item ids are whole numbers (a text that is none is an error).
@@ -20,29 +23,34 @@ parts that share window - 1 words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import OWN, release, written
+from vellumine.llm.common import OWN, bit_table, dealt_join, release, written
 from vellumine.llm.words import ALNUM, Words, grams, is_long, long_text, mixed, pieces, plain, words
 
 WINDOW, GRAM = 10, 5
-_CANDIDATES = "array<struct<k:int,words:string,places:array<bigint>>>"
-
-
-def _least(g: np.ndarray, n: int) -> np.ndarray:
-    """The least of n neighbours, for each place that has n."""
-    size = len(g) - n + 1
-    if size <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = g[:size].copy()
+#: Different surroundings of a gram in the benchmark up to which each is compared.
+FEW = 16
+_PRINT = "fp bigint, k int, need int, gram string, before array<string>, after array<string>"
+_NAMES = ("fp", "k", "need", "gram", "before", "after", "places")
+_FOUND = "array<struct<fp:bigint,k:int,need:int,gram:string,before:array<string>,after:array<string>,places:array<bigint>>>"
+
+
+def winnowed(g: np.ndarray, n: int) -> np.ndarray:
+    """For each n neighbours the place of the least, of the last one of equal ones."""
+    size = max(0, len(g) - n + 1)
+    first = np.arange(size)
+    least, at = g[:size].copy(), first.copy()
     for j in range(1, n):
-        np.minimum(out, g[j : j + size], out=out)
-    return out
+        now = g[j : j + size]
+        found = now <= least
+        least[found], at[found] = now[found], first[found] + j
+    return at
 
 
 def _parts(texts: pa.Array, shared: int) -> Iterator[tuple[int, int, int, Words]]:
@@ -55,79 +63,112 @@ def _parts(texts: pa.Array, shared: int) -> Iterator[tuple[int, int, int, Words]
             yield lo, hi, 0, words(texts.slice(lo, hi - lo), ALNUM)
 
 
-def _marks(h: np.ndarray, k: int, window: int, gram: int) -> np.ndarray:
-    """Two numbers for each window of k words, by which the table of bits knows it: the winnowed fingerprint and that of the whole window."""
-    salt = np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    whole = mixed(grams(h, k) + salt)
-    return np.stack([mixed(_least(grams(h, gram), window - gram + 1) + salt + np.uint64(1)) if k == window else whole, whole])
-
-
-def item_windows(benchmark: DataFrame, window: int, gram: int, item_col: str, text: str) -> DataFrame:
-    """item, k, words, mark1, mark2: every window of every item."""
+def _prints(w: Words, short: list[int], window: int, gram: int, choose: Callable) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(words of a gram, words that must agree, places, fingerprints): the winnowed grams, and all grams of as many words as short items have."""
+    h = w.hashes()
+    text_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    inside = lambda at, k: text_of[at] == text_of[at + k - 1]
+    g = grams(h, gram)
+    chosen = choose(g, window - gram + 1)
+    at = np.unique(chosen[inside(np.arange(len(chosen)), window)])
+    yield gram, window, at, mixed(g[at])
+    for k in short:
+        every = grams(h, k)
+        at = np.arange(len(every))
+        at = at[inside(at, k)]
+        yield k, k, at, mixed(every[at] + np.uint64(k))
+
+
+def _around(w: Words, t: int, at: int, k: int, need: int) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
+    """A gram's words, and those before and behind it in text t, the nearest first, as many as can complete it."""
+    said = lambda places: tuple(w.data[w.start[i] : w.end[i]].tobytes().decode() for i in places)
+    return w.raw(at, k).decode(), said(range(at - 1, max(int(w.first[t]), at - need + k) - 1, -1)), said(range(at + k, min(int(w.first[t + 1]), at + need)))
+
+
+def item_fingerprints(benchmark: DataFrame, window: int, gram: int, item_col: str, text: str) -> DataFrame:
+    """item and a fingerprint with the words around it: all of every item."""
+    choose = winnowed
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    names = ["item", "fp", "k", "need", "gram", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
-            ids = batch.column("item").to_numpy()
-            for i, body in enumerate(batch.column("text")):
-                n = 0
+            ids = batch.column("item").to_pylist()
+            for item, body in zip(ids, batch.column("text"), strict=True):
                 for _, _, before, w in _parts(pa.array([body.as_py()], pa.string()), window - 1):
                     if len(w) < window and (before or not len(w)):
                         continue
-                    k = min(len(w), window)
-                    marks, n = _marks(w.hashes(), k, window, gram).view(np.int64), len(w) - k + 1
-                    for lo in range(0, n, 10_000):
-                        hi = min(n, lo + 10_000)
-                        said = [w.raw(j, k).decode() for j in range(lo, hi)]
-                        m = hi - lo
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ids[i])), pa.array(np.full(m, k, dtype=np.int32)), pa.array(said, pa.string()), pa.array(marks[0, lo:hi]), pa.array(marks[1, lo:hi])], names=["item", "k", "words", "mark1", "mark2"])
+                    short = [len(w)] if len(w) < window else []
+                    rows = []
+                    for k, need, at, fp in _prints(w, short, window, gram, choose):
+                        for i, f in zip(at.tolist(), fp.view(np.int64).tolist(), strict=True):
+                            rows.append((item, f, k, need, *_around(w, 0, i, k, need)))
+                            if len(rows) == 10_000:
+                                yield batch_of(rows)
+                                rows = []
+                    if rows:
+                        yield batch_of(rows)
 
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "item bigint, k int, words string, mark1 bigint, mark2 bigint")
+    return rows.mapInArrow(run, f"item bigint, {_PRINT}")
+
+
+def _candidates(w: Words, short: list[int], table: np.ndarray, bits: int, window: int, gram: int, choose: Callable) -> dict[int, dict[tuple, list[int]]]:
+    """For the texts that have some: places by (fingerprint, words around it) of the fingerprints that the table lets through."""
+    out: dict[int, dict[tuple, list[int]]] = {}
+    for k, need, at, fp in _prints(w, short, window, gram, choose):
+        place = (fp >> np.uint64(64 - bits)).astype(np.int64)
+        known = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        text_of = np.searchsorted(w.first, at[known], side="right") - 1
+        for t, i, f in zip(text_of.tolist(), at[known].tolist(), fp.view(np.int64)[known].tolist(), strict=True):
+            out.setdefault(t, {}).setdefault((f, k, need, *_around(w, t, i, k, need)), []).append(i - int(w.first[t]))
+    return out
 
 
-def bit_table(windows: DataFrame, bits: int) -> np.ndarray:
-    """Which of 2 ** bits places the windows' marks take; a row of 32,768 bits at a time, so of a size that doesn't depend on the items."""
-    marks = windows.select(F.explode(F.array("mark1", "mark2")).alias("m"))
-    each = marks.select(F.shiftrightunsigned("m", 64 - bits).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(1 << bits, dtype=bool)
-    for row in each.toLocalIterator():
-        # Buckets are numbered from 1 for places above 0; place 0 has bucket 0.
-        found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row.bits), dtype=np.uint8), bitorder="little"))
-        out[(row.bucket - 1) * 32768 + 1 + found if row.bucket else -found] = True
-    return np.packbits(out, bitorder="little")
+def _agreeing(a: str, b: str) -> Column:
+    """How many words, from the first on, two lists have in common."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same))
 
 
-def _candidates(w: Words, ks: list[int], table: np.ndarray, bits: int, window: int, gram: int) -> dict[int, dict[tuple[int, bytes], list[int]]]:
-    """For the texts that have some: places by (k, words) of the windows that the table lets through."""
-    h = w.hashes()
-    text_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    out: dict[int, dict[tuple[int, bytes], list[int]]] = {}
-    for k in ks:
-        if len(h) < k:
-            continue
-        first, second = (_marks(h, k, window, gram) >> np.uint64(64 - bits)).astype(np.int64)
-        known = lambda place: (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-        at = np.flatnonzero(known(first))
-        at = at[known(second[at])]
-        at = at[text_of[at] == text_of[at + k - 1]]
-        for i in at.tolist():
-            t = int(text_of[i])
-            out.setdefault(t, {}).setdefault((k, w.raw(i, k)), []).append(i - int(w.first[t]))
-    return out
+def _completed(rows: DataFrame) -> DataFrame:
+    """A row for each way to complete a gram to a window by the words around it: `key` stands for the way and its words."""
+    way = lambda n: F.xxhash64(n, F.slice("before", 1, n), F.slice("after", 1, F.col("need") - F.col("k") - n))
+    ways = F.sequence(F.greatest(F.lit(0), F.col("need") - F.col("k") - F.size("after")), F.least(F.col("need") - F.col("k"), F.size("before")))
+    possible = rows.filter(F.size("before") + F.size("after") >= F.col("need") - F.col("k"))
+    return possible.withColumn("key", F.explode(F.transform(ways, way)))
+
+
+def _meetings(found: DataFrame, contexts: DataFrame, few: int) -> DataFrame:
+    """Fingerprints of documents (row, print, places) beside those of items (`of`) that have the same hash and can agree in a window."""
+    counts = contexts.groupBy("fp").count()
+    near = contexts.join(counts.filter(F.col("count") <= few), "fp").groupBy("fp").agg(F.collect_list("of").alias("near"))
+    met = dealt_join(found, near, ["fp"], OWN + "row").withColumn("of", F.explode("near")).drop("near")
+    frequent = counts.filter(F.col("count") > few).select("fp")
+    if frequent.isEmpty():
+        return met
+    items = _completed(contexts.join(frequent, "fp").select("fp", "of", "of.k", "of.need", "of.before", "of.after")).select("fp", "key", "of").distinct()
+    docs = _completed(found.join(frequent, "fp"))
+    return met.unionByName(docs.join(items, ["fp", "key"]).drop("key"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = 27,
                   id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep..., n_words, items (ids whose windows occur), spans (word ranges that windows cover, merged)."""
-    windows = written(item_windows(benchmark, window, gram, item_col, item_text), "decontamination-items")
-    ks = sorted(r.k for r in windows.select("k").distinct().collect())  # at most `window`
-    sent = docs.sparkSession.sparkContext.broadcast(bit_table(windows, bits) if ks else None)  # 2 ** bits bits
+    """doc_id, keep..., n_words, items (ids that have a hit), spans (word ranges of hits, merged)."""
+    choose = winnowed
+    of = F.struct("k", "need", "gram", "before", "after")
+    prints = written(item_fingerprints(benchmark, window, gram, item_col, item_text).select("item", "fp", of.alias("of"), F.xxhash64(of).alias("context")), "decontamination-items")
+    short = sorted(r.k for r in prints.filter("of.need = of.k").select("of.k").distinct().collect())  # less than `window`
+    some_items = not prints.isEmpty()
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(prints, ["fp"], bits) if some_items else None)  # 2 ** bits bits
     own = text if text in keep else OWN + "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if text in keep else [F.col(text).cast("string").alias(own)]))
     others = [f for f in rows.schema.fields if f.name != own or text in keep]
     names = [f.name for f in others]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_words bigint", f"`{OWN}found` {_CANDIDATES}"])
-    kind = pa.list_(pa.struct([("k", pa.int32()), ("words", pa.string()), ("places", pa.list_(pa.int64()))]))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_words bigint", f"`{OWN}found` {_FOUND}"])
+    said = pa.list_(pa.string())
+    kind = pa.list_(pa.struct([("fp", pa.int64()), ("k", pa.int32()), ("need", pa.int32()), ("gram", pa.string()), ("before", said), ("after", said), ("places", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -136,7 +177,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             done, n, found = -1, [], {}
 
             def out(lo: int) -> pa.RecordBatch:
-                lists = [[{"k": k, "words": words_.decode(), "places": sorted(set(p))} for (k, words_), p in found.get(t, {}).items()] for t in range(len(n))]
+                lists = [[dict(zip(_NAMES, (*key, sorted(set(p))), strict=True)) for key, p in found.get(t, {}).items()] for t in range(len(n))]
                 return pa.RecordBatch.from_arrays([*rest.slice(lo, len(n)).columns, pa.array(n, pa.int64()), pa.array(lists, kind)], names=[*names, "n_words", OWN + "found"])
 
             for lo, hi, before, w in _parts(texts, window - 1):
@@ -145,7 +186,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                     n, found = [], {}
                 done = lo
                 n = (np.diff(w.first) + before).tolist()
-                for t, mine in (_candidates(w, ks, sent.value, bits, window, gram) if ks else {}).items():
+                for t, mine in (_candidates(w, short, sent.value, bits, window, gram, choose) if some_items else {}).items():
                     for key, places in mine.items():
                         found.setdefault(t, {}).setdefault(key, []).extend(p + before for p in places)
             # The words of a long text are counted by its last part; one without words has no part.
@@ -155,12 +196,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     marked = written(rows.mapInArrow(run, schema).withColumn(OWN + "row", F.monotonically_increasing_id()), "decontamination-rows")
     none = marked.filter(F.size(OWN + "found") == 0)
     some = marked.filter(F.size(OWN + "found") > 0)
-    each = some.select(OWN + "row", F.explode(OWN + "found").alias("c")).select(OWN + "row", "c.k", "c.words", "c.places")
-    met = each.join(windows.select("item", "k", "words").distinct(), ["k", "words"])
-    place = F.explode("places")
-    items = met.select(OWN + "row", "item").distinct().groupBy(OWN + "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = some.select(OWN + "row", F.explode(OWN + "found").alias("f")).select(OWN + "row", "f.*")
+    met = _meetings(found, prints.select("fp", "of").distinct(), FEW)
+    alike = met.filter((F.col("need") == F.col("of.need")) & (F.col("gram") == F.col("of.gram")))
+    extended = alike.withColumn("left", _agreeing("before", "of.before")).withColumn("right", _agreeing("after", "of.after"))
+    hits = extended.filter(F.col("left") + F.col("k") + F.col("right") >= F.col("need"))
+    of_items = prints.withColumnRenamed("of", "other")
+    seen = hits.select(OWN + "row", "fp", "of").distinct().withColumn("context", F.xxhash64("of"))
+    named = seen.join(of_items, ["fp", "context"]).filter(F.col("of") == F.col("other"))
+    items = named.select(OWN + "row", "item").distinct().groupBy(OWN + "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     # Spans begin where no window began or reached before.
-    starts = met.select(OWN + "row", "k", place.alias("start")).groupBy(OWN + "row", "start").agg((F.col("start") + F.max("k")).alias("stop"))
+    ends = hits.select(OWN + "row", F.explode("places").alias("at"), "k", "left", "right").select(OWN + "row", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("k") + F.col("right")).alias("stop"))
+    starts = ends.groupBy(OWN + "row", "start").agg(F.max("stop").alias("stop"))
     order = Window.partitionBy(OWN + "row").orderBy("start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = starts.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

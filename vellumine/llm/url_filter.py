@@ -3,11 +3,14 @@
 `split_url` and `matching_rule` are plain expressions. `host_scores` runs a personalised PageRank from trusted hosts
 along the links (a trusted host vouches for what it links to) and one from blocked hosts against the links (who links
 to a blocked host is suspect), as joins and sums over host edges. A host whose distrust is at least `threshold` of its
-trust and distrust together is blocked; a host without either is allowed.
+trust and distrust together is blocked, if it has enough of it: at least `least` of what the blocked seed with the fewest
+blocked pages starts with. So a single way of links to a blocked host tells only up to some length (28 links without any
+branch at 0.01, fewer with branches), and a host beyond it, like one without any score, is allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the verdict of
 the empty host, which is no node of the graph: allow. A null html has no links. Repeated rows are judged alike. An
-empty table gives no rows.
+empty table gives no rows. A page of any length is read whole by the JVM, one row at a time. Own columns are only those of
+`keep`; others don't matter, whatever their names, but a column kept must not be named as one of the results.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, round
     return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, least: float = 0.01, damping: float = 0.85, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """keep, host, path, rule, verdict, trust, distrust for each page. The rules decide where one fits, else the host's scores."""
     host, path = split_url(F.col(url))
     parts = pages.select(*keep, host.alias("host"), path.alias("path"))
@@ -91,9 +94,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, url:
     ruled = parts.withColumns({"rule": rule, "said": said})
     seeds = ruled.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"))
     edges = written(host_links(pages, host, html), "host-links")
-    scores = host_scores(edges, seeds).select(F.col("host").alias("host"), "trust", "distrust")
+    start = seeds.filter("blocked > 0").agg(((1 - damping) * F.min("blocked") / F.sum("blocked")).alias("start"))  # one row
+    scores = host_scores(edges, seeds, damping).join(F.broadcast(start)).select("host", "trust", "distrust", "start")
     judged = ruled.join(scores, "host", "left")
-    bad = F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))
-    method = F.when((F.coalesce(F.col("distrust"), F.lit(0.0)) > 0) & bad, "block").otherwise("allow")
+    bad = (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") >= least * F.col("start"))
+    method = F.when(bad, "block").otherwise("allow")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return judged.select(*keep, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), zero("trust"), zero("distrust"))

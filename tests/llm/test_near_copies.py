@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vellumine.llm import near_copies, simhash, stages
 
@@ -55,6 +56,8 @@ def test_every_similar_pair_is_found(spark, texts, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
     monkeypatch.setattr(near_copies, "SLICE", 7)
     monkeypatch.setattr(near_copies, "SAMPLE", 1)  # frequent shingles are known
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", 2000)
     got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
@@ -66,3 +69,17 @@ def test_the_stage_drops_copies_far_in_bits(spark, texts):
     assert kept == set(least)
     prints = simhash.fingerprints(pa.array(texts))
     assert any(bin(int(prints[i]) ^ int(prints[j])).count("1") > simhash.FAR for j, i in enumerate(least))
+
+
+def test_a_text_is_shuffled_once_for_a_block(spark, monkeypatch):
+    """A group of 80 near copies: 3,160 pairs, but only a few texts go to the tasks that verify."""
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 3000)}" for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(changed(r, base, 1))) for i in range(80)], "doc_id bigint, text string")
+    made = {}
+    write = near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name, **o: made.setdefault(name, write(df, name, **o)))
+    found = near_copies.similar(docs.select("text"))
+    assert made["copies-pairs"].count() == 80 * 79 // 2
+    blocks = made["copies-ranges"].select("part", F.floor(F.col("index") / near_copies.BLOCK).alias("n")).distinct().count()
+    assert blocks <= 2 + made["copies-ranges"].select("part").distinct().count() and found.count() == 80 * 79 // 2

@@ -21,7 +21,9 @@ from vellumine.operators import metrics as K
 from vellumine.operators import sections as S
 from vellumine.operators import validation as V
 from vellumine.operators.documents import postprocess
+from vellumine.operators.keyed_table import KeyedTable
 from vellumine.plans.structure import GENERATORS, PROMPT, RETRY_TOKENS, SHORT_PROMPT, TEXT_MARK, structure
+from vellumine.session import shared_folder
 from vellumine.sources import files, markup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,6 +491,22 @@ def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.upsert(target, source, "posterId", now).select("posterId", "doi", "domain", (F.col("updated") == now).alias("was_updated"))
 
 
+@query(
+    """SELECT m.posterId, m.doi, coalesce(s_name, m.domain) AS domain, m.was_updated OR s_name IS NOT NULL AS was_updated FROM (
+      SELECT coalesce(c_custkey, k) AS posterId, CASE WHEN k IS NOT NULL THEN total ELSE c_nationkey END AS doi, CASE WHEN k IS NULL THEN c_mktsegment END AS domain, k IS NOT NULL AS was_updated
+      FROM (SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer) FULL JOIN (SELECT o_custkey + 7 AS k, count(*) AS total FROM orders GROUP BY o_custkey) ON c_custkey = k
+    ) m LEFT JOIN supplier ON s_suppkey = m.posterId"""
+)
+def keyed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets: created, an upsert, then an update of one column."""
+    old, now = F.lit("2020-01-01").cast("timestamp"), F.lit(NOW).cast("timestamp")
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("posterId"), F.col("c_nationkey").cast("long").alias("doi"), F.col("c_mktsegment").alias("domain"), old.alias("created"), old.alias("updated"))
+    kept = KeyedTable(spark, shared_folder(spark, "keyed-table"), target.schema, "posterId", buckets=32).create(target)
+    kept.upsert(table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 7).alias("posterId")).agg(F.count("*").alias("doi")), now)
+    kept.update(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("posterId"), F.col("s_name").alias("domain")), ["domain"], now)
+    return kept.rows().select("posterId", "doi", "domain", (F.col("updated") == now).alias("was_updated"))
+
+
 @query(
     f"""SELECT doc_id, md5(coalesce(string_agg(array_to_string(w, ' '), chr(10) ORDER BY pos) FILTER (len(w) > 0), '')) AS digest
     FROM (SELECT doc_id, pos, regexp_extract_all(line, '[A-Za-z0-9]+') AS w FROM {LINES}) GROUP BY doc_id"""

@@ -125,3 +125,31 @@ def current(spark: SparkSession, state: str) -> DataFrame:
     columns = [c for c in steps[0].columns if c not in ("batch", "step")]
     last = steps[0].unionByName(steps[1]).groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("batch", "step")).alias("job"))
     return last.select("job.*")
+
+
+def metrics(spark: SparkSession, state: str) -> DataFrame:
+    """batch, seen (changed jobs), taken, expired, completed, failed, at (the last change): read from what the batches wrote, so it
+    survives the driver, and a batch that is run again is counted once."""
+    part = lambda name, more: spark.read.schema(f"{JOBS}, {more}batch bigint").parquet(f"{state}/changes/{name}")
+    first, ended = part("state", "taken boolean, "), part("ended", "")
+    bad = F.col("status") == J.FAILED
+    of_state = first.select("batch", "updated", F.lit(True).alias("seen"), "taken", (bad & F.col("error").startswith("Job stuck")).alias("expired"), F.lit(False).alias("completed"), F.lit(False).alias("failed"))
+    of_work = ended.select("batch", "updated", *[F.lit(False).alias(c) for c in ("seen", "taken", "expired")], (F.col("status") == J.COMPLETED).alias("completed"), bad.alias("failed"))
+    counts = [F.count_if(F.col(c)).alias(c) for c in ("seen", "taken", "expired", "completed", "failed")]
+    return of_state.unionByName(of_work).groupBy("batch").agg(*counts, F.max("updated").alias("at"))
+
+
+def worker_health(numbers: DataFrame, now: Column, model: bool = True, minutes: int = 10, most_failed: float = 0.5) -> DataFrame:
+    """One row: status (healthy, degraded) and its reasons. numbers: from `metrics`. A worker without batches is degraded, too."""
+    total = numbers.agg(F.count("*").alias("batches"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("taken", "expired", "completed", "failed")], F.max("at").alias("at"))
+    late = F.col("at") < now - F.make_dt_interval(mins=F.lit(minutes))
+    told = F.array_compact(
+        F.array(
+            F.when(~F.lit(model), F.lit("no model is loaded")),
+            F.when(F.col("batches") == 0, F.lit("no batch yet")),
+            F.when(late, F.concat(F.lit("no change since "), F.date_format("at", "yyyy-MM-dd HH:mm:ss"))),
+            F.when(F.col("failed") > most_failed * (F.col("failed") + F.col("completed")), F.concat("failed", F.lit(" of "), F.col("failed") + F.col("completed"), F.lit(" jobs failed"))),
+            F.when(F.col("expired") > 0, F.concat("expired", F.lit(" jobs were stuck"))),
+        )
+    )
+    return total.withColumn("reasons", told).withColumn("status", F.when(F.size("reasons") == 0, "healthy").otherwise("degraded"))

@@ -83,3 +83,30 @@ def test_a_text_is_shuffled_once_for_a_block(spark, monkeypatch):
     assert made["copies-pairs"].count() == 80 * 79 // 2
     blocks = made["copies-ranges"].select("part", F.floor(F.col("index") / near_copies.BLOCK).alias("n")).distinct().count()
     assert blocks <= 2 + made["copies-ranges"].select("part").distinct().count() and found.count() == 80 * 79 // 2
+
+
+def test_golay_codewords_lead_the_stage(spark, monkeypatch):
+    """A chain of near copies within 4 bits is linked by its Golay codewords alone, verified; the join by shingles adds nothing to it."""
+    r = random.Random(7)
+    base = [f"w{r.randint(0, 3000)}" for _ in range(400)]
+    texts = [" ".join([*base[: 5 * i], f"x{i}", *base[5 * i + 1 :]]) for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (40, " ".join(f"v{i}" for i in range(50)))], "doc_id bigint, text string")
+    made = {}
+    write = near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name, **o: made.setdefault(name, write(df, name, **o)))
+    near_copies._grouped(docs, near_copies.SIMILARITY, near_copies.SHINGLE, "doc_id", "text", None)
+    bits = [int(x) for x in simhash.fingerprints(pa.array(texts))]
+    links = {(i, j) for i in range(40) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= simhash.FAR}
+    assert made["copies-golay-links"].count() == len({i for link in links for i in link}) - 1 > 20
+    inside = made["copies-golay-groups"].select("node").union(made["copies-golay-groups"].select("root")).distinct()
+    left = made["copies-pairs"]
+    assert left.join(inside.select(F.col("node").alias("a")), "a").join(inside.select(F.col("node").alias("b")), "b").count() == 0
+
+
+def test_what_is_found_does_not_grow_with_the_square(spark):
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 3000)}" for _ in range(120)]
+    texts = spark.createDataFrame([(" ".join(changed(r, base, 1)),) for _ in range(80)], "text string")
+    found = near_copies.similar(texts, groups=spark.createDataFrame([], "node bigint, root bigint"))
+    assert found.count() < 5 * 80
+    assert simhash.components(found).count() == 79

@@ -1,15 +1,20 @@
-"""Near copies by shared words: texts are linked if their sets of five-word shingles have a Jaccard similarity of at least
+"""Near copies: texts are linked if their sets of five-word shingles have a Jaccard similarity of at least
 0.8; groups are the connected components. Exact up to collisions of 64-bit hashes.
 
-Copies have one set, and only distinct sets are compared. All sets are sorted in one order, frequent shingles (by a sample)
+Copies have one set, and only distinct sets are compared. First op10's method: Golay codewords of SimHash fingerprints give
+links of at most 4 of 64 bits that connect their groups (no pairs within a group), and each is verified on the whole sets. What similar sets
+differ in more bits (most of those near 0.8) is then found by shared shingles, and only between the groups of the first step.
+
+For that all sets are sorted in one order, frequent shingles (by a sample)
 last. Of n shingles a similar set shares at least a = ceil(0.8 n), so two similar sets share at least c of the first
 n - a + c of each (c is `SHARED`, or the smaller set's a if that is less). These are the keys. Under a key only pairs meet
 whose sizes and places allow the similarity; pairs that meet under fewer than c keys are dropped, and every other pair is
 verified on the whole sets. The order and the sample change what is looked at, never the result.
 
-A task that finds pairs holds one key's sets (20 bytes each); pairs leave in slices. To be verified, sets are dealt into
+A task that finds such pairs holds one key's sets (20 bytes each); pairs leave in slices. To be verified, sets are dealt into
 blocks of at most `BLOCK` sets or about `BLOCK_BYTES` of text, those of a group together. A task holds a block's sets, and the
-text of each of their partners comes once for a block, not once for a pair. The pairs of a group of similar sets grow with its square.
+text of each of their partners comes once for a block, not once for a pair. The pairs that meet (two hashes each) grow with the
+square of a group of similar sets; what is verified and found doesn't: a block compares only what its own links don't connect yet.
 
 Defined results: as `simhash.near_duplicates`. Texts without words are copies of each other and near to nothing else; a
 text of fewer than five words has itself as its shingle.
@@ -24,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import dealt_join, release, scratch, shuffled_by_range, written
-from vellumine.llm.simhash import SMALL, components
+from vellumine.llm.common import bit_table, dealt_join, release, scratch, shuffled_by_range, written
+from vellumine.llm.simhash import SMALL, components, fingerprints, linked
 from vellumine.llm.words import NOT_SPACE, Words, grams, is_long, long_text, mixed, pieces, plain, words
 
 SHINGLE, SIMILARITY, SHARED = 5, 0.8, 8
@@ -35,6 +40,8 @@ SAMPLE, FREQUENT = 32, 1 << 17
 SLICE = 1 << 20
 #: Sets that are verified together, and bytes of their texts.
 BLOCK, BLOCK_BYTES = 64, 8 << 20
+#: Bits of the hashes by which texts are picked before they are shuffled.
+BITS = 26
 _SLACK = 1e-9
 
 
@@ -119,23 +126,25 @@ def _met(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, simi
             lo = hi
 
 
-def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """a, b: prints of every two different sets that are similar. texts: text, without nulls."""
+def _each(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray, pa.Scalar]]:
+    """Each set once a task."""
+    seen = set()
+    for batch in batches:
+        column = plain(batch.column("text"))
+        for lo, hi in pieces(column):
+            part = column.slice(lo, hi - lo)
+            for i, s in enumerate(shingle_sets(part, shingle)):
+                if len(s) and (fp := set_print(s)) not in seen:
+                    seen.add(fp)
+                    yield fp, s, part[i]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.Scalar]]:
-        """Each set once a task."""
-        seen = set()
-        for batch in batches:
-            column = plain(batch.column("text"))
-            for lo, hi in pieces(column):
-                part = column.slice(lo, hi - lo)
-                for i, s in enumerate(shingle_sets(part, shingle)):
-                    if len(s) and (fp := set_print(s)) not in seen:
-                        seen.add(fp)
-                        yield fp, s, part[i]
+
+def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, groups: DataFrame | None = None) -> DataFrame:
+    """a, b: prints of every two different sets that are similar. texts: text, without nulls. groups (node, root; roots need no row): sets that are
+    known to be connected; then only links between groups are found, as many as connect the same sets as all do."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, _ in each(batches):
+        for _, s, _ in _each(batches, shingle):
             yield pa.RecordBatch.from_arrays([_signed(s)], names=["key"])
 
     often = texts.filter(F.xxhash64("text") % SAMPLE == 0).mapInArrow(sampled, "key bigint").groupBy("key").count().filter("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
@@ -154,7 +163,7 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
                 [_signed(np.concatenate(keys)), _signed(np.repeat(np.array(fp, dtype=np.uint64), count)), pa.array(np.repeat(np.array(n, dtype=np.int32), count)), pa.array(place)], names=["key", "fp", "n", "place"]
             )
 
-        for fp, s, _ in each(batches):
+        for fp, s, _ in _each(batches, shingle):
             held.append((fp, len(s), set_keys(s, common, similarity)))
             size += len(held[-1][2])
             if size > 50_000:
@@ -186,14 +195,36 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
 
     keyed = texts.mapInArrow(emit, "key bigint, fp bigint, n int, place int").repartition("key").sortWithinPartitions("key")
     pairs = keyed.mapInArrow(meet, "a bigint, b bigint, least int").groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("least").alias("least"))
-    pairs = written(pairs.filter("keys >= least").select("a", "b"), "copies-pairs")
+    pairs = pairs.filter("keys >= least").select("a", "b")
+    if groups is not None:
+        for c in ("a", "b"):
+            pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")), c, "left")
+        pairs = pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    return verified(texts, written(pairs, "copies-pairs"), similarity, shingle, groups is not None)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, spanning: bool = False) -> DataFrame:
+    """The pairs (a, b: different prints of sets of the texts, none empty, each pair once; a table) that are similar. spanning: only as many of them as
+    connect the same sets; what a block's links connect already isn't compared."""
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
+    marks = texts.sparkSession.sparkContext.broadcast(bit_table(ends, ["fp"], BITS))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, _, text in each(batches):
-            yield pa.RecordBatch.from_arrays([_signed(np.array([fp], dtype=np.uint64)), pa.array([text.as_py()], pa.string())], names=["fp", "text"])
+        for fp, _, text in _each(batches, shingle):
+            at = fp >> (64 - BITS)
+            if marks.value[at >> 3] >> (at & 7) & 1:
+                yield pa.RecordBatch.from_arrays([_signed(np.array([fp], dtype=np.uint64)), pa.array([text.as_py()], pa.string())], names=["fp", "text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, mine = None, {}
+        above: dict[int, int] = {}  # of a set that the block's links connect: another one, towards its group's first
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
         for batch in batches:
             column = plain(batch.column("text"))
             for lo, hi in pieces(column):
@@ -201,18 +232,21 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
                 found = []
                 for i, s in enumerate(shingle_sets(column.slice(lo, hi - lo), shingle)):
                     if blocks[i] != block:
-                        block, mine = blocks[i], {}
+                        block, mine, above = blocks[i], {}, {}
                     if b[i] is None:
                         mine[a[i]] = s
                         continue
                     for x in partners[i]:
+                        if spanning and top(x) == top(b[i]):
+                            continue
                         both = len(np.intersect1d(mine[x], s, assume_unique=True))
                         if both >= similarity * (len(mine[x]) + len(s) - both) - _SLACK:
                             found.append((x, b[i]))
+                            above[top(x)] = top(b[i])
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    needed = ends.distinct()
     met = written(texts.mapInArrow(named, "fp bigint, text string").join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "copies-texts")
     # The sets that lead pairs, by the first set that each meets, so that those of a group stand together.
     least = pairs.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("least"))
@@ -228,6 +262,18 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     return own.unionByName(others).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("b")).mapInArrow(verify, "a bigint, b bigint")
 
 
+def _golay_links(texts: DataFrame, prints: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b: similar sets within 4 bits, as many as connect the same sets. prints: fp, bits (op10's fingerprint of a text of the set)."""
+    some = prints.filter("fp <> 0")
+    first = written(some.groupBy("bits").agg(F.min("fp").alias("first")), "copies-bits")
+    near = linked(first.select(F.col("bits").alias("fp")), direct=True)
+    of = [first.select(F.col("bits").alias(c), F.col("first").alias(f"of_{c}")) for c in ("a", "b")]
+    links = near.join(of[0], "a").join(of[1], "b").select(F.col("of_a").alias("x"), F.col("of_b").alias("y"))
+    links = links.unionByName(some.join(first, "bits").select(F.col("fp").alias("x"), F.col("first").alias("y"))).filter("x <> y")
+    pairs = written(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "copies-golay-pairs")
+    return written(verified(texts, pairs, similarity, shingle, spanning=True), "copies-golay-links")
+
+
 def _grouped(docs: DataFrame, similarity: float, shingle: int, id_col: str, text: str, row: str | None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, row of each document; fp, root, least of each set). least: null or not, id and row of its first document."""
 
@@ -236,15 +282,18 @@ def _grouped(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
         for batch in batches:
             column = plain(batch.column("text"))
             for lo, hi in pieces(column):
-                prints = np.array([set_print(s) for s in shingle_sets(column.slice(lo, hi - lo), shingle)], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")), _signed(prints)], names=["doc_id", "row", "fp"])
+                part = column.slice(lo, hi - lo)
+                prints = np.array([set_print(s) for s in shingle_sets(part, shingle)], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")), _signed(prints), _signed(fingerprints(part))], names=["doc_id", "row", "fp", "bits"])
 
     number = F.lit(None).cast("bigint") if row is None else F.col(row)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), number.alias("row"))
-    marked = written(rows.mapInArrow(mark, "doc_id bigint, row bigint, fp bigint"), "copies-prints")
+    marked = written(rows.mapInArrow(mark, "doc_id bigint, row bigint, fp bigint, bits bigint"), "copies-prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    prints = written(marked.groupBy("fp").agg(least), "copies-distinct")
-    roots = components(similar(rows.select("text"), similarity, shingle))
+    prints = written(marked.groupBy("fp").agg(least, F.min("bits").alias("bits")), "copies-distinct")
+    texts = rows.select("text")
+    near = _golay_links(texts, prints, similarity, shingle)
+    roots = components(near.unionByName(similar(texts, similarity, shingle, written(components(near), "copies-golay-groups"))))
     return marked, written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "copies-groups")
 
 

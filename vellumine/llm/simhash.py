@@ -176,8 +176,8 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SMALL = 8
 
 
-def _grown(fp: np.ndarray, far: int) -> np.ndarray:
-    """For each fingerprint the least of its linked group."""
+def _grown(fp: np.ndarray, far: int, direct: bool = False) -> np.ndarray:
+    """For each fingerprint the least of its linked group; direct: instead the one from which it was reached, so one within `far` bits."""
     root = np.full(len(fp), -1, dtype=np.int64)
     order = np.argsort(fp, kind="stable")
     for first in order.tolist():
@@ -189,8 +189,9 @@ def _grown(fp: np.ndarray, far: int) -> np.ndarray:
             free = np.flatnonzero(root < 0)
             if not len(free):
                 break
-            near = free[np.bitwise_count(fp[free] ^ fp[todo.pop()]) <= far]
-            root[near] = first
+            now = todo.pop()
+            near = free[np.bitwise_count(fp[free] ^ fp[now]) <= far]
+            root[near] = now if direct else first
             todo += near.tolist()
     return fp[root]
 
@@ -207,7 +208,7 @@ def _found(a: np.ndarray, b: np.ndarray, key: int | None = None, chunk: int = 0)
     return pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array([key] * n, pa.int64()), pa.array([chunk] * n, pa.int32())], names=["a", "b", "key", "chunk"])
 
 
-def _linked_runs(fp: np.ndarray, key: np.ndarray, role: np.ndarray, far: int) -> Iterator[pa.RecordBatch]:
+def _linked_runs(fp: np.ndarray, key: np.ndarray, role: np.ndarray, far: int, direct: bool = False) -> Iterator[pa.RecordBatch]:
     """Links within the runs of equal keys; whole runs only."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
@@ -222,7 +223,7 @@ def _linked_runs(fp: np.ndarray, key: np.ndarray, role: np.ndarray, far: int) ->
         run = fp[edge[r] : edge[r + 1]]
         if (role[edge[r] : edge[r + 1]] & 1).any():
             run = np.unique(run)
-            low = _grown(run, far)
+            low = _grown(run, far, direct)
             a.append(run[low != run])
             b.append(low[low != run])
     a_, b_ = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (a, b))
@@ -231,8 +232,8 @@ def _linked_runs(fp: np.ndarray, key: np.ndarray, role: np.ndarray, far: int) ->
         yield _found(np.maximum(a_, b_)[both], np.minimum(a_, b_)[both])
 
 
-def linked(prints: DataFrame, far: int = FAR, block: int = 4096) -> DataFrame:
-    """a, b: links that connect the same groups as all links do. prints: fp (bigint), distinct."""
+def linked(prints: DataFrame, far: int = FAR, block: int = 4096, direct: bool = False) -> DataFrame:
+    """a, b: links that connect the same groups as all links do. prints: fp (bigint), distinct. direct: only links of at most `far` bits."""
     if far > FAR:
         raise ValueError(f"the keys find what differs in at most {FAR} bits")
 
@@ -287,18 +288,18 @@ def linked(prints: DataFrame, far: int = FAR, block: int = 4096) -> DataFrame:
                 yield _found(part, part, int(key[edge[r]]), c)
         keep = np.repeat(size <= block, size)
         if keep.any():
-            yield from _linked_runs(fp[keep], key[keep], role[keep], far)
+            yield from _linked_runs(fp[keep], key[keep], role[keep], far, direct)
 
     keyed = prints.mapInArrow(emit, "key bigint, fp bigint, role tinyint").repartition("key").sortWithinPartitions("key")
     found = written(keyed.mapInArrow(meet, _FOUND).distinct(), "simhash-links")  # a link is found under several keys
     links = found.filter("key IS NULL").select("a", "b")
     large = found.filter("key IS NOT NULL")
     if not large.isEmpty():
-        links = links.unionByName(_large_keys(large, far))
+        links = links.unionByName(_large_keys(large, far, direct))
     return links.distinct()
 
 
-def _large_keys(rows: DataFrame, far: int) -> DataFrame:
+def _large_keys(rows: DataFrame, far: int, direct: bool = False) -> DataFrame:
     """Links under keys of many fingerprints: each pair of blocks is a group of its own, of two blocks at most."""
     chunks = rows.groupBy("key").agg(F.max("chunk").alias("n"))
     every = F.sequence(F.lit(0), F.col("n"))
@@ -306,7 +307,7 @@ def _large_keys(rows: DataFrame, far: int) -> DataFrame:
 
     def grow(_: tuple, group: pa.Table) -> pa.Table:
         fp = np.unique(group.column("fp").to_numpy().view(np.uint64))
-        low = _grown(fp, far)
+        low = _grown(fp, far, direct)
         return pa.Table.from_arrays([_signed(fp[low != fp]), _signed(low[low != fp])], names=["a", "b"])
 
     return dealt.groupBy("key", "pair").applyInArrow(grow, "a bigint, b bigint")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +104,8 @@ _SUPER, _SUB = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉"
 
 
 @arrow("string")
-def nfkd(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFKD")
+def nfkd(texts: list[str | None]) -> list[str | None]:
+    return [t and unicodedata.normalize("NFKD", t) for t in texts]
 
 
 def normalize(c: Column, legacy_comma_quirk: bool = True) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,7 +54,7 @@ def metadata_row(document: Column, conference_keys: str = "reference") -> Column
     columns = [c for c in METADATA if c != "posterId"]
 
     @arrow(ROW)
-    def run(documents: pd.Series) -> pd.DataFrame:
+    def run(documents: list[str | None]) -> list[tuple]:
         rows = []
         for d in documents:
             try:
@@ -63,11 +62,8 @@ def metadata_row(document: Column, conference_keys: str = "reference") -> Column
             except RecursionError:  # nested too deeply to be written as text
                 row = _row({}, names)
             text = lambda v: v if v is None else storable(v) if isinstance(v, str) else json.dumps(v)
-            rows.append([[text(x) for x in row[c]] if c in _LISTS and isinstance(row.get(c), list) else _whole(row.get(c)) if c in _YEARS else None if c in _LISTS else text(row.get(c)) for c in columns])
-        frame = pd.DataFrame(rows, columns=columns)
-        for c in _YEARS:
-            frame[c] = frame[c].astype("Int64")
-        return frame
+            rows.append(tuple([text(x) for x in row[c]] if c in _LISTS and isinstance(row.get(c), list) else _whole(row.get(c)) if c in _YEARS else None if c in _LISTS else text(row.get(c)) for c in columns))
+        return rows
 
     return run(document)
 

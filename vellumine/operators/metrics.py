@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +61,9 @@ def _facets(text: str | None) -> tuple[str, list[str], int, str | None]:
 
 
 @arrow("struct<all_text:string,sections:array<string>,fields:long,error:string>")
-def facets(documents: pd.Series) -> pd.DataFrame:
+def facets(documents: list[str | None]) -> list[tuple]:
     """What the scores need of a JSON document, in one pass. error: why a text has none of it."""
-    return pd.DataFrame([_facets(d) for d in documents], columns=["all_text", "sections", "fields", "error"])
+    return [_facets(d) for d in documents]
 
 
 def word_capture(generated: Column, reference: Column) -> Column:

@@ -10,7 +10,6 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +65,8 @@ def structured(text: str) -> dict:
 
 
 @arrow("string")
-def _by_rule(prompts: pd.Series) -> pd.Series:
-    return prompts.map(lambda p: json.dumps(structured((p or "").partition(TEXT_MARK)[2]), ensure_ascii=False))
+def _by_rule(prompts: list[str | None]) -> list[str]:
+    return [json.dumps(structured((p or "").partition(TEXT_MARK)[2]), ensure_ascii=False) for p in prompts]
 
 
 GENERATORS["rules"] = lambda prompt, most_tokens: _by_rule(prompt)
@@ -117,6 +116,8 @@ def batch_generator(load: Callable[[], Callable[[list[str], int], list[str]]]) -
     """A generator of a model: load gives a function of (prompts, most tokens) to answers. A worker loads it once and asks it a batch at a time."""
 
     def generate(prompt: Column, most_tokens: int) -> Column:
+        import pandas as pd  # only models take batches as pandas has them
+
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for prompts in batches:

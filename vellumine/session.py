@@ -33,8 +33,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='vellumine-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets the workers import this package also where it is not installed but only on the driver's path."""
+    """Lets the workers import this package also where it is not installed but only on the driver's path, and bounds what a worker is sent at once: 10,000
+    long texts would be a batch of Spark's 64 MB."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

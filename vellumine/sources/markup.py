@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,9 @@ def _alto(document: str | None) -> str | None:
 
 
 @arrow("string")
-def alto_text(xml: pd.Series) -> pd.Series:
+def alto_text(xml: list[str | None]) -> list[str | None]:
     """A line for each TextBlock: the CONTENT of its strings, empty ones left out. Name spaces don't matter; null for what is no XML."""
-    return xml.map(_alto).astype("object")
+    return [_alto(x) for x in xml]
 
 
 def html_lines(html: Column, tags: tuple[str, ...] = ("h1", "p", "li")) -> Column:

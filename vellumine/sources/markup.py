@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame
@@ -10,13 +11,20 @@ from pyspark.sql import functions as F
 from vellumine.functions.udf import arrow
 
 
+def _elements(node: ElementTree.Element, tags: list[str]) -> Iterator[ElementTree.Element]:
+    """Those of the tags, in document order; a single tag (the rule) is looked for by the tree itself."""
+    return node.iter(tags[0]) if len(tags) == 1 else (e for e in node.iter() if e.tag in tags)
+
+
 def _alto(document: str | None) -> str | None:
     try:
         root = ElementTree.fromstring((document or "").strip())
     except ElementTree.ParseError:
         return None
-    kind = lambda e: e.tag.rpartition("}")[2].rpartition(":")[2] if isinstance(e.tag, str) else ""
-    blocks = ([s.get("CONTENT") for s in block.iter() if kind(s) == "String" and s.get("CONTENT")] for block in root.iter() if kind(block) == "TextBlock")
+    tags = {e.tag for e in root.iter()}
+    named = lambda kind: [t for t in tags if isinstance(t, str) and t.rpartition("}")[2].rpartition(":")[2] == kind]
+    block_tags, string_tags = named("TextBlock"), named("String")
+    blocks = ([c for s in _elements(block, string_tags) if (c := s.get("CONTENT"))] for block in _elements(root, block_tags))
     return "\n".join(" ".join(words) for words in blocks if words)
 
 

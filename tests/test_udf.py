@@ -4,9 +4,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellumine.functions import udf
-from vellumine.functions.json_repair import parse_json
+from vellumine.functions.json_repair import attempt, parse_json
 from vellumine.functions.text import nfkd
 from vellumine.session import BATCH_BYTES
+from vellumine.sources.markup import _alto
 
 
 def test_long_texts_are_python_values_by_slices():
@@ -34,3 +35,18 @@ def test_a_worker_gets_batches_of_bounded_bytes(spark):
 def test_functions_of_several_columns_keep_nulls(spark):
     df = spark.createDataFrame([("ﬁn", None), (None, "é")], "a string, b string").select(nfkd("a").alias("a"), nfkd("b").alias("b"), parse_json("a").alias("r"))
     assert [(x.a, x.b, x.r.value) for x in df.collect()] == [("fin", None, None), (None, "é", None)]
+
+
+def test_repairs_that_change_nothing_are_not_parsed_again(monkeypatch):
+    from vellumine.functions import json_repair
+
+    texts = []
+    load = json_repair.json.loads
+    monkeypatch.setattr(json_repair.json, "loads", lambda s: texts.append(s) or load(s))
+    assert attempt('{"k":1,"s":[{"a":"cut')[1] == "JSON parse failed"
+    assert len(texts) == len(set(texts)) < len(json_repair.LADDER)
+
+
+def test_alto_of_several_name_spaces_and_nested_blocks():
+    xml = '<a xmlns="u" xmlns:p="v"><TextBlock><p:String CONTENT="1"/><String CONTENT="2"/><TextBlock><String CONTENT="3"/><String/></TextBlock></TextBlock><p:TextBlock><String CONTENT="4"/></p:TextBlock></a>'
+    assert _alto(xml) == "1 2 3\n3\n4" and _alto("<TextBlock/>") == "" and _alto("<a>") is None and _alto(None) is None

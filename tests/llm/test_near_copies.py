@@ -110,3 +110,41 @@ def test_what_is_found_does_not_grow_with_the_square(spark):
     found = near_copies.similar(texts, groups=spark.createDataFrame([], "node bigint, root bigint"))
     assert found.count() < 5 * 80
     assert simhash.components(found).count() == 79
+
+
+def test_long_keys_lose_no_link(spark, texts, monkeypatch):
+    """Keys of three sets are long, with one centre: most links are found between groups."""
+    monkeypatch.setattr(near_copies, "LONG", 2)
+    monkeypatch.setattr(near_copies, "CENTRES", 1)
+    monkeypatch.setattr(near_copies, "SLICE", 7)
+    r = random.Random(5)
+    base = [f"b{r.randint(0, 3000)}" for _ in range(150)]
+    texts = [*texts, *(" ".join(changed(r, base, r.randint(1, 4))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_least(texts)
+
+
+def test_pairs_that_meet_do_not_grow_with_the_square(spark, monkeypatch):
+    """Variants of one text, near copies and others: what leaves the tasks as pairs grows with them, not with their square."""
+    made = {}
+    write = near_copies.written
+    monkeypatch.setattr(near_copies, "written", lambda df, name, **o: made.setdefault(name, write(df, name, **o)))
+
+    def pairs(count):
+        made.clear()
+        r = random.Random(6)
+        base = [f"w{r.randint(0, 3000)}" for _ in range(120)]
+        texts = spark.createDataFrame([(" ".join(changed(r, base, 1 + i % 5)),) for i in range(count)], "text string")
+        found = near_copies.similar(texts, groups=spark.createDataFrame([], "node bigint, root bigint")).count()
+        return found, sum(made[name].count() for name in ("copies-pairs", "copies-pairs-apart") if name in made)
+
+    (_, less), (found, more) = pairs(200), pairs(400)
+    assert found >= 0.4 * 400 and more < 20 * 400 and more < 3 * less
+
+
+def test_bits_of_every_place(spark):
+    places = [0, 1, 32767, 32768, 65535, 65536, (1 << 17) - 1]
+    rows = spark.createDataFrame([((p << 47) - (1 << 64 if p >> 16 else 0),) for p in places], "m bigint")
+    got = near_copies.bit_table(rows, ["m"], 17)
+    assert len(got) == 1 << 14 and [i for i in range(1 << 17) if got[i >> 3] >> (i & 7) & 1] == places

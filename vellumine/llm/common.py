@@ -90,14 +90,13 @@ def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, least:
 
 def bit_table(rows: DataFrame, marks: list[str], bits: int) -> np.ndarray:
     """Which of 2 ** bits places the upper bits of the marks (bigint columns) take; collected in rows of 32,768 bits, so of a size that doesn't depend on the rows."""
-    places = rows.select(F.explode(F.array(*marks)).alias("m")).select(F.shiftrightunsigned("m", 64 - bits).alias("p"))
+    # Spark numbers buckets of 32,768 places from 1, for the places from 1.
+    places = rows.select(F.explode(F.array(*marks)).alias("m")).select((F.shiftrightunsigned("m", 64 - bits) + 1).alias("p"))
     each = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(1 << bits, dtype=bool)
-    for row in each.toLocalIterator():
-        # Buckets are numbered from 1 for places above 0; place 0 has bucket 0.
-        found = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row.bits), dtype=np.uint8), bitorder="little"))
-        out[(row.bucket - 1) * 32768 + 1 + found if row.bucket else -found] = True
-    return np.packbits(out, bitorder="little")
+    out = np.zeros(max(1 << bits, 32768) >> 3, dtype=np.uint8)
+    for row in each.collect():  # one job; an iterator would run one for each partition
+        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+    return out[: 1 << bits >> 3]
 
 
 _KEPT: dict[str, object] = {}

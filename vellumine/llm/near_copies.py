@@ -8,13 +8,16 @@ differ in more bits (most of those near 0.8) is then found by shared shingles, a
 For that all sets are sorted in one order, frequent shingles (by a sample)
 last. Of n shingles a similar set shares at least a = ceil(0.8 n), so two similar sets share at least c of the first
 n - a + c of each (c is `SHARED`, or the smaller set's a if that is less). These are the keys. Under a key only pairs meet
-whose sizes and places allow the similarity; pairs that meet under fewer than c keys are dropped, and every other pair is
-verified on the whole sets. The order and the sample change what is looked at, never the result.
+whose sizes and places allow the similarity; pairs that meet under fewer than c keys, or under fewer than what is missing behind
+one of them, are dropped, and every other pair is verified on the whole sets. The order and the sample change what is looked at, never the result.
+
+Keys of more than `LONG` sets are not expanded into pairs at once. Under each its sets first meet only the `CENTRES` sets that have least of
+their own. With the pairs of shorter keys these are verified and grouped; then long keys give the pairs that are in different groups
+still and can be similar at all. So every pair is verified, connected, or ruled out by its keys.
 
 A task that finds such pairs holds one key's sets (20 bytes each); pairs leave in slices. To be verified, sets are dealt into
 blocks of at most `BLOCK` sets or about `BLOCK_BYTES` of text, those of a group together. A task holds a block's sets, and the
-text of each of their partners comes once for a block, not once for a pair. The pairs that meet (two hashes each) grow with the
-square of a group of similar sets; what is verified and found doesn't: a block compares only what its own links don't connect yet.
+text of each of their partners comes once for a block, not once for a pair. A block compares only what its own links don't connect yet.
 
 Defined results: as `simhash.near_duplicates`. Texts without words are copies of each other and near to nothing else; a
 text of fewer than five words has itself as its shingle.
@@ -38,6 +41,8 @@ SHINGLE, SIMILARITY, SHARED = 5, 0.8, 8
 SAMPLE, FREQUENT = 32, 1 << 17
 #: Pairs that are compared at once.
 SLICE = 1 << 20
+#: A key of more sets is long: its sets first meet so many of them only, then only what isn't connected yet.
+LONG, CENTRES = 32, 16
 #: Sets that are verified together, and bytes of their texts.
 BLOCK, BLOCK_BYTES = 64, 8 << 20
 #: Bits of the hashes by which texts are picked before they are shuffled.
@@ -91,15 +96,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 _Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+_PAIRS, _KEYED = "a bigint, b bigint, least int", ("key", "fp", "n", "place")
 
 
-def _fitting(fp: np.ndarray, n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> _Pairs:
-    """Of the pairs x, y those that sizes and places allow: a < b (signed), and under how many keys they must meet."""
-    low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-    most = np.minimum(place[x], place[y]) + 1 + np.minimum(n[x] - 1 - place[x], n[y] - 1 - place[y])
-    fits = (fp[x] != fp[y]) & (low >= similarity * high - _SLACK) & (most >= similarity / (1 + similarity) * (low + high) - _SLACK)
+def _fitting(fp: np.ndarray, n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float, met: np.ndarray | None = None) -> _Pairs:
+    """Of the pairs x, y those that sizes and places allow: a < b (signed), and under how many keys they must meet: what they share up to a key and all
+    that one of them has behind it must be enough. met: how many keys up to this one the set can share, if that is known."""
+    low, high, behind = np.minimum(n[x], n[y]), np.maximum(n[x], n[y]), np.minimum(n[x] - 1 - place[x], n[y] - 1 - place[y])
+    before = np.minimum(place[x], place[y]) + 1 if met is None else np.minimum(met[x], met[y])
+    needed = np.ceil(similarity / (1 + similarity) * (low.astype(np.int64) + high) - _SLACK)
+    fits = (fp[x] != fp[y]) & (low >= similarity * high - _SLACK) & (before + behind >= needed)
     a, b = fp[x[fits]], fp[y[fits]]
-    return np.minimum(a, b), np.maximum(a, b), np.minimum(SHARED, least_shared(low[fits], similarity)).astype(np.int32)
+    least = np.maximum(np.minimum(SHARED, least_shared(low[fits], similarity)), needed[fits] - behind[fits])
+    return np.minimum(a, b), np.maximum(a, b), least.astype(np.int32)
 
 
 def _met(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[_Pairs]:
@@ -126,6 +135,71 @@ def _met(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, simi
             lo = hi
 
 
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where the runs of equal keys that are long begin and end."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    for r in np.flatnonzero(np.diff(edge) > LONG).tolist():
+        yield int(edge[r]), int(edge[r + 1])
+
+
+def _parted(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of keys that aren't long, and those of long ones, each set once under a key. Whole runs only."""
+    short, long = np.ones(len(key), dtype=bool), []
+    for lo, hi in _runs(key):
+        first = np.unique(fp[lo:hi], return_index=True)[1]
+        if len(first) > LONG:
+            short[lo:hi] = False
+            long.append(first + lo)
+    return np.flatnonzero(short), np.concatenate(long) if long else np.zeros(0, dtype=np.int64)
+
+
+def _central(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, met: np.ndarray, similarity: float) -> Iterator[_Pairs]:
+    """Of each run of a long key the pairs with the sets that have least of their own before it, which are nearest to what all share."""
+    for lo, hi in _runs(key):
+        order = np.lexsort((fp[lo:hi], (place[lo:hi] + 1 - met[lo:hi]) / n[lo:hi])) + lo
+        for at in range(0, hi - lo, SLICE // CENTRES):
+            x, y = np.arange(at, min(hi - lo, at + SLICE // CENTRES)).repeat(CENTRES), np.tile(np.arange(CENTRES), min(hi - lo - at, SLICE // CENTRES))
+            yield _fitting(fp, n, place, order[x[y < x]], order[y[y < x]], similarity, met)
+
+
+def _apart(key: np.ndarray, fp: np.ndarray, n: np.ndarray, place: np.ndarray, met: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[_Pairs]:
+    """Of each run of a long key the pairs whose sets aren't in one group; nothing is spent on pairs within the largest group."""
+    for lo, hi in _runs(key):
+        _, of, size = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+        if len(size) < 2:
+            continue
+        order = np.lexsort((of, -size[of]))  # the largest group first
+        group = of[order]
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        count = begin[np.searchsorted(begin, np.arange(hi - lo), side="right") - 1]  # those of the groups before its own
+        order += lo
+        told = np.cumsum(count)
+        at = 0
+        while at < hi - lo:
+            to = max(at + 1, int(np.searchsorted(told, told[at] - count[at] + SLICE, side="right")))
+            c = count[at:to]
+            x = np.repeat(np.arange(at, to), c)
+            yield _fitting(fp, n, place, order[x], order[np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)], similarity, met)
+            at = to
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns (first the key, which the rows are sorted by) in parts that cut no key."""
+    held: list[list[np.ndarray]] = [[] for _ in names]
+    for batch in batches:
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(new[0]):
+            continue
+        last = int(np.searchsorted(new[0], new[0][-1]))  # the last run may go on in the next batch
+        if last or (held[0] and held[0][-1][-1] != new[0][0]):
+            yield [np.concatenate([*h, x[:last]]) for h, x in zip(held, new, strict=True)]
+            held = [[] for _ in names]
+        for h, x in zip(held, new, strict=True):
+            h.append(x[last:])
+    if held[0]:
+        yield [np.concatenate(h) for h in held]
+
+
 def _each(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray, pa.Scalar]]:
     """Each set once a task."""
     seen = set()
@@ -172,35 +246,64 @@ def similar(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
         if held:
             yield out()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
-
-        def runs(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for pairs in _met(*columns, similarity):
-                if len(pairs[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "least"])
-
-        for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "n", "place")]
-            if not len(new[0]):
-                continue
-            last = int(np.searchsorted(new[0], new[0][-1]))  # the last run may go on in the next batch
-            if last or (held[0] and held[0][-1][-1] != new[0][0]):
-                yield from runs(*(np.concatenate([*h, x[:last]]) for h, x in zip(held, new, strict=True)))
-                held = [[], [], [], []]
-            for h, x in zip(held, new, strict=True):
-                h.append(x[last:])
-        if held[0]:
-            yield from runs(*(np.concatenate(h) for h in held))
+    def paired(pairs: Iterator[_Pairs]) -> Iterator[pa.RecordBatch]:
+        for found in pairs:
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "least"])
 
-    keyed = texts.mapInArrow(emit, "key bigint, fp bigint, n int, place int").repartition("key").sortWithinPartitions("key")
-    pairs = keyed.mapInArrow(meet, "a bigint, b bigint, least int").groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("least").alias("least"))
-    pairs = pairs.filter("keys >= least").select("a", "b")
-    if groups is not None:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches, _KEYED):
+            yield from paired(_met(*columns, similarity))
+
+    def meet_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of keys that aren't long; the rows of long ones as they are, a print as a."""
+        for columns in _whole_runs(batches, _KEYED):
+            short, long = _parted(*columns[:2])
+            for batch in paired(_met(*(x[short] for x in columns), similarity)):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(len(batch), t) for t in (pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "least", "key", "n", "place"])
+            if len(long):
+                key, fp, n, place = (pa.array(x[long]) for x in columns)
+                yield pa.RecordBatch.from_arrays([fp, pa.nulls(len(long), pa.int64()), pa.nulls(len(long), pa.int32()), key, n, place], names=["a", "b", "least", "key", "n", "place"])
+
+    def meet_central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches, (*_KEYED, "met")):
+            yield from paired(_central(*columns, similarity))
+
+    def meet_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches, (*_KEYED, "met", "root")):
+            yield from paired(_apart(*columns, similarity))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("least").alias("least"))
+
+    def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         for c in ("a", "b"):
             pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")), c, "left")
-        pairs = pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    return verified(texts, written(pairs, "copies-pairs"), similarity, shingle, groups is not None)
+        return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+    keyed = texts.mapInArrow(emit, "key bigint, fp bigint, n int, place int").repartition("key").sortWithinPartitions("key")
+    if groups is None:
+        return verified(texts, written(counted(keyed.mapInArrow(meet, _PAIRS)).filter("keys >= least").select("a", "b"), "copies-pairs"), similarity, shingle)
+    found = written(keyed.mapInArrow(meet_short, f"{_PAIRS}, key bigint, n int, place int"), "copies-met")
+    short, long = found.filter("key IS NULL").select("a", "b", "least"), found.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"), "n", "place")
+    if long.isEmpty():
+        return verified(texts, written(between(counted(short).filter("keys >= least"), groups), "copies-pairs"), similarity, shingle, spanning=True)
+    # Two sets that meet under no other key share as many keys up to a long one as the less of them has long keys up to there.
+    long = long.withColumn("met", F.row_number().over(Window.partitionBy("fp").orderBy("place"))).filter(F.col("met") + F.col("n") - 1 - F.col("place") >= similarity * F.col("n") - _SLACK)
+    long = written(long, "copies-long")
+    # Pairs that meet under a short key may share all long keys that both have: they are settled here.
+    pairs, most = counted(short), written(found.filter("key IS NOT NULL").groupBy(F.col("a").alias("fp")).count(), "copies-long-keys")
+    for c in ("a", "b"):
+        pairs = pairs.join(most.select(F.col("fp").alias(c), F.col("count").alias(f"long_{c}")), c, "left")
+    pairs = pairs.filter(F.col("keys") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) >= F.col("least")).select("a", "b")
+    central = counted(long.repartition("key").sortWithinPartitions("key").mapInArrow(meet_central, _PAIRS)).filter("keys >= least").select("a", "b")
+    pairs = written(between(pairs.unionByName(central).distinct(), groups), "copies-pairs")
+    links = written(verified(texts, pairs, similarity, shingle, spanning=True), "copies-links")
+    known = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "copies-known")
+    rooted = long.join(known.withColumnRenamed("node", "fp"), "fp", "left").select(*_KEYED, "met", F.coalesce("root", "fp").alias("root"))
+    apart = counted(rooted.repartition("key").sortWithinPartitions("key").mapInArrow(meet_apart, _PAIRS)).filter("keys >= least").select("a", "b")
+    left = written(apart.join(pairs, ["a", "b"], "left_anti"), "copies-pairs-apart")
+    return links.unionByName(verified(texts, left, similarity, shingle, spanning=True))
 
 
 def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, spanning: bool = False) -> DataFrame:

@@ -357,6 +357,23 @@ def test_encoder_equals_the_library():
     assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_encoder_makes_no_offsets():
+    """Ids come from the call that keeps no offsets; they are those of the plain one."""
+    text = "one two\n three x9 \u00e9t\u00e9 one\ttab"
+    encoder = Encoder(TOKENIZER, None)
+    plain, fast = encoder.tokenizer, []
+
+    class Fast:
+        def encode_batch_fast(self, texts, **options):
+            fast.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Fast()
+    for one in (text, text.replace("\t", " ")):
+        got = [i for _, ids, _ in encoder.encode(pa.array([one])) for i in ids.tolist()]
+        assert got == plain.encode(one, add_special_tokens=False).ids and fast
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(11)
     body = rng.integers(0, 50_000, 30_000).astype(np.uint32)

@@ -1,6 +1,7 @@
 import datetime as dt
 import http.server
 import json
+import random
 import threading
 
 import pytest
@@ -163,3 +164,45 @@ def test_queue_feeds_the_worker_and_goes_on_after_a_restart(spark, store, tmp_pa
     store_class.jobs = [*store_class.jobs, row("q6", "bad"), row("q0")]
     assert turn()["q6"] == J.FAILED
     assert [p for p in asked if p.startswith("/jobs")] == ["/jobs?after=5&upto=7"]
+
+
+def plain_batch(known, events, time):
+    """The worker's rules by the book. known: id to (status, error, taken or ended, job); times are seconds of the day."""
+    key = lambda e: (bool(e["completed"]), *[(v is not None, v if v is not None else 0) for v in (e["created"], e["filePath"], e["status"], e["completed"], e["updated"])])
+    for i in {e["id"] for e in events}:
+        mine = sorted((e for e in events if e["id"] == i), key=key)
+        first, end = mine[0], next((e for e in mine if e["completed"]), None)
+        if i in known and (known[i]["settled"] or end is None):
+            continue
+        job = dict(known.get(i, first))
+        if end is not None:
+            job |= {f: end[f] for f in ("status", "completed", "updated")}
+        job["settled"] = bool(job["completed"]) or job["status"] == J.PENDING
+        if job["settled"] and not job["completed"]:
+            job |= {"status": J.FAILED, "error": "broken"} if "bad" in job["filePath"] else {"status": J.COMPLETED}
+        known[i] = job
+    for job in known.values():
+        if not job["settled"] and job["status"] == J.PROCESSING and job["updated"] is not None and job["updated"] + 300 < time:
+            job |= {"status": J.FAILED, "error": STUCK[1], "settled": True}
+
+
+def test_batches_follow_the_rules_without_a_python_call_for_each_job(spark, tmp_path):
+    r, known, events = random.Random(8), {}, []
+    stamp = lambda s: s is not None and f"2024-01-01T{s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}" or None
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        time = 39_600 + 240 * n
+        events = []
+        for _ in range(250):
+            status = r.choice([J.PENDING, J.PROCESSING, J.PROCESSING, "other", J.COMPLETED])
+            events.append({"id": f"j{r.randrange(260)}", "filePath": r.choice(["x", "y", "bad"]), "status": status, "completed": r.choice([False, None]) if status != J.COMPLETED else True, "created": r.choice([None, 39_000, 39_100]), "updated": r.choice([None, time, time - 60, time - 299, time - 300, time - 301])})
+        plain_batch(known, events, time)
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({**e, "created": stamp(e["created"]), "updated": stamp(e["updated"])}) for e in events))
+        told = spark.readStream.schema(JOBS).json(str(tmp_path / "in"))
+        query = K.run(spark, told, str(tmp_path / "state"), work, F.lit(dt.datetime(2024, 1, 1, 11, 4 * n)).cast("timestamp"))
+        query.awaitTermination()
+        assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}
+        assert {x.id: (x.status, x.error) for x in K.current(spark, str(tmp_path / "state")).collect()} == {i: (j["status"], j.get("error")) for i, j in known.items()}
+    held = spark.read.parquet(str(tmp_path / "state/open"))
+    assert {x.batch for x in held.select("batch").collect()} == {1, 2}
+    assert {x.id for x in held.filter("batch = 2 AND id IS NOT NULL").collect()} == {i for i, j in known.items() if not j["settled"]}

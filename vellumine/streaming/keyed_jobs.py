@@ -2,97 +2,70 @@
 
 Events are job rows. The first one of an id makes the job; while it is open, an event of the same id that is completed ends
 it; any other event of a known id is a repeat and changes nothing. A waiting job is worked on in the batch that brings it. A
-job that arrives as being processed (another worker has it) gets a timer: if no event ends it in time, it fails. Time is the
-watermark of the batches' own times (`now`), so no event is ever late; a row without an id is a tick that only moves time on.
+job that arrives as being processed (another worker has it) fails in the first batch whose time is beyond its limit, if no
+event has ended it by then, in that batch neither. Time is the latest of the batches' own times (`now`), so no event is ever late;
+a row without an id is a tick that only moves time on.
 
-Below the state folder: `changes/state/batch=N` and `changes/ended/batch=N` (rows of jobs, the last one of an id counts) and
-`results/batch=N`. A batch that is run again overwrites its own folders and starts from the state before it, so a restart
-after a failure, also of the work itself, gives the same rows. State keeps a small row for each id it has seen.
+Which ids are known is Spark's own state of a streaming aggregate, a row for each id it has seen, kept and looked up in the
+JVM: calls of a stateful processor in Python take about 0.4 ms each, several for each id. Jobs that are open after a batch
+are a small table beside it, the only one that a batch writes anew.
+
+Below the state folder: `changes/state/batch=N` and `changes/ended/batch=N` (rows of jobs, the last one of an id counts),
+`results/batch=N` and `open/batch=N` (of the last two batches). A batch that is run again overwrites its own folders and starts
+from the state before it, so a restart after a failure, also of the work itself, gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from vellumine.operators import jobs as J
 from vellumine.streaming.jobs import JOBS, Worker
 
 _FIELDS = ["posterId", "fileName", "filePath", "status", "completed", "created", "updated", "error"]
-_STATE = "posterId bigint, fileName string, filePath string, status string, completed boolean, created bigint, updated bigint, error string"
-_OUT = f"id string, {_STATE}, taken boolean"
+#: The order of an id's events within a batch: open before ended, then by creation, then by every other field, nulls first.
+_ORDER = ["created", "filePath", "posterId", "fileName", "status", "completed", "updated", "error"]
+#: Open jobs, and a row without an id for the time (microseconds since 1970).
+_OPEN = f"{JOBS}, time bigint"
 _STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COMPLETED, UPDATED = _FIELDS.index("completed"), _FIELDS.index("updated")
-
-
-def _order(job: tuple) -> tuple:
-    """Open before ended, then by creation, then by every other field, nulls first."""
-    return bool(job[COMPLETED]), *[(v is not None, v if v is not None else 0) for v in (job[5], job[2], *job)]
-
-
-class JobState(StatefulProcessor):
-    """Times are microseconds since 1970. Of the events of an id in a batch only the first opening and the first ending one are kept."""
-
-    def __init__(self, stuck_minutes: int) -> None:
-        self.minutes = stuck_minutes
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", _STATE)
-
-    def _due(self, job: tuple) -> int | None:
-        """When the job counts as stuck (milliseconds): the first moment beyond the limit."""
-        return None if job[UPDATED] is None else job[UPDATED] // 1000 + self.minutes * 60_000 + 1
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        first = end = None
-        for row in rows:
-            job = tuple(row[f] for f in _FIELDS)
-            first = job if first is None or _order(job) < _order(first) else first
-            if job[COMPLETED]:
-                end = job if end is None or _order(job) < _order(end) else end
-        if key[0] is None or first is None:
-            return
-        known = self.job.get() if self.job.exists() else None
-        job = tuple(known) if known is not None else first
-        if known is not None and (job[COMPLETED] or end is None):
-            return
-        if not job[COMPLETED] and end is not None:
-            due = self._due(job)
-            if known is not None and job[3] == J.PROCESSING and due is not None:
-                self.handle.deleteTimer(due)
-            job = (*job[:3], *end[3:5], job[5], *end[6:])
-        taken = not job[COMPLETED] and job[3] == J.PENDING
-        if taken:
-            job = (*job[:3], J.PROCESSING, *job[4:])
-        elif not job[COMPLETED] and job[3] == J.PROCESSING and self._due(job) is not None:
-            self.handle.registerTimer(self._due(job))
-        # for a job that this batch works on, its outcome is settled in the batch: no later event changes it
-        self.job.update((*job[:COMPLETED], bool(job[COMPLETED]) or taken, *job[COMPLETED + 1 :]))
-        yield Row(id=key[0], **dict(zip(_FIELDS, job, strict=True)), taken=taken)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        job = tuple(self.job.get()) if self.job.exists() else None
-        if job is None or job[COMPLETED]:
-            return
-        said = f"Job stuck in processing for over {self.minutes} minutes; marked failed by cleanup"
-        job = (*job[:3], J.FAILED, True, job[5], timerValues.getCurrentWatermarkInMs() * 1000, said)
-        self.job.update(job)
-        yield Row(id=key[0], **dict(zip(_FIELDS, job, strict=True)), taken=False)
-
-    def close(self) -> None:
-        pass
-
-
-def changes(events: DataFrame, now: Column, stuck_minutes: int = 5) -> DataFrame:
-    """A streaming table of job rows to one of changed jobs, with `taken`: whether this batch is to work on it."""
-    told = events.select("id", *_FIELDS[:5], *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("created", "updated")], "error", now.alias("at")).withWatermark("at", "0 seconds")
-    made = told.groupBy("id").transformWithState(JobState(stuck_minutes), _OUT, "Update", "EventTime")
-    return made.withColumns({c: F.timestamp_micros(c) for c in ("created", "updated")})
+
+
+def touched(events: DataFrame, now: Column) -> DataFrame:
+    """A streaming table of job rows to one row for each id that a batch has: whether it is new, its first event and its first
+    ending one, and the latest time. Of an id that was known these are of all of its events so far."""
+    ended = F.coalesce("completed", F.lit(False))
+    job = F.struct(ended.alias("is_end"), *_ORDER)
+    # a batch's mark: an id that has one mark only came in this batch
+    mark = F.xxhash64(F.lit(uuid.uuid4().hex), F.current_timestamp())
+    told = events.select("id", job.alias("job"), F.when(ended, job).alias("end"), F.unix_micros(now.cast("timestamp")).alias("at"), mark.alias("mark"))
+    made = told.groupBy("id").agg(F.min("job").alias("first"), F.min("end").alias("end"), F.max("at").alias("at"), F.min("mark").alias("least"), F.max("mark").alias("most"))
+    return made.select("id", (F.col("least") == F.col("most")).alias("new"), "first", "end", "at")
+
+
+def steps(told: DataFrame, before: DataFrame, stuck_minutes: int) -> DataFrame:
+    """Jobs that are open before a batch or made by it, after its events and its time: with `changed`, `taken` (this batch is to work on
+    it) and `open` (it stays so). told: from `touched`; before: open jobs."""
+    time = told.select(F.col("at").alias("time")).unionByName(before.select("time")).agg(F.max("time").alias("time"))
+    held = before.filter("id IS NOT NULL").select("id", F.struct(*_FIELDS).alias("held"))
+    # an open job has had no ending event before, so its first one is of this batch
+    news = told.filter("id IS NOT NULL").select("id", "new", "first", "end")
+    job = F.coalesce("held", F.when(F.col("new"), F.struct(*[F.col("first")[f].alias(f) for f in _FIELDS])))
+    both = held.join(news, "id", "full").withColumn("job", job).filter("job IS NOT NULL").join(F.broadcast(time))  # time is one row
+    ends = F.col("end").isNotNull()
+    of_end = lambda f: F.when(ends, F.col("end")[f]).otherwise(F.col("job")[f]) if f in ("status", "completed", "updated", "error") else F.col("job")[f]
+    now = both.select("id", *[of_end(f).alias(f) for f in _FIELDS], (F.col("held").isNull() | ends).alias("moved"), "time")
+    is_open, no = ~F.coalesce("completed", F.lit(False)), F.lit(False)
+    stuck = F.coalesce(is_open & (F.col("status") == J.PROCESSING) & (F.unix_millis("updated") + stuck_minutes * 60_000 < F.floor(F.col("time") / 1000)), no)
+    taken = F.coalesce(is_open & (F.col("status") == J.PENDING), no)
+    known = now.withColumns({"stuck": stuck, "taken": taken, "open": is_open & ~taken & ~stuck, "changed": F.col("moved") | stuck})
+    said = f"Job stuck in processing for over {stuck_minutes} minutes; marked failed by cleanup"
+    failed = {"status": F.lit(J.FAILED), "completed": F.lit(True), "updated": F.timestamp_millis(F.floor(F.col("time") / 1000)), "error": F.lit(said)}
+    after = known.withColumns({c: F.when(F.col("stuck"), v).otherwise(F.col(c)) for c, v in failed.items()})
+    return after.withColumn("status", F.when(F.col("taken"), J.PROCESSING).otherwise(F.col("status"))).drop("moved", "stuck")
 
 
 def run(spark: SparkSession, events: DataFrame, state: str, work: Worker, now: Column | None = None, stuck_minutes: int = 5, once: bool = True, every: str = "30 seconds") -> StreamingQuery:
@@ -100,7 +73,14 @@ def run(spark: SparkSession, events: DataFrame, state: str, work: Worker, now: C
     at = now if now is not None else F.current_timestamp()
 
     def batch(changed: DataFrame, number: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{state}/changes/state/batch={number}")
+        path = lambda name, n=number: f"{state}/{name}/batch={n}"
+        changed.write.mode("overwrite").parquet(path("touched"))  # read more than once, and Spark's state may be written only once
+        told = spark.read.schema(changed.schema).parquet(path("touched"))
+        before = spark.read.schema(_OPEN).parquet(path("open", number - 1)) if number else spark.createDataFrame([], _OPEN)
+        after = steps(told, before, stuck_minutes)
+        after.filter("changed").select("id", *_FIELDS, "taken").write.mode("overwrite").parquet(path("changes/state"))
+        clock = told.select(F.col("at").alias("time")).unionByName(before.select("time")).agg(F.max("time").alias("time"))
+        after.filter("open").select("id", *_FIELDS).unionByName(clock, allowMissingColumns=True).write.mode("overwrite").parquet(path("open"))
         taken = spark.read.schema(f"{JOBS}, taken boolean").parquet(f"{state}/changes/state/batch={number}").filter("taken").drop("taken")
         work(taken.select("id", "posterId", "filePath")).write.mode("overwrite").parquet(f"{state}/work/batch={number}")
         done = spark.read.parquet(f"{state}/work/batch={number}")
@@ -109,11 +89,14 @@ def run(spark: SparkSession, events: DataFrame, state: str, work: Worker, now: C
         joined = taken.join(outcome, taken["id"] == outcome["__id"])
         ended = J.mark_completed(J.mark_failed(joined, F.col("__error").isNotNull(), F.col("__error"), at), F.col("__error").isNull(), at)
         ended.drop("__id", "__error").write.mode("overwrite").parquet(f"{state}/changes/ended/batch={number}")
+        for old in (path("touched"), path("open", number - 2)):
+            at_old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            at_old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at_old, True)
 
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKS)  # the query copies the session's settings as it starts
     try:
-        writer = changes(events, at, stuck_minutes).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint")
+        writer = touched(events, at).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint")
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
     finally:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)

@@ -374,6 +374,30 @@ def test_encoder_makes_no_offsets():
         assert got == plain.encode(one, add_special_tokens=False).ids and fast
 
 
+def test_encoder_cuts_words_from_marks():
+    """Ids are the library's for any mixture of letters, marks, digits, contractions and added tokens, and a word is one part with or without a mark behind it."""
+    r = random.Random(12)
+    some = ["a", "Zq", "7", "'s", "'", "'ll", "re", ",", ".", "###", "%", "(", "<|endoftext|>", "<|", "|>", "\u00e9", "\u00d7", "\u00f7", "\u00aa", "e\u0301", "\u4f60", "\u2026", "\U0001f600", "_", "\u00df", " ", "  ", "\n", "\x00", "\x7f", "\u0663", "\u00c2", "\t"]
+    texts = ["".join(r.choices(some[: r.choice((20, 31, len(some)))], k=r.randint(0, 40))) for _ in range(4000)] + ["", "\u00e9,", ",", "\u00d7,", "x" * 5000 + ",", "don't, we'll. it's'"]
+    library = Tokenizer.from_file(TOKENIZER)
+    for size in (1, 50, len(texts)):
+        encoder = Encoder(TOKENIZER, 0, known=3000)
+        got = [x.tolist() for lo in range(0, len(texts), size) for n, ids, each in encoder.encode(pa.array(texts[lo : lo + size], pa.string())) for x in np.split(ids, np.cumsum(each)[:-1])]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    encoder = Encoder(TOKENIZER, 0)
+    for mark in ("", ",", ".", "!", "###"):
+        list(encoder.encode(pa.array([f"one two{mark} caf\u00e9{mark} 2024{mark}"])))
+    assert encoder.count == 4 + 4  # four words, four marks
+
+
+def test_encoder_keeps_its_parts_while_no_new_ones_come():
+    encoder, text = Encoder(TOKENIZER, 0, known=60), " ".join(f"w{i % 40}" for i in range(500))
+    list(encoder.encode(pa.array([text])))
+    learnt, encoder._clear = encoder.count, lambda: pytest.fail("known parts were dropped")
+    list(encoder.encode(pa.array([text])))
+    assert encoder.count == learnt == 41
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(11)
     body = rng.integers(0, 50_000, 30_000).astype(np.uint32)

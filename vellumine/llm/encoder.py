@@ -1,25 +1,29 @@
 """Token ids of Arrow text columns with a public tokenizer, each distinct word encoded once.
 
 The pre-tokenizer of a byte-level BPE starts a new piece wherever white space follows other text, so a text cut before
-each run of spaces and newlines can be encoded part by part. Parts are found by a 64-bit hash in a table of bounded size,
-which holds their bytes and ids; the bytes are compared, so a hash decides nothing alone. A text with any other white space
-(tabs, no-break spaces), with a part of over 4,000 bytes, or with one whose hash another part has, is encoded whole. A
-tokenizer whose pieces cross white space is an error.
+each run of spaces and newlines can be encoded part by part. Where its own pattern is in use, a piece also ends between a letter
+or digit and a punctuation mark, so words are one part with or without a mark behind them. Parts are found by a 64-bit hash in a
+table of bounded size, which holds their bytes and ids; the bytes are compared, so a hash decides nothing alone. A text with any
+other white space (tabs, no-break spaces), with an added token, with a part of over 4,000 bytes, or with one whose hash another
+part has, is encoded whole. A tokenizer whose pieces cross white space is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 from vellumine.llm.common import held
-from vellumine.llm.words import _BYTE, _PLACE, mixed, offsets
+from vellumine.llm.words import _BYTE, _PLACE, _class, mixed, offsets
 
 #: Entries of the table of known parts; at the bound it is emptied and begun anew.
 KNOWN = 750_000
+#: Letters and digits, and marks, of ASCII.
+_LETTER, _MARK = _class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)]), _class([(0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)])
 
 
 def encoder(path: str, end: int | None) -> Encoder:
@@ -36,10 +40,13 @@ def _marked(n: int, at: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str, end: int | None, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.known = end, known
+        pre = self.tokenizer.pre_tokenizer
+        self.marks = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes_of = self._byte_lengths()
         self._clear()
 
@@ -83,11 +90,16 @@ class Encoder:
                 yield 1, np.array(ids, dtype=np.uint32), np.array([len(ids)])
             lo = hi + 1
 
-    @staticmethod
-    def _starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def _starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         space = (data == 32) | (data == 10)
         new = space.copy()
         new[1:] &= ~space[:-1]
+        if self.marks:
+            mark = np.flatnonzero(_MARK[data[1:]]) + 1
+            before = data[mark - 1]
+            # letters of two bytes with the lead 0xC3 are all but the signs of multiplication and division
+            latin = (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7) & (data[mark - 2] == 0xC3) & (mark > 1)
+            new[mark[_LETTER[before] | latin]] = True
         new[off[:-1][off[:-1] < len(data)]] = True
         return np.flatnonzero(new)
 
@@ -109,6 +121,8 @@ class Encoder:
             at.append(i)
         start = self._starts(data, off)
         at.append(start[np.diff(np.append(start, len(data))) > 4000])
+        raw = data.tobytes()
+        at.append(np.array([m.start() for token in self.added for m in re.finditer(re.escape(token), raw)], dtype=np.int64))
         texts = np.searchsorted(off, np.concatenate(at), side="right") - 1
         return _marked(len(off) - 1, texts)
 
@@ -119,7 +133,7 @@ class Encoder:
         if len(start):
             place = np.arange(len(data)) - np.repeat(start, size)
             h = mixed(np.add.reduceat(_BYTE[data] * _PLACE[place], start) + size.astype(np.uint64))
-            if self.count + len(h) > self.known:
+            if self.count + len(h) > self.known and self.count + len(np.unique(h[self.table.lookup(h) < 0])) > self.known:
                 self._clear()
             label = self._labels(h, data, start, size)
             if not self._same(label, data, place, size):
@@ -162,8 +176,9 @@ class Encoder:
         return label
 
     def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Encodes new parts: those that begin with white space as one text, the others each for itself."""
+        """Encodes new parts as one text: those from a mark to a letter or digit, then those that begin with white space; the others each for itself."""
         last = data[start + size - 1]
+        inner = _MARK[data[start]] & _LETTER[last] if self.marks else np.zeros(len(start), dtype=bool)
         joins = ((data[start] == 32) | (data[start] == 10)) & (last != 32) & (last != 10)
         lo = self.count - len(start)
         while len(self.at) < self.count:
@@ -175,7 +190,7 @@ class Encoder:
         self.raw[self.raw_filled : self.raw_filled + int(upto[-1])] = data[np.arange(upto[-1]) + np.repeat(start - upto + size, size)]
         self.raw_at[lo : self.count], self.size[lo : self.count] = self.raw_filled + upto - size, size
         self.raw_filled += int(upto[-1])
-        at = np.flatnonzero(joins)
+        at = np.concatenate((np.flatnonzero(inner), np.flatnonzero(joins)))
         if len(at):
             upto = np.cumsum(size[at])
             body = data[np.arange(upto[-1]) + np.repeat(start[at] - upto + size[at], size[at])].tobytes()
@@ -183,9 +198,9 @@ class Encoder:
             ends = np.cumsum(self.bytes_of[ids])
             cut = np.searchsorted(ends, upto) + 1
             if ends[-1] != len(body) or (ends[cut - 1] != upto).any():
-                raise ValueError("a piece of the tokenizer crosses white space")
+                raise ValueError("a piece of the tokenizer crosses the cut of a text")
             self._keep(lo + at, ids, np.diff(cut, prepend=0))
-        other = np.flatnonzero(~joins)
+        other = np.flatnonzero(~joins & ~inner)
         if len(other):
             texts = [data[a : a + k].tobytes().decode() for a, k in zip(start[other].tolist(), size[other].tolist(), strict=True)]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
